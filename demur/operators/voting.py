@@ -12,7 +12,6 @@ survive the filters (``representatives``).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,47 +37,39 @@ _GENERATED_BIT, _LABEL_BIT, _LINE_BIT = 11, 12, 16
 
 
 def _packed(votes: DataFrame) -> Column:
-    ok = F.coalesce(col("verification_successful"), F.lit(False))
-    result = col("verification_result")
-    outcome = (
-        F.when(~ok, _OUTCOMES["ERROR"]).when(result == "PASS", _OUTCOMES["PASS"])
-        .when(result == "FAIL", _OUTCOMES["FAIL"]).otherwise(_OUTCOMES["OTHER"])
-    )
-    code = outcome.cast("long")
+    """line_no, label, flags and outcome of one vote as one long."""
+    terms = [
+        f"line_no * {1 << _LINE_BIT}",
+        f"""CASE WHEN NOT coalesce(verification_successful, false) THEN {_OUTCOMES["ERROR"]}
+            WHEN verification_result = 'PASS' THEN {_OUTCOMES["PASS"]}
+            WHEN verification_result = 'FAIL' THEN {_OUTCOMES["FAIL"]} ELSE {_OUTCOMES["OTHER"]} END""",
+    ]
     for name, bit in _FLAGS.items():
         if name in votes.columns:
-            flag = F.when(col(name).isNull(), 0).when(col(name), 2).otherwise(1)
-            code = code + flag.cast("long") * (1 << bit)
+            terms.append(f"CASE WHEN {name} THEN {2 << bit} WHEN NOT {name} THEN {1 << bit} ELSE 0 END")
     if "generation_successful" in votes.columns:
-        code = code + F.coalesce(col("generation_successful"), F.lit(False)).cast("long") * (1 << _GENERATED_BIT)
+        terms.append(f"CASE WHEN generation_successful THEN {1 << _GENERATED_BIT} ELSE 0 END")
     if "final_ground_truth_label" in votes.columns:
-        label = col("final_ground_truth_label")
-        index = F.when(label.isNull(), 0).otherwise(F.coalesce(value_of(_LABELS, label), F.lit(_OTHER_LABEL)))
-        code = code + index.cast("long") * (1 << _LABEL_BIT)
-    return col("line_no").cast("long") * (1 << _LINE_BIT) + code
-
-
-def _bits(packed: Column, low: int, n: int) -> Column:
-    return F.shiftright(packed, low).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-
-
-def _unpack(verifier: str, packed: Column) -> Column:
-    outcome = _bits(packed, 0, 3)
-    result = F.when(packed.isNull(), F.lit("MISSING"))
-    for name, code in _OUTCOMES.items():
-        result = result.when(outcome == code, F.lit(name))
-    flags = [(F.when(_bits(packed, bit, 2) > 0, _bits(packed, bit, 2) == 2)).alias(name) for name, bit in _FLAGS.items()]
-    label = reduce(lambda acc, kv: acc.when(_bits(packed, _LABEL_BIT, 4) == kv[1], F.lit(kv[0])), _LABELS.items(), F.when(packed.isNull(), None))
-    return F.struct(
-        F.lit(verifier).alias("verifier_model"), result.alias("result"), *flags,
-        (_bits(packed, _GENERATED_BIT, 1) == 1).alias("generation_successful"), label.alias("final_ground_truth_label"),
-        F.shiftright(packed, _LINE_BIT).alias("line_no"),
-    )
+        known = " ".join(f"WHEN '{label}' THEN {i}" for label, i in _LABELS.items())
+        terms.append(
+            f"CASE WHEN final_ground_truth_label IS NULL THEN 0 ELSE "
+            f"(CASE final_ground_truth_label {known} ELSE {_OTHER_LABEL} END) * {1 << _LABEL_BIT} END"
+        )
+    return F.expr(" + ".join(f"CAST({t} AS BIGINT)" for t in terms))
 
 
-def _count(cond) -> Column:
-    """Sum over the vote slots of 0/1."""
-    return F.aggregate("votes", F.lit(0), lambda n, v: n + F.when(cond(v), 1).otherwise(0))
+def _unpacked(verifier: str, slot: str) -> str:
+    """SQL of the readable vote held in a packed column."""
+    results = " ".join(f"WHEN {code} THEN '{name}'" for name, code in _OUTCOMES.items())
+    labels = " ".join(f"WHEN {i} THEN '{label}'" for label, i in _LABELS.items())
+    flags = ", ".join(
+        f"'{name}', CASE shiftright({slot}, {bit}) & 3 WHEN 2 THEN true WHEN 1 THEN false END" for name, bit in _FLAGS.items()
+    )
+    return f"""named_struct('verifier_model', '{verifier}',
+        'result', CASE WHEN {slot} IS NULL THEN 'MISSING' ELSE CASE {slot} & 7 {results} END END, {flags},
+        'generation_successful', shiftright({slot}, {_GENERATED_BIT}) & 1 = 1,
+        'final_ground_truth_label', CASE shiftright({slot}, {_LABEL_BIT}) & 15 {labels} END,
+        'line_no', shiftright({slot}, {_LINE_BIT}))"""
 
 
 def align(
@@ -90,26 +81,29 @@ def align(
 
     ``votes`` is an array in the order of ``verifiers``, absent ones marked MISSING.
     """
-    slots = [F.max(F.when(col("verifier_model") == v, col("_packed"))).alias(f"_v{i}") for i, v in enumerate(verifiers)]
+    slots = [f"_v{i}" for i in range(len(verifiers))]
+    last = [F.expr(f"max(CASE WHEN verifier_model = '{v}' THEN _packed END) AS {slot}") for v, slot in zip(verifiers, slots)]
     narrow = votes.select(
         "generator_model", content_key(content).alias("content_key"), "source_qid", "perturbation_class", "intensity",
         "lever_selected", "verifier_model", _packed(votes).alias("_packed"),
     ).filter(col("verifier_model").isin(*verifiers))
+
+    def number(condition: str) -> str:
+        return " + ".join(f"CASE WHEN {condition.format(slot)} THEN 1 ELSE 0 END" for slot in slots)
+
     n = len(verifiers)
-    return (
-        narrow.groupBy(*GROUP).agg(*slots)
-        .select(*GROUP, F.array(*[_unpack(v, col(f"_v{i}")) for i, v in enumerate(verifiers)]).alias("votes"))
-        .withColumns({
-            "responding": _count(lambda v: v["result"] != "MISSING"),
-            "successful": _count(lambda v: v["result"].isin("PASS", "FAIL", "OTHER")),
-            "pass_votes": _count(lambda v: v["result"] == "PASS"),
-            "fail_votes": _count(lambda v: v["result"] == "FAIL"),
-        })
-        .withColumns({
-            "is_complete": col("responding") == n,
-            "has_unanimous_pass": (col("successful") == n) & (col("pass_votes") == n),
-            "has_majority_pass": col("pass_votes") > col("successful") / 2,
-        })
+    responding, successful = number("{0} IS NOT NULL"), number(f"{{0}} & 7 <> {_OUTCOMES['ERROR']}")
+    passed, failed = number(f"{{0}} & 7 = {_OUTCOMES['PASS']}"), number(f"{{0}} & 7 = {_OUTCOMES['FAIL']}")
+    return narrow.groupBy(*GROUP).agg(*last).selectExpr(
+        *GROUP,
+        f"array({', '.join(_unpacked(v, slot) for v, slot in zip(verifiers, slots))}) AS votes",
+        f"{responding} AS responding",
+        f"{successful} AS successful",
+        f"{passed} AS pass_votes",
+        f"{failed} AS fail_votes",
+        f"{responding} = {n} AS is_complete",
+        f"{successful} = {n} AND {passed} = {n} AS has_unanimous_pass",
+        f"{passed} > ({successful}) / 2 AS has_majority_pass",
     )
 
 
