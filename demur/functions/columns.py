@@ -26,9 +26,21 @@ def harmonic(p: Column, r: Column) -> Column:
     return ratio(F.lit(2.0) * (p * r), p + r)
 
 
+# every character that counts as white space, not just the blank that trim() removes
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: str | Column) -> Column:
-    """Remove any white space at both ends (Spark's trim removes spaces only)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Remove any white space at both ends."""
+    return F.trim(col(c), F.lit(WHITE_SPACE))
+
+
+def strip_start(c: str | Column) -> Column:
+    """Remove white space at the start only, which does not look at the rest of the text."""
+    return F.ltrim(col(c), F.lit(WHITE_SPACE))
 
 
 def text_or(c: str | Column, default: str) -> Column:

@@ -61,10 +61,37 @@ def _conditions() -> dict[str, Column]:
     }
 
 
+WEIGHT = "row_count"
+_CONDENSED_BY = (
+    "model_id", "ground_truth_label", "model_predicted_type", "perturbation_class", "intensity", "generator_model",
+    "confidence_level", "refusal_match_correct",
+)
+
+
+def condense(results: DataFrame) -> DataFrame:
+    """Results as counts per combination of the columns the metrics look at.
+
+    The combinations are few (models x labels x types x cells x levels) whatever the
+    number of rows. All functions of this module that count rows take a condensed table as
+    well as a plain one, so a report reads the results once.
+    """
+    keys = [c for c in _CONDENSED_BY if c in results.columns]
+    # only the side of the threshold matters for a score
+    score = F.when(col("answer_quality_score") >= GOOD_SCORE, float(GOOD_SCORE)).when(col("answer_quality_score").isNotNull(), 1.0)
+    return results.groupBy(*keys, score.alias("answer_quality_score")).agg(F.count(F.lit(1)).alias(WEIGHT))
+
+
+def count_where(results: DataFrame, cond: Column) -> Column:
+    """Rows meeting a condition, weighted in a condensed table."""
+    if WEIGHT in results.columns:
+        return F.coalesce(F.sum(F.when(cond, col(WEIGHT))), F.lit(0).cast("long"))
+    return F.count_if(cond)
+
+
 def tally(results: DataFrame, keys: Sequence[str], *names: str) -> DataFrame:
     """One aggregation: for each group, how many rows meet each named condition."""
     conditions = _conditions()
-    return results.groupBy(*keys).agg(*[F.count_if(conditions[n]).alias(n) for n in names])
+    return results.groupBy(*keys).agg(*[count_where(results, conditions[n]).alias(n) for n in names])
 
 
 def _mean_or_zero(num: str, known: str, rows: str) -> Column:
@@ -158,7 +185,7 @@ def confusion_matrix(results: DataFrame, by_intensity: bool = False) -> DataFram
     return (
         results.filter(~answerable())
         .groupBy(*keys, "ground_truth_label", "model_predicted_type")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(count_where(results, F.lit(True)).alias("n"))
     )
 
 
@@ -241,9 +268,12 @@ def _per_level(results: DataFrame, bins: Mapping[str, tuple[float, float]]) -> D
     return (
         results.groupBy("model_id", "confidence_level")
         .agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("ok"),
-            F.count_if(ans).alias("n_a"), F.count_if(ans & ok).alias("ok_a"),
-            F.count_if(~ans).alias("n_r"), F.count_if(~ans & ok).alias("ok_r"),
+            *[
+                count_where(results, cond).alias(name)
+                for name, cond in (
+                    ("n", F.lit(True)), ("ok", ok), ("n_a", ans), ("ok_a", ans & ok), ("n_r", ~ans), ("ok_r", ~ans & ok)
+                )
+            ]
         )
         .withColumn("mid", _midpoints(bins))
     )
@@ -347,10 +377,7 @@ def coverage_matrix(results: DataFrame, by: str = "code") -> DataFrame:
     else:
         name = col("perturbation_class")
         classes = list(vocab.CLASSES)
-    counts = (
-        results.select(name.alias("class_name"), "intensity")
-        .groupBy("class_name", "intensity").agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = results.groupBy(name.alias("class_name"), "intensity").agg(count_where(results, F.lit(True)).alias("n"))
     cells = literal_table(
         results.sparkSession, ("class_name", "intensity"), [(c, i) for c in classes for i in vocab.INTENSITIES]
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demur import vocab
-from demur.functions.columns import col, strip
+from demur.functions.columns import col, strip, strip_start
 
 _FENCE = "```"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -63,19 +63,23 @@ def parse_fenced_json(df: DataFrame, schema: str, reply: str = "response", name:
     )
 
 
-def _line(reply: str, label: str) -> Column:
+def _line(text: str, label: str) -> Column:
     """Stripped value of the first line starting with 'LABEL:', null without one.
 
-    White space before the very first line does not count; a label repeated on the line
-    ends the value. Lines end at line feeds only.
+    A label repeated on the line ends the value. Lines end at line feeds only.
     """
-    line = F.regexp_substr(col(reply), F.lit(rf"(?md)(?:\A\s*|^){label}:.*$"))
+    line = F.regexp_substr(col(text), F.lit(rf"(?md)^{label}:.*$"))
     return strip(F.split_part(line, F.lit(f"{label}:"), F.lit(2)))
 
 
 def _with_lines(df: DataFrame, reply: str, **labels: str) -> DataFrame:
-    """Each labelled value as its own column, so that every pattern runs once per reply."""
-    return df.withColumns({name: _line(reply, label) for name, label in labels.items()})
+    """Each labelled value as its own column, so that every pattern runs once per reply.
+
+    White space before the very first line does not count. One plain pattern per label is
+    several times faster than one pattern with alternatives.
+    """
+    staged = df.withColumn("_text", strip_start(reply))
+    return staged.withColumns({name: _line("_text", label) for name, label in labels.items()}).drop("_text")
 
 
 def parse_judgement(df: DataFrame, reply: str = "response") -> DataFrame:
