@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.metric_queries import board_sql
+from checks.metric_queries import board_sql, multi
 from checks.record_queries import samples
 from checks.registry import Data, query
 from checks.vote_queries import COMMON, KEPT, TASK, W, _counter, originals, sample_sql
@@ -87,3 +87,23 @@ def _(d: Data):
     rows = d.fixture("judge_responses").join(keys, ["model_id", "sample_id"]).withColumn("error", F.when(col("k") % 19 == 0, "timeout"))
     return evaluation.results(rows).select("model_id", "sample_id", "model_predicted_type", "answer_quality_score", "refusal_match_correct")
 
+
+
+@query("agreement_report", W + """SELECT generator_model, count(*) AS total_generated, count(*) FILTER (WHERE una) AS passed_filtering FROM full_groups GROUP BY generator_model""")
+def _(d: Data):
+    path = d.scratch()
+    reports.write_agreement_report(d.votes(), path)
+    schema = "generator_model string, total_generated bigint, passed_filtering bigint, filtering_efficiency double"
+    return d.spark.read.schema(schema).option("header", True).csv(f"{path}/table4_efficiency").drop("filtering_efficiency")
+
+
+@query("multidoc_report", "SELECT model_id, count(*) AS total_instances FROM eval_results GROUP BY model_id")
+def _(d: Data):
+    return reports.multidoc_tables(multi(d))["frontier"].select("model_id", "total_instances")
+
+
+@query("write_dataset", sample_sql() + "SELECT generator_model, count(*) AS sample_count FROM samp GROUP BY generator_model")
+def _(d: Data):
+    path = d.scratch()
+    datasets.write_dataset(datasets.stratified_dataset(d.votes()), path)
+    return d.spark.read.schema("generator_model string, sample_count bigint").json(f"{path}/generators")

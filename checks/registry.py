@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures
+from demur.plans.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,13 +37,7 @@ class Data:
         return self.fixture("verifications")
 
     def scratch(self) -> str:
-        """A new folder under the cluster's shared checkpoint folder.
-
-        Only where the session names none (local tests) is a temporary folder used.
-        """
-        shared = self.spark.conf.get("spark.checkpoint.dir", None)
-        base = shared or tempfile.mkdtemp(prefix="demur-", dir=os.environ.get("TMPDIR", "/tmp"))
-        return f"{base.rstrip('/')}/demur-{uuid.uuid4().hex}"
+        return shared_path(self.spark, "check")
 
 
 def query(key: str, sql: str | None = None):

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from demur import vocab
 from demur.functions.columns import col
-from demur.functions.keys import task_id, unique_key
+from demur.functions.keys import unique_key
 from demur.operators import sampling, unified, voting
+from demur.plans.shared import materialise, small_or_as_is
 from demur.sources import sinks
 
 # the reference builder matches rewrites by what was asked, not by the rewritten text
@@ -25,20 +26,23 @@ def stratified_dataset(
 ) -> DataFrame:
     """Agreed rewrites, evenly over the 18 strata of every generator.
 
-    Two shuffles decide the sample on ids, hashes and votes; texts are joined for the
-    sampled rows only.
+    The sample is decided on ids, hashes and votes. The agreed contents are used three
+    times (two rankings, the final pick) and therefore written once; the sample is written
+    too, and being small is broadcast to the texts, which are then read without a shuffle.
     """
-    kept = voting.generation_success_filter(voting.agreed(voting.align(votes), mode))
-    sample = sampling.stratified_sample(kept, per_stratum=per_stratum, target=target, seed=seed)
-    return unified.unified_record(votes, sample, mode)
+    kept = materialise(voting.generation_success_filter(voting.agreed(voting.align(votes), mode)), "kept")
+    sample = materialise(sampling.stratified_sample(kept, per_stratum=per_stratum, target=target, seed=seed), "sample")
+    return unified.unified_record(votes, small_or_as_is(sample), mode)
 
 
 def common_dataset(votes: DataFrame, mode: str = "unanimous", n: int | None = None, seed: int = vocab.SEED) -> DataFrame:
     """The same tasks from every generator, optionally n of them."""
-    kept = voting.agreed(voting.align(votes), mode)
-    tasks = sampling.task_sample(voting.common_tasks(votes, kept), n, seed)
-    chosen = kept.join(tasks.select("generator_model", "content_key"), ["generator_model", "content_key"], "left_semi")
-    return unified.unified_record(votes, chosen, mode, "common_tasks")
+    kept = materialise(voting.agreed(voting.align(votes), mode), "kept")
+    tasks = sampling.task_sample(materialise(voting.common_tasks(votes, kept), "common"), n, seed)
+    chosen = materialise(
+        kept.join(tasks.select("generator_model", "content_key"), ["generator_model", "content_key"], "left_semi"), "chosen"
+    )
+    return unified.unified_record(votes, small_or_as_is(chosen), mode, "common_tasks")
 
 
 def reference_dataset(votes: DataFrame, originals: DataFrame, mode: str = "all_agree", verifiers: tuple[str, ...] = vocab.VERIFIERS) -> DataFrame:
@@ -81,7 +85,3 @@ def write_dataset(dataset: DataFrame, path: str, mode: str = "unanimous", seed:
     for name, table in tables.items():
         sinks.write_jsonl(table, f"{path}/{name}")
 
-
-def pairs_of_tasks(votes: DataFrame) -> DataFrame:
-    """Task text per content of the votes, for reports that show it."""
-    return voting.annotate(votes).select("generator_model", "content_key", task_id().alias("task_id")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from demur.operators import analysis, metrics, multidoc, voting
+from demur.plans.shared import materialise
 from demur.sources import sinks
 
 
@@ -49,8 +50,7 @@ def multidoc_tables(results: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def agreement_tables(votes: DataFrame) -> dict[str, DataFrame]:
-    aligned = voting.align(votes)
+def agreement_tables(aligned: DataFrame) -> dict[str, DataFrame]:
     full = voting.complete(aligned)
     matrix = analysis.pass_rate_matrix(full)
     pairs = analysis.pairwise_agreement(full)
@@ -79,17 +79,12 @@ def agreement_tables(votes: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_metric_report(results: DataFrame, path: str) -> None:
-    """Every single-document table as CSV.
-
-    The condensed counts are written first and read back: a few thousand rows in shared
-    storage that the tables share, instead of a cache that dies with an executor.
-    """
-    metrics.condense(results).write.mode("errorifexists").parquet(f"{path}/counts")
-    counts = results.sparkSession.read.parquet(f"{path}/counts")
-    for name, table in metric_tables(counts).items():
+    """Every single-document table as CSV, from counts taken in one pass over the results."""
+    for name, table in metric_tables(materialise(metrics.condense(results), "counts")).items():
         sinks.write_csv(table, f"{path}/{name}")
 
 
 def write_agreement_report(votes: DataFrame, path: str) -> None:
-    for name, table in agreement_tables(votes).items():
+    """Every agreement table as CSV, from votes aligned once."""
+    for name, table in agreement_tables(materialise(voting.align(votes), "aligned")).items():
         sinks.write_csv(table, f"{path}/{name}")
