@@ -43,6 +43,12 @@ def has(c: str):
     return F.contains("prompt", c)
 
 
+def occurrences(c: str, text: str):
+    """How often a text occurs, without a pattern."""
+    without = F.length(F.replace(F.col(c), F.lit(text), F.lit("")))
+    return ((F.length(c) - without) / len(text)).cast("long")
+
+
 @query("generator_requests", f"""WITH {BASE}, {CELLS} SELECT md5('generate|' || qid || '|' || perturbation_class || '|' || intensity) AS request_id, qid AS source_qid, line_no AS source_line, perturbation_class, intensity,
   CASE WHEN intensity = 'LOW' THEN 'kept' ELSE 'prevented' END || CASE WHEN line_no % 2 = 0 THEN '_one' ELSE '_several' END AS branch, TRUE AS complete,
   CAST({N_LEVERS} AS BIGINT) AS levers FROM bi, cells""")
@@ -53,7 +59,7 @@ def _(d: Data):
     complete = has(col("query")) & has(col("context")) & has(col("perturbation_class")) & has(F.lit("lever_selected"))
     return out.select(
         "request_id", "source_qid", "source_line", "perturbation_class", "intensity", "branch", complete.alias("complete"),
-        F.regexp_count("prompt", F.lit(r"(?m)^\d+\. \*\*")).cast("long").alias("levers"),
+        occurrences("prompt", ". **").alias("levers"),
     )
 
 
@@ -69,7 +75,7 @@ def _(d: Data):
     out = T.generator_requests(multi_records(d), "multi")
     return out.select(
         "source_qid", "perturbation_class", "intensity", "branch", has(F.lit(T.AMBIGUITY_NOTE)).alias("noted"),
-        F.regexp_count("prompt", F.lit(r"(?m)^  Passage [SN]\d+: ")).cast("long").alias("passages"),
+        (occurrences("prompt", "  Passage S") + occurrences("prompt", "  Passage N")).alias("passages"),
     )
 
 

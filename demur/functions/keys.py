@@ -59,8 +59,8 @@ def perturbation_id(kind: str = "single") -> Column:
 
 def verifier_short_name(c: str | Column) -> Column:
     """claude, nova, gpt or deepseek if contained, else the last path part up to ':'."""
-    last = F.element_at(F.split(col(c), "/"), -1)
-    name = F.replace(F.split_part(last, F.lit(":"), F.lit(1)), F.lit("."), F.lit("_"))
+    last = F.substring_index(col(c), "/", -1)
+    name = F.replace(F.substring_index(last, ":", 1), F.lit("."), F.lit("_"))
     for short in reversed(vocab.VERIFIERS):
         name = F.when(F.contains(col(c), F.lit(short)), F.lit(short)).otherwise(name)
     return name
@@ -68,7 +68,7 @@ def verifier_short_name(c: str | Column) -> Column:
 
 def generator_short_name(c: str | Column) -> Column:
     """Alias if there is one, else the text before the first '-'."""
-    return F.coalesce(value_of(vocab.GENERATOR_SHORT, c), F.split_part(col(c), F.lit("-"), F.lit(1)))
+    return F.coalesce(value_of(vocab.GENERATOR_SHORT, c), F.substring_index(col(c), "-", 1))
 
 
 def sample_uid(ident: str | Column = "sample_id", entry_idx: str | Column = "entry_idx") -> Column:
