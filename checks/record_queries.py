@@ -13,7 +13,6 @@ from demur.operators import passages as P
 from demur.operators import records as RC
 from demur.operators import sampling as S
 from demur.operators import unified as UN
-from demur.operators import voting as V
 
 # --- multi-document records ---------------------------------------------------------------
 

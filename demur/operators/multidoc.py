@@ -27,6 +27,14 @@ def as_multidoc(results: DataFrame) -> DataFrame:
     )
 
 
+def as_single(results: DataFrame) -> DataFrame:
+    """Give multi-document results the column names of ``metrics``, for its confusion,
+    class, intensity and coverage tables."""
+    return results.withColumnsRenamed(
+        {"expected_behavior": "ground_truth_label", "refusal_classification": "model_predicted_type"}
+    )
+
+
 def _ans() -> Column:
     return col("is_answerable").eqNullSafe(F.lit(True))
 

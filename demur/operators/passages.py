@@ -136,9 +136,6 @@ def relevant(grounding: str | Column = "grounding", correct: str | Column = "evi
 
 # --- reversible records -----------------------------------------------------------------
 
-_REQUIRED = ("original_data", "passage_mapping", "perturbation_metadata", "perturbation_results")
-
-
 def validate(df: DataFrame, original: str = "original_data") -> DataFrame:
     """Add ``is_valid`` and the list of ``missing`` parts of a reversible record."""
     fields = [original, "passage_mapping", "perturbation_metadata", "perturbation_results"]

@@ -70,7 +70,7 @@ def unified_record(
     records = _with_optional(votes.filter(col("verifier_model") == verifiers[0])).withColumn("content_key", content_key(content))
     full = {short: name for name, short in vocab.GENERATOR_SHORT.items()}
     folder = {vocab.GENERATOR_SHORT[name]: f for f, name in vocab.GENERATOR_FOLDERS.items()}
-    joined = records.drop("generation_successful_", "verifier_ord").join(wanted, ["generator_model", "content_key", "line_no"])
+    joined = records.drop("verifier_ord").join(wanted, ["generator_model", "content_key", "line_no"])
     short = generator_short_name("generator_model")
     keyed = unique_key(joined.withColumn("task_id", task_id()), "stratified" if strategy == "stratified" else "task")
     return keyed.select(

@@ -39,7 +39,7 @@ _GENERATED_BIT, _LABEL_BIT, _LINE_BIT = 11, 12, 16
 def _packed(votes: DataFrame) -> Column:
     """line_no, label, flags and outcome of one vote as one long."""
     terms = [
-        f"line_no * {1 << _LINE_BIT}",
+        f"coalesce(line_no, 0) * {1 << _LINE_BIT}",
         f"""CASE WHEN NOT coalesce(verification_successful, false) THEN {_OUTCOMES["ERROR"]}
             WHEN verification_result = 'PASS' THEN {_OUTCOMES["PASS"]}
             WHEN verification_result = 'FAIL' THEN {_OUTCOMES["FAIL"]} ELSE {_OUTCOMES["OTHER"]} END""",

@@ -378,3 +378,24 @@ def test_originals_last_wins_and_empty_qid_is_dropped(spark):
     out = {r.source_qid: r for r in UN.join_original(rows, orig).collect()}
     assert out["q1"].answer == "new" and out["q1"].retrieved_docs == ["P", "c"]
     assert not out["q2"].has_original and not out[""].has_original
+
+
+def test_judge_requests_follow_answers_that_arrived(spark):
+    from demur.plans import evaluation
+
+    samples = spark.createDataFrame([("s1", "q1", "c", "ANSWER_CORRECTLY", ["yes"]), ("s2", "q2", "c", "REFUSE_OTHER", ["no"])], "sample_id string, query string, context string, ground_truth_label string, references array<string>")
+    answers = spark.createDataFrame([("s1", "m", "it is yes", None), ("s2", "m", "hm", None), ("s2", "n", None, "timeout")], "sample_id string, model_id string, response string, error string")
+    out = {(r.sample_id, r.model_id): r for r in evaluation.next_judgements(samples, answers).collect()}
+    assert set(out) == {("s1", "m"), ("s2", "m")}
+    assert out["s1", "m"].branch == "references" and "yes" in out["s1", "m"].prompt
+    assert out["s2", "m"].branch == "no_references" and T.NO_REFERENCE in out["s2", "m"].prompt
+
+
+def test_multidoc_results_feed_the_single_document_tables(spark):
+    rows = spark.createDataFrame([("m", RA, RA, True, "HIGH"), ("m", RA, RO, False, "HIGH")], "model_id string, expected_behavior string, refusal_classification string, refusal_match_correct boolean, intensity string").withColumn("answer_quality_score", F.lit(None).cast("double"))
+    assert one(M.refusal_by_class(MD.as_single(rows))).refusal_accuracy == 0.5
+
+
+def test_votes_without_line_numbers_still_count(spark):
+    v = votes(spark, [(n, 1, "PASS") for n in vocab.VERIFIERS]).withColumn("line_no", F.lit(None).cast("bigint"))
+    assert V.unanimous_filter(V.align(v)).count() == 1
