@@ -50,17 +50,13 @@ def occurrences(c: str, text: str):
 
 
 @query("generator_requests", f"""WITH {BASE}, {CELLS} SELECT md5('generate|' || qid || '|' || perturbation_class || '|' || intensity) AS request_id, qid AS source_qid, line_no AS source_line, perturbation_class, intensity,
-  CASE WHEN intensity = 'LOW' THEN 'kept' ELSE 'prevented' END || CASE WHEN line_no % 2 = 0 THEN '_one' ELSE '_several' END AS branch, TRUE AS complete,
-  CAST({N_LEVERS} AS BIGINT) AS levers FROM bi, cells""")
+  CASE WHEN intensity = 'LOW' THEN 'kept' ELSE 'prevented' END || CASE WHEN line_no % 2 = 0 THEN '_one' ELSE '_several' END AS branch, TRUE AS complete FROM bi, cells""")
 def _(d: Data):
     several = instances(d).withColumn("answers", F.when(col("line_no") % 2 == 0, col("answers")).otherwise(F.array_append("answers", F.lit("other"))))
-    texts = several.select(col("qid").alias("source_qid"), "query", "context")
-    out = T.generator_requests(several).join(texts, "source_qid")
-    complete = has(col("query")) & has(col("context")) & has(col("perturbation_class")) & has(F.lit("lever_selected"))
-    return out.select(
-        "request_id", "source_qid", "source_line", "perturbation_class", "intensity", "branch", complete.alias("complete"),
-        occurrences("prompt", ". **").alias("levers"),
-    )
+    out = T.generator_requests(several, keep=("query", "context"))
+    # one search for the whole block, so that the prompt is built once per row
+    complete = has(F.concat(F.lit("QUESTION: "), "query", F.lit("\nCONTEXT: "), "context", F.lit("\nANSWERS: ")))
+    return out.select("request_id", "source_qid", "source_line", "perturbation_class", "intensity", "branch", complete.alias("complete"))
 
 
 def multi_records(d: Data):
@@ -87,7 +83,7 @@ def _(d: Data):
     log = d.votes().filter("verifier_model = 'claude'").drop("verifier_model").withColumns({
         "generation_successful": n % 9 != 0, "original_query": F.when(n % 8 != 0, col("original_query"))
     })
-    out = T.verifier_requests(log).join(log.select("generator_model", "line_no", "perturbed_query", "original_context"), ["generator_model", "line_no"])
+    out = T.verifier_requests(log, keep=("perturbed_query", "original_context"))
     complete = has(col("perturbed_query")) & has(col("original_context")) & has(F.lit("final_ground_truth_label"))
     return out.select("request_id", "generator_model", "line_no", "verifier_model", "branch", complete.alias("complete"))
 
@@ -95,7 +91,7 @@ def _(d: Data):
 @query("answer_requests", f"""WITH {BASE} SELECT md5('answer|' || qid || '|' || m) AS request_id, qid AS sample_id, m AS model_id, TRUE AS complete FROM bi, (VALUES {", ".join(f"('{m}')" for m in MODELS)}) t(m)""")
 def _(d: Data):
     samples = instances(d).withColumnRenamed("qid", "sample_id")
-    out = T.answer_requests(samples, MODELS).join(samples.select("sample_id", "query", "context"), "sample_id")
+    out = T.answer_requests(samples, MODELS, keep=("query", "context"))
     complete = has(col("query")) & has(col("context"))
     for code in T.REFUSALS:
         complete = complete & has(F.lit(code))

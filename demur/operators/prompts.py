@@ -128,9 +128,12 @@ def _constraint(branch: Column, shown: Column) -> Column:
     return F.concat(lead, shown)
 
 
-def generator_requests(instances: DataFrame, family: str = "single", cells: DataFrame | None = None) -> DataFrame:
+def generator_requests(
+    instances: DataFrame, family: str = "single", cells: DataFrame | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Prompt per (instance, cell). ``cells`` is a work list that already has
-    perturbation_class and intensity (``missing_cells``); without it the whole grid."""
+    perturbation_class and intensity (``missing_cells``); without it the whole grid.
+    ``keep`` names further input columns for the request table."""
     single = family == "single"
     rows = cells if cells is not None else perturbation_grid(instances)
     rows = rows.join(F.broadcast(cell_briefs(rows.sparkSession, family)), ["perturbation_class", "intensity"])
@@ -155,7 +158,7 @@ def generator_requests(instances: DataFrame, family: str = "single", cells: Data
     )
     return rows.select(
         request_id("generate", "qid", "perturbation_class", "intensity").alias("request_id"), col("qid").alias("source_qid"),
-        col("line_no").alias("source_line"), "perturbation_class", "intensity", branch.alias("branch"), prompt.alias("prompt"),
+        col("line_no").alias("source_line"), "perturbation_class", "intensity", branch.alias("branch"), prompt.alias("prompt"), *keep,
     )
 
 
@@ -168,7 +171,9 @@ STRATEGY_CHECK = "Was the strategy followed?"
 _REWRITE = ("perturbed_query", "perturbed_context", "lever_selected", "implementation_reasoning", "intensity_achieved")
 
 
-def verifier_requests(rewrites: DataFrame, verifiers: Sequence[str] = vocab.VERIFIERS, family: str = "single") -> DataFrame:
+def verifier_requests(
+    rewrites: DataFrame, verifiers: Sequence[str] = vocab.VERIFIERS, family: str = "single", keep: Sequence[str] = ()
+) -> DataFrame:
     """Prompt per rewrite and verifier, for the rewrites that pass the gate."""
     single = family == "single"
     rows = verification_gate(rewrites, family).filter(col("verification_error").isNull())
@@ -199,12 +204,14 @@ def verifier_requests(rewrites: DataFrame, verifiers: Sequence[str] = vocab.VERI
     )
     keyed = rows.select(
         "generator_model", "line_no", "perturbation_class", "intensity", branch.alias("branch"), prompt.alias("prompt"),
-        F.explode(literal_array(verifiers)).alias("verifier_model"),
+        F.explode(literal_array(verifiers)).alias("verifier_model"), *keep,
     )
     return keyed.select(request_id("verify", "generator_model", "line_no", "verifier_model").alias("request_id"), *keyed.columns)
 
 
-def answer_requests(samples: DataFrame, models: Sequence[str], family: str = "single", pending: DataFrame | None = None) -> DataFrame:
+def answer_requests(
+    samples: DataFrame, models: Sequence[str], family: str = "single", pending: DataFrame | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Prompt per (sample, model): answer from the text alone or reply with one code.
 
     ``pending`` is a work list from ``remaining``; without it every pair is asked.
@@ -220,7 +227,7 @@ def answer_requests(samples: DataFrame, models: Sequence[str], family: str = "si
         "Answer the question only from the text given here. " + rules,
         "If no faithful answer is possible, reply with exactly one of these codes and nothing else:", codes, *material, "ANSWER:",
     )
-    return rows.select(request_id("answer", "sample_id", "model_id").alias("request_id"), "sample_id", "model_id", prompt.alias("prompt"))
+    return rows.select(request_id("answer", "sample_id", "model_id").alias("request_id"), "sample_id", "model_id", prompt.alias("prompt"), *keep)
 
 
 NO_REFERENCE = "[none provided; the question may be unanswerable]"

@@ -399,3 +399,15 @@ def test_multidoc_results_feed_the_single_document_tables(spark):
 def test_votes_without_line_numbers_still_count(spark):
     v = votes(spark, [(n, 1, "PASS") for n in vocab.VERIFIERS]).withColumn("line_no", F.lit(None).cast("bigint"))
     assert V.unanimous_filter(V.align(v)).count() == 1
+
+
+def test_generator_prompt_has_the_whole_menu_and_the_reply_keys(spark):
+    ins = spark.createDataFrame([(1, "q1", "what?", "a text", ["yes", "no"])], "line_no bigint, qid string, query string, context string, answers array<string>")
+    out = T.generator_requests(ins).collect()
+    assert len(out) == 18 and len({r.request_id for r in out}) == 18
+    menu = {(c, i): 0 for c, i in vocab.CELLS}
+    for r in C.catalogue(spark).collect():
+        menu[r.perturbation_class, r.intensity] += 1
+    for r in out:
+        assert r.prompt.count(". **") == menu[r.perturbation_class, r.intensity]
+        assert all(f'"{k}"' in r.prompt for k in vocab.GENERATOR_KEYS) and '"yes" OR "no"' in r.prompt
