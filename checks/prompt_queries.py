@@ -53,9 +53,8 @@ def occurrences(c: str, text: str):
   CASE WHEN intensity = 'LOW' THEN 'kept' ELSE 'prevented' END || CASE WHEN line_no % 2 = 0 THEN '_one' ELSE '_several' END AS branch, TRUE AS complete FROM bi, cells""")
 def _(d: Data):
     several = instances(d).withColumn("answers", F.when(col("line_no") % 2 == 0, col("answers")).otherwise(F.array_append("answers", F.lit("other"))))
-    out = T.generator_requests(several, keep=("query", "context"))
-    # one search for the whole block, so that the prompt is built once per row
-    complete = has(F.concat(F.lit("QUESTION: "), "query", F.lit("\nCONTEXT: "), "context", F.lit("\nANSWERS: ")))
+    out = T.generator_requests(several, keep=("context",))
+    complete = has(col("context"))
     return out.select("request_id", "source_qid", "source_line", "perturbation_class", "intensity", "branch", complete.alias("complete"))
 
 

@@ -409,5 +409,6 @@ def test_generator_prompt_has_the_whole_menu_and_the_reply_keys(spark):
     for r in C.catalogue(spark).collect():
         menu[r.perturbation_class, r.intensity] += 1
     for r in out:
+        assert "QUESTION: what?" in r.prompt and "CONTEXT: a text" in r.prompt
         assert r.prompt.count(". **") == menu[r.perturbation_class, r.intensity]
         assert all(f'"{k}"' in r.prompt for k in vocab.GENERATOR_KEYS) and '"yes" OR "no"' in r.prompt
