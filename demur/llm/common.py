@@ -76,8 +76,10 @@ def salt(ident: str | Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(ident), F.lit(parts)).cast("int")
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``chars`` bytes of text, or one row.
+def small_batches(
+    batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BATCH_CHARS, rows: int = 5000
+) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds about ``chars`` bytes of text and ``rows`` rows, or one row.
 
     Bounds the memory of what is computed per batch whatever the length of the texts.
     """
@@ -86,7 +88,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", chars
         sizes = pa.compute.fill_null(pa.compute.binary_length(offsets), 0).to_numpy(zero_copy_only=False)
         start, filled = 0, 0
         for i, n in enumerate(sizes.tolist()):
-            if filled and filled + n > chars:
+            if i > start and (filled + n > chars or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, filled = i, 0
             filled += n
