@@ -41,9 +41,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # candidates, all of bounded length
 _WIDE = (
-    ("email", re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64} ?(?:\[at\]|\(at\)| at | @ |@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]{2,24}){1,4}(?![\w-])")),
+    ("email", re.compile(
+        r"(?<![\w.%+-])[\w.%+-]{1,64} ?(?:(?:\[at\]|\(at\)| @ |@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]{2,24}){1,4}"
+        r"| at [A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,24}){1,4})(?![\w-])"
+    )),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9.])[0-9]{1,5}(?:\.[0-9]{1,5}){3}(?![0-9])")),
-    ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]?[0-9]{4}){2,3}[0-9]{0,3}(?![0-9])")),
+    ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./_-]?[0-9]{4}){2,3}[0-9]{0,3}(?![0-9A-Za-z])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ ./-])[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9])")),
 )
 _AT = re.compile(r"\[at\]|\(at\)| @ |@| at [A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)| dot )", re.IGNORECASE)
