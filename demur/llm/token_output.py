@@ -180,7 +180,7 @@ def write_tokens(
                 {"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]}
             )
 
-    ordered = id_and_text(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
