@@ -6,8 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demur.llm import exact_dedup, language_id, packing, personal_data, quality, token_output
+from demur.llm import decontamination, exact_dedup, language_id, packing, personal_data, quality, token_output
 from demur.llm.common import table
+from demur.llm.shingling import MARKS
+
+# words and shingles as in shingling.py, in SQL
+_MARKS = MARKS.replace("'", "''")
+_SHINGLES = """
+    {name}_words AS (
+        SELECT {key}, list_filter(
+            list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: trim(w, '{marks}')), lambda w: w <> ''
+        ) AS w FROM {source}
+    ),
+    {name} AS (
+        SELECT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+        FROM {name}_words
+    )"""
+
+
+def shingles_sql(name: str, source: str, key: str) -> str:
+    return _SHINGLES.format(name=name, source=source, key=key, marks=_MARKS)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +67,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op8_benchmark_decontamination", f"""
+    WITH {shingles_sql("d", "documents", "doc_id")}, {shingles_sql("b", "benchmark", "item_id")},
+    docs AS (SELECT DISTINCT doc_id, shingle FROM d), items AS (SELECT DISTINCT item_id, shingle FROM b),
+    sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id)
+    SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+    FROM docs JOIN items USING (shingle) JOIN sizes USING (item_id)
+    GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
