@@ -96,3 +96,41 @@ def small_batches(
             yield batch.slice(start)
 
 
+
+
+def attached(df: DataFrame, keys: list[str], ident: str, partial: dict[str, Column], merge: dict[str, Column], salts: int = 64) -> DataFrame:
+    """Add values of each key's group to its rows, with no group in one task.
+
+    ``partial`` are aggregates per key and salt, ``merge`` the same over those. A group is
+    summed up per salt, then over its salts, and looked up by key and salt, so that a key
+    holding a third of all rows is dealt to as many tasks as there are salts.
+    """
+    salted = df.withColumn("_salt", salt(ident, salts))
+    parts = salted.groupBy(*keys, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
+    whole = parts.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()], F.collect_set("_salt").alias("_salts"))
+    per_salt = whole.withColumn("_salt", F.explode("_salts")).drop("_salts")
+    return salted.join(per_salt, [*keys, "_salt"]).drop("_salt")
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """Connected components of the links (``a``, ``b``): ``node``, ``label`` (smallest node).
+
+    Rounds of taking the smallest label among neighbours, then the label's own label, until
+    nothing changes. Each round is a written table; joins are between written tables, so
+    adaptive execution can split a node with very many links.
+    """
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name)
+    while True:
+        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
+        lower = stored(
+            labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old")), name
+        )
+        own = lower.select(F.col("node").alias("via"), F.col("label").alias("jump"))
+        jumped = stored(lower.join(own, F.col("label") == F.col("via")).select("node", F.least("label", "jump").alias("label"), "old"), name)
+        changed = jumped.filter("label != old").limit(1).count()
+        forget(labels, lower)
+        labels = jumped
+        if not changed:
+            forget(both)
+            return labels.select("node", "label")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demur.llm import decontamination, exact_dedup, language_id, packing, personal_data, quality, token_output
+from demur.llm import decontamination, exact_dedup, language_id, near_dedup, packing, personal_data, quality, token_output
 from demur.llm.common import table
 from demur.llm.shingling import MARKS
 
@@ -43,6 +43,27 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def near_sql(source: str) -> str:
+    return f"""{shingles_sql("d", source, "doc_id")},
+    counts AS (SELECT doc_id, shingle, count(*) AS c FROM d GROUP BY ALL),
+    sizes AS (SELECT doc_id, sum(c) AS n FROM counts GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS common
+        FROM counts a JOIN counts b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+    ),
+    links AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE common / (x.n + y.n - common) >= 0.8 - 1e-12
+    ),
+    reach(a, b) AS (SELECT doc_id, doc_id FROM {source} UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)"""
+
+
+@query("op3_near_dedup", f"WITH RECURSIVE {near_sql('documents')} SELECT doc_id, class_id, doc_id = class_id AS kept FROM classes")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
