@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demur.llm import decontamination, exact_dedup, language_id, near_dedup, packing, personal_data, quality, token_output
+from demur.llm import decontamination, exact_dedup, language_id, near_dedup, packing, personal_data, quality, repeats, token_output
 from demur.llm.common import table
 from demur.llm.shingling import MARKS
 
@@ -43,6 +43,36 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_suffix_dedup", """
+    WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    windows AS (
+        SELECT doc_id, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS pos FROM bytes
+    ),
+    strings AS (SELECT w.doc_id, pos, md5(substr(h, 2 * pos + 1, 100)) AS s FROM windows w JOIN bytes USING (doc_id)),
+    earliest AS (SELECT s, min(doc_id) AS first_doc FROM strings GROUP BY s),
+    hits AS (SELECT doc_id, pos FROM strings JOIN earliest USING (s) WHERE first_doc < doc_id),
+    marked AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM hits),
+    numbered AS (
+        SELECT doc_id, pos, sum(CASE WHEN before IS NULL OR pos > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS span
+        FROM marked
+    ),
+    spans AS (SELECT doc_id, span, min(pos) AS lo, max(pos) + 50 AS hi FROM numbered GROUP BY ALL),
+    gaps AS (
+        SELECT doc_id, span, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY span), 0) AS since FROM spans
+    ),
+    kept AS (
+        SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last,
+            string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY span) AS head
+        FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id
+    )
+    SELECT b.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+        sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM bytes b LEFT JOIN kept k ON k.doc_id = b.doc_id
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def near_sql(source: str) -> str:
     return f"""{shingles_sql("d", source, "doc_id")},
     counts AS (SELECT doc_id, shingle, count(*) AS c FROM d GROUP BY ALL),
