@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python are cut again into pieces of about this many characters
 BATCH_CHARS = 4_000_000
+#: bits of broadcast filters (8 MB)
+FILTER_BITS = 1 << 26
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -134,3 +136,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if not changed:
             forget(both)
             return labels.select("node", "label")
+
+
+def with_maybe(df: DataFrame, key: Column, members: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Add ``_maybe``: false only for rows whose key is not among the members (one long column).
+
+    A bit per hashed key, in bitmaps that are broadcast: bits / 8 bytes at most, whatever the
+    input. With many members more rows are true, so it may spare work but decide nothing.
+    """
+    bit = F.pmod(F.xxhash64(F.col(members.columns[0])), F.lit(bits)) + 1
+    maps = members.select(bit.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("_bucket"))
+    maps = F.broadcast(maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bitmap")))
+    own = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    placed = df.withColumns({"_bucket": F.bitmap_bucket_number(own), "_at": F.bitmap_bit_position(own)}).join(maps, "_bucket", "left")
+    maybe = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
+    return placed.withColumn("_maybe", maybe).drop("_bucket", "_at", "_bitmap")

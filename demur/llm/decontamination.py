@@ -212,8 +212,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
     sets = stored(_item_sets(items), "item-sets")
     total = sets.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0] // 8
     if total > BROADCAST_SHINGLES:
-        hit = _joined(docs, sets, threshold).select("doc_id").distinct()
-        return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+        hit = _joined(docs, sets, threshold).select(F.col("doc_id").alias("_hit")).distinct()
+        return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
     rows = [(r["item_id"], bytes(r["shingles"])) for r in sets.collect()]
     known = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [np.frombuffer(r[1], dtype=np.uint64) for r in rows]))
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demur.llm.common import forget, salt, stored
+from demur.llm.common import forget, salt, stored, with_maybe
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 29
@@ -93,13 +93,26 @@ def exact_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> D
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents without the copies, columns as they are."""
-    dropped = exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n"))
-    # one row per (id, text); nearly always the whole decision for that id
-    plan = stored(dropped, "copies")
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_sha": sha})
-    plan = plan.withColumns({"_key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_sha": F.col("text_sha256")})
-    kept = keyed.join(plan.filter("n_kept = 1 and n = 1").select("_key", "_sha"), ["_key", "_sha"], "left_semi")
-    repeated = keyed.join(plan.filter("n_kept = 1 and n > 1").select("_key", "_sha"), ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"])
-    return kept.unionByName(repeated).select(*docs.columns)
+    """The documents without the copies, columns as they are.
+
+    Rows that the broadcast filter clears pass straight through; only the others are
+    shuffled and looked up.
+    """
+    decided = exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n"))
+    plan = stored(decided.filter("n_kept < n").select(_key("doc_id").alias("_key"), F.col("text_sha256").alias("_sha"), "n_kept"), "copies")
+    # the row as a whole, so that no column of its can clash with ours
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), _key("doc_id").alias("_key"),
+        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_sha"),
+    )
+    both = F.concat_ws(" ", "_key", "_sha")
+    keyed = with_maybe(keyed, F.xxhash64(both), plan.select(F.xxhash64(both)))
+    looked_up = keyed.filter("_maybe").join(plan, ["_key", "_sha"], "left")
+    out = keyed.filter("not _maybe").select("_doc.*")
+    out = out.unionByName(looked_up.filter("n_kept is null").select("_doc.*"))
+    # rows that agree in id and text: one stays
+    return out.unionByName(looked_up.filter("n_kept > 0").dropDuplicates(["_key", "_sha"]).select("_doc.*"))
+
+
+def _key(ident: str) -> Column:
+    return F.coalesce(F.col(ident).cast("string"), F.lit(""))

@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from demur.llm.common import attached, components, forget, id_and_text, small_batches, stored
+from demur.llm.common import attached, components, forget, id_and_text, small_batches, stored, with_maybe
 from demur.llm.shingling import counted, mixed, shingle_hashes, word_hashes
 
 THRESHOLD = 0.8
@@ -39,8 +39,6 @@ COORDINATES = BANDS * ROWS
 #: agreeing coordinates below which a pair is not at the threshold (six standard deviations)
 AGREEING = int(THRESHOLD * COORDINATES - 6 * (COORDINATES * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
 BLOCK = 1000
-#: bits of the broadcast filter on the ids of linked documents (8 MB)
-FILTER_BITS = 1 << 26
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xD1B54A32D192ED03)
@@ -189,14 +187,8 @@ class _Linker:
         a, b = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
         likely = stored(pairs.join(a, "a").join(b, "b").mapInArrow(_alike, "a binary, b binary"), "likely")
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sketches, "node").select("doc_id")
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
-        bits = ends.select(slot.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("_bucket"))
-        # FILTER_BITS / 8 bytes at most; it only spares the shuffle most of the other texts
-        bits = F.broadcast(bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bitmap")))
-        at = F.bitmap_bit_position(slot)
-        byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        near = self.docs.withColumns({"_bucket": F.bitmap_bucket_number(slot), "_at": at}).join(bits, "_bucket")
-        near = near.filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select("doc_id", "text")
+        # spares the shuffle most of the other texts; the join on the node decides
+        near = with_maybe(self.docs, F.col("doc_id"), ends).filter("_maybe").select("doc_id", "text")
         packed = near.mapInArrow(_packed, "node binary, packed binary").dropDuplicates(["node"])
         packed = stored(packed, "packed")
         pa_, pb = (packed.select(F.col("node").alias(x), F.col("packed").alias(f"packed_{x}")) for x in "ab")
@@ -288,15 +280,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class, columns as they are."""
-    gone = stored(near_duplicates(docs).groupBy("doc_id").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n")), "near-copies")
+    """One document of each class, columns as they are.
+
+    Rows whose id the broadcast filter clears pass straight through.
+    """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_key", key)
-    plan = gone.withColumn("_key", key)
-    all_kept = keyed.join(plan.filter("n_kept = n").select("_key"), "_key", "left_semi")
+    decided = near_duplicates(docs).groupBy("doc_id").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n"))
+    plan = stored(decided.filter("n_kept < n").select(key.alias("_key"), "n_kept"), "near-copies")
+    # the row as a whole, so that no column of its can clash with ours
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), key.alias("_key"))
+    keyed = with_maybe(keyed, F.col("_key"), plan.select("_key"))
+    looked_up = keyed.filter("_maybe").join(plan, "_key", "left")
+    out = keyed.filter("not _maybe").select("_doc.*")
+    out = out.unionByName(looked_up.filter("n_kept is null").select("_doc.*"))
     # rows that share an id: as many as are kept, in the order of their texts
-    some = keyed.join(plan.filter("n_kept > 0 and n_kept < n").select("_key", "n_kept"), "_key")
-    from pyspark.sql import Window
-
-    some = some.withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy("text"))).filter("_place <= n_kept")
-    return all_kept.select(*docs.columns).unionByName(some.select(*docs.columns))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_doc.text"))
+    some = looked_up.filter("n_kept > 0").withColumn("_place", place).filter("_place <= n_kept")
+    return out.unionByName(some.select("_doc.*"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demur.llm import decontamination, exact_dedup, language_id, near_dedup, packing, personal_data, quality, repeats, token_output
+from demur.llm import decontamination, exact_dedup, language_id, near_dedup, packing, personal_data, quality, repeats, token_counts, token_output
 from demur.llm.common import table
 from demur.llm.shingling import MARKS
 
@@ -43,6 +43,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(table(spark, sf_dir, "documents"))
+
+
 @query("op2_suffix_dedup", """
     WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
     windows AS (
