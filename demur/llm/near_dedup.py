@@ -15,8 +15,9 @@ chance of 0.9999, a pair at 0.3 with one of 0.02.
 
 Links. Texts with the same words are one node. In each bucket every node is compared with
 the smallest one, first by signature, then exactly on the texts. The accepted links are
-joined to components; buckets that still hold several components are compared in blocks of
-nodes, across components only. So links are found without listing all pairs of a group.
+joined to components. Buckets that still hold several components are compared in blocks of
+nodes, exactly and within the task, which returns no more links than join the components. So
+no link between components is lost, and pairs of a group are never listed.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 #: agreeing coordinates below which a pair is not at the threshold (six standard deviations)
 AGREEING = int(THRESHOLD * COORDINATES - 6 * (COORDINATES * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
-BLOCK = 1000
+#: nodes and shingles of a block of a bucket, on average
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 500_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xD1B54A32D192ED03)
@@ -121,6 +123,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 folded = mixed(folded * _STEP + sig[:, r::ROWS])
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "row": batch.column("row"), "node": pa.array(_fingerprints(words, offsets), pa.binary()),
+            "size": pa.array(np.diff(offsets), pa.int64()),
             "bands": pa.array([x.tobytes() for x in folded], pa.binary()),
             "sketch": pa.array([x.tobytes() for x in (sig >> np.uint64(8)).astype(np.uint8)], pa.binary()),
         })
@@ -182,69 +185,114 @@ class _Linker:
     def __init__(self, docs: DataFrame, nodes: DataFrame, threshold: float):
         self.docs, self.nodes, self.threshold = docs, nodes, threshold
 
+    def packed(self, members: DataFrame) -> DataFrame:
+        """The compressed texts of the nodes (and of a few others)."""
+        ends = members.select("node").distinct().join(self.nodes, "node").select("doc_id")
+        # spares the shuffle most of the other texts; joins on the node decide
+        near = with_maybe(self.docs, F.col("doc_id"), ends).filter("_maybe").select("doc_id", "text")
+        return stored(near.mapInArrow(_packed, "node binary, packed binary").dropDuplicates(["node"]), "packed")
+
     def links(self, pairs: DataFrame) -> DataFrame:
-        sketches = self.nodes.select("node", "sketch", "doc_id")
-        a, b = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        a, b = (self.nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
         likely = stored(pairs.join(a, "a").join(b, "b").mapInArrow(_alike, "a binary, b binary"), "likely")
-        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sketches, "node").select("doc_id")
-        # spares the shuffle most of the other texts; the join on the node decides
-        near = with_maybe(self.docs, F.col("doc_id"), ends).filter("_maybe").select("doc_id", "text")
-        packed = near.mapInArrow(_packed, "node binary, packed binary").dropDuplicates(["node"])
-        packed = stored(packed, "packed")
+        packed = self.packed(likely.select(F.col("a").alias("node")).union(likely.select("b")))
         pa_, pb = (packed.select(F.col("node").alias(x), F.col("packed").alias(f"packed_{x}")) for x in "ab")
         both = likely.join(pa_, "a").join(pb, "b")
         found = stored(both.mapInArrow(_verified(self.threshold), "a binary, b binary"), "links")
         forget(packed, likely)
         return found
 
+    def links_across(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between components within buckets that hold several of them."""
+        rows = buckets.join(labels, "node", "left").join(self.nodes.select("node", "size"), "node")
+        rows = rows.select("band", "key", "node", "size", F.coalesce("label", "node").alias("label"))
+        rows = attached(
+            rows, ["band", "key"], "node",
+            {"n": F.count("*"), "total": F.sum("size"), "lo": F.min("label"), "hi": F.max("label")},
+            {"n": F.sum("n"), "total": F.sum("total"), "lo": F.min("lo"), "hi": F.max("hi")},
+        ).filter("lo != hi and n > 2")
+        blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        rows = stored(rows.select("band", "key", "node", "label", "block", blocks.alias("blocks")), "residual")
+        packed = self.packed(rows)
+        paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        group = ["band", "key", "low", "high"]
+        paired = paired.select(
+            "band", "key", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        ).join(packed, "node").repartition(*group).sortWithinPartitions(*group)
+        found = stored(paired.mapInArrow(_across(self.threshold), "a binary, b binary"), "links")
+        forget(packed, rows)
+        return found
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each block pair of a bucket, alike by signature.
 
-    Rows come sorted by bucket and block pair; one block pair is held at a time.
-    """
-    def pairs(rows: list[dict], first: int, second: int):
-        left = [r for r in rows if r["block"] == first]
-        right = [r for r in rows if r["block"] == second]
-        x, y = (np.frombuffer(b"".join(r["sketch"] for r in side), dtype=np.uint8).reshape(-1, COORDINATES) for side in (left, right))
-        labels = np.array([hash(r["label"]) for r in right])
-        for k, r in enumerate(left):
-            alike = ((y == x[k]).sum(axis=1) >= AGREEING) & (labels != hash(r["label"]))
-            for m in np.flatnonzero(alike):
-                if r["node"] != right[m]["node"]:
-                    yield min(r["node"], right[m]["node"]), max(r["node"], right[m]["node"])
-
-    def out(found):
-        found = sorted(set(found))
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
-
-    group, rows = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            key = (r["band"], r["key"], r["low"], r["high"])
-            if key != group:
-                if rows:
-                    yield out(pairs(rows, group[2], group[3]))
-                group, rows = key, []
-            rows.append(r)
-    if rows:
-        yield out(pairs(rows, group[2], group[3]))
-
-
-def _residual(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs in buckets that hold several components."""
-    label = F.coalesce("label", "node")
-    rows = buckets.join(labels, "node", "left").select("band", "key", "node", label.alias("label"))
-    rows = attached(
-        rows, ["band", "key"], "node",
-        {"n": F.count("*"), "lo": F.min("label"), "hi": F.max("label")}, {"n": F.sum("n"), "lo": F.min("lo"), "hi": F.max("hi")},
-    ).filter("lo != hi and n > 2")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("band", "key", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = rows.join(nodes.select("node", "sketch"), "node")
-    group = ["band", "key", "low", "high"]
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_across, "a binary, b binary").distinct()
+def _shared_matrix(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums of minima of the counts for every two counted sets."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [int(c.sum()) for _, c in sets])
+    parts = []
+    with np.errstate(over="ignore"):
+        for hashes, counts in sets:  # the k-th time a shingle occurs is an element of its own
+            again = np.repeat(hashes, counts)
+            nth = np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts)
+            parts.append(mixed(again + _STEP * nth.astype(np.uint64)))
+    _, element, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    several = times[element] > 1
+    owner, element = owner[several], np.unique(element[several], return_inverse=True)[1]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    out = np.zeros((n, n), dtype=np.float32)
+    for lo in range(0, int(element[-1]) + 1 if len(element) else 0, 2048):
+        x, y = np.searchsorted(element, (lo, lo + 2048))
+        block = np.zeros((n, 2048), dtype=np.float32)
+        block[owner[x:y], element[x:y] - lo] = 1
+        out += block @ block.T
+    return out
+
+
+def _block_links(rows: list[dict], low: int, high: int, threshold: float) -> pa.RecordBatch:
+    """Links between the two blocks' components; no more than join them."""
+    texts = pa.array([zstandard.decompress(r["packed"]).decode("utf-8", "surrogatepass") for r in rows], pa.string())
+    owner, hashes, counts = counted(*shingle_hashes(*word_hashes(texts)))
+    starts = np.searchsorted(owner, np.arange(len(rows) + 1))
+    sets = [(hashes[x:y], counts[x:y]) for x, y in zip(starts[:-1], starts[1:], strict=True)]
+    size = np.array([float(c.sum()) for _, c in sets])
+    common = _shared_matrix(sets)
+    alike = common >= (threshold - 1e-9) * (size[:, None] + size[None, :] - common)
+    block = np.array([r["block"] for r in rows])
+    alike &= (block[:, None] == low) & (block[None, :] == high)
+    parent = {r["label"]: r["label"] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for i, j in np.argwhere(alike).tolist():
+        a, b = root(rows[i]["label"]), root(rows[j]["label"])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            found.append((rows[i]["node"], rows[j]["node"]))
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _across(threshold: float):
+    """Rows come sorted by bucket and pair of blocks; one pair is held at a time."""
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = (r["band"], r["key"], r["low"], r["high"])
+                if key != group:
+                    if rows:
+                        yield _block_links(rows, group[2], group[3], threshold)
+                    group, rows = key, []
+                rows.append(r)
+        if rows:
+            yield _block_links(rows, group[2], group[3], threshold)
+
+    return across
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -257,10 +305,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     texts = id_and_text(docs)
     signed = stored(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        _signed, "doc_id long, row long, node binary, bands binary, sketch binary"
+        _signed, "doc_id long, row long, node binary, size long, bands binary, sketch binary"
     ), "signed")
     nodes = signed.filter("node is not null").groupBy("node")
-    nodes = stored(nodes.agg(F.max("bands").alias("bands"), F.max("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = stored(nodes.agg(F.max("bands").alias("bands"), F.max("sketch").alias("sketch"), F.max("size").alias("size"), F.min("doc_id").alias("doc_id")), "nodes")
     rows = nodes.select("node", "bands").mapInArrow(_banded, "band int, key long, node binary")
     buckets = stored(attached(
         rows, ["band", "key"], "node", {"n": F.count("*"), "head": F.min("node")}, {"n": F.sum("n"), "head": F.min("head")}
@@ -268,9 +316,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     linker = _Linker(texts, nodes, threshold)
     first = linker.links(buckets.filter("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     labels = components(first)
-    more = stored(_residual(buckets.select("band", "key", "node"), nodes, labels), "residual")
+    more = linker.links_across(buckets.select("band", "key", "node"), labels)
     if more.limit(1).count():
-        labels = components(first.unionByName(linker.links(more)))
+        labels = components(first.unionByName(more))
     labelled = signed.select("doc_id", "row", "node").join(labels, "node", "left")
     alone = F.concat(F.lit("row:"), F.col("row").cast("string")).cast("binary")
     labelled = labelled.select("doc_id", "row", F.coalesce("label", "node", alone).alias("class"))

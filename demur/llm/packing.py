@@ -85,7 +85,7 @@ def _knapsack(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity:
     return float(best[capacity]), content
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 600) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 200) -> list[tuple[np.ndarray, int]]:
     """Contents and whole multiples of the configuration program's solution, rounded down."""
     k = len(sizes)
     if not k:
@@ -98,7 +98,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     for _ in range(rounds):
         prices = inverse.sum(axis=0)
         value, content = _knapsack(sizes, prices, most, capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + 1e-4:
             break
         direction = inverse @ content
         ratio = np.full(k, np.inf)
