@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python are cut again into pieces of about this many characters
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 #: bits of broadcast filters (8 MB)
 FILTER_BITS = 1 << 26
 

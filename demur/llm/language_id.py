@@ -29,7 +29,7 @@ UNDETERMINED = "und"
 #: letters of a piece at most, and of a word before it is cut (no piece crosses the cut)
 MAX_PIECE, MAX_WORD = 8, 40
 #: cached words, at about 150 bytes each
-MAX_WORDS = 1_000_000
+MAX_WORDS = 400_000
 #: added to every expected count, and given to a letter that is no piece
 SMOOTHING = 0.05
 

@@ -114,7 +114,7 @@ def _fingerprints(words: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, rows=2000):
+    for batch in small_batches(batches, rows=800):
         words, offsets = word_hashes(batch.column("text"))
         sig = dart_signatures(*counted(*shingle_hashes(words, offsets)), batch.num_rows)
         folded = np.zeros((batch.num_rows, BANDS), dtype=np.uint64)

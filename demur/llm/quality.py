@@ -39,7 +39,7 @@ _RATIO_BINS = 24
 TERMS = _TRIGRAMS + _RATIO_BINS
 #: weight of the compression terms beside a bag of trigrams of length 1
 _RATIO_WEIGHT = 0.5
-_ROWS = 1000
+_ROWS = 500
 
 
 def _classes() -> np.ndarray:

@@ -42,6 +42,8 @@ WINDOW, ANCHOR = 50, 16
 PART_BYTES, MIN_PARTS = 12_000_000, 48
 #: segments whose columns are built together; whole anchors, so more where one anchor has more
 CHUNK = 200_000
+#: text whose segments are sent together
+SEND_CHARS = 4_000_000
 ABSENT = 0xFF  # in no UTF-8 text
 #: documents without an id come before all others
 NO_ID = -(1 << 63)
@@ -217,7 +219,7 @@ SENT = "part int, doc_id long, mark long, packed binary"
 
 def _sender(parts: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, chars=SEND_CHARS):
             yield from _sent(batch, parts)
 
     return send
