@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demur.llm.common import id_and_text, small_batches, stored
+from demur.llm.common import id_and_text, small_batches, stored, with_maybe
 from demur.llm.shingling import mixed
 
 WINDOW, ANCHOR = 50, 16
@@ -43,7 +43,7 @@ PART_BYTES, MIN_PARTS = 12_000_000, 48
 #: segments whose columns are built together; whole anchors, so more where one anchor has more
 CHUNK = 200_000
 #: text whose segments are sent together
-SEND_CHARS = 4_000_000
+SEND_CHARS = 3_000_000
 ABSENT = 0xFF  # in no UTF-8 text
 #: documents without an id come before all others
 NO_ID = -(1 << 63)
@@ -158,6 +158,17 @@ def equal_windows(columns: Iterator[np.ndarray], docs: np.ndarray, starts: np.nd
                     yield rows[hit], column
 
 
+def _planes(values: np.ndarray, dtype: str) -> np.ndarray:
+    """First all lowest bytes, then all second ones, and so on; compresses better."""
+    kind = np.dtype(dtype)
+    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T)
+
+
+def _whole(planes: np.ndarray, dtype: str) -> np.ndarray:
+    kind = np.dtype(dtype)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 class _Parts:
     """One batch's segments for one part, as sent between tasks."""
 
@@ -167,12 +178,12 @@ class _Parts:
         body = rows[rows != ABSENT]
         used, document = np.unique(owner[1], return_inverse=True)
         arrays = (
-            start.astype(np.uint8), windows.astype(np.uint8), doc_ids[used].astype("<i8"), marks[used].astype("<u4"),
-            np.diff(owner[0], prepend=0).astype("<u4"), np.diff(document, prepend=0).astype("<i4"), at.astype("<u4"),
+            start.astype(np.uint8), windows.astype(np.uint8), _planes(np.diff(doc_ids[used], prepend=0), "<i8"), marks[used].astype("<u4"),
+            np.diff(owner[0], prepend=0).astype(np.uint8), _planes(np.diff(document, prepend=0), "<i4"), _planes(np.diff(at, prepend=0), "<i4"),
         )
         head = np.array([len(rows), len(used), len(document), len(body)], dtype="<u8")
         raw = b"".join([head.tobytes(), body.tobytes(), *[a.tobytes() for a in arrays]])
-        return zstandard.ZstdCompressor(level=3).compress(raw)
+        return zstandard.ZstdCompressor(level=6).compress(raw)
 
     def __init__(self, packed: bytes):
         raw = zstandard.decompress(packed)
@@ -187,10 +198,10 @@ class _Parts:
 
         self.body = take(np.uint8, size)
         self.start, self.windows = take(np.uint8, n).astype(np.int64), take(np.uint8, n).astype(np.int64)
-        self.doc_ids, self.marks = take("<i8", used), take("<u4", used)
-        self.segment = np.cumsum(take("<u4", occurrences)).astype(np.int64)
-        self.document = np.cumsum(take("<i4", occurrences)).astype(np.int64)
-        self.at = take("<u4", occurrences).astype(np.int64)
+        self.doc_ids, self.marks = np.cumsum(_whole(take(np.uint8, 8 * used), "<i8")), take("<u4", used)
+        self.segment = np.cumsum(take(np.uint8, occurrences), dtype=np.int64)  # each follows the one before, or is the same
+        self.document = np.cumsum(_whole(take(np.uint8, 4 * occurrences), "<i4"), dtype=np.int64)
+        self.at = np.cumsum(_whole(take(np.uint8, 4 * occurrences), "<i4"), dtype=np.int64)
 
     def rows(self) -> np.ndarray:
         out = np.full((len(self.start), COLUMNS), ABSENT, dtype=np.uint8)
@@ -373,6 +384,17 @@ def _compared(parts: list[_Parts]) -> Iterator[pa.RecordBatch]:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of which nothing is removed."""
+    for batch in small_batches(batches):
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        none = pa.array(np.zeros(len(texts), dtype=np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), none, none, pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        )
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -402,8 +424,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([_mark(t) for t in texts], pa.int64()), pa.array([compressor.compress(t) for t in texts], pa.binary())],
-            names=["doc_id", "mark", "packed"],
+            [
+                batch.column("doc_id"), pa.array([_mark(t) for t in texts], pa.int64()), pa.array([compressor.compress(t) for t in texts], pa.binary()),
+                batch.column("key"),
+            ],
+            names=["doc_id", "mark", "packed", "key"],
         )
 
 
@@ -421,10 +446,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = max(MIN_PARTS, -(-total // PART_BYTES))
     sent = texts.mapInArrow(_sender(parts), SENT).repartition(parts, "part").sortWithinPartitions("part")
     marks = stored(sent.mapInArrow(_marked, MARKS), "marks")
+    # rows that the broadcast filter clears keep all they have; only the others are shuffled
+    keyed = with_maybe(texts.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))), F.col("key"), marks.select("doc_id"))
+    untouched = keyed.filter("not _maybe").select("doc_id", "text").mapInArrow(_kept, RESULT)
+    packed = keyed.filter("_maybe").select("doc_id", "text", "key").mapInArrow(_packed, "doc_id long, mark long, packed binary, key long")
     # per row of documents as many intervals as its own segments give
     marks = marks.groupBy("doc_id", "mark").agg(F.collect_list("intervals").alias("intervals"))
-    packed = texts.mapInArrow(_packed, "doc_id long, mark long, packed binary")
-    packed = packed.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
     marks = marks.withColumnsRenamed({"doc_id": "key", "mark": "own"})
     joined = packed.join(marks, (packed["key"] == marks["key"]) & (packed["mark"] == marks["own"]), "left")
-    return joined.select("doc_id", "packed", "intervals").mapInArrow(_removed, RESULT)
+    return untouched.unionByName(joined.select("doc_id", "packed", "intervals").mapInArrow(_removed, RESULT))
