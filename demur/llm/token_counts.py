@@ -6,7 +6,7 @@ hold, how many tokens remain when everything is cut to the limit, and every quan
 the lengths. The histogram has one row per different length, not per document.
 
 Suffix sums are taken within ranges of ``RANGE`` lengths and over the totals of the ranges, so
-no task sorts the whole histogram: the totals are one row for every 4,096 lengths.
+no task sorts the whole histogram: the totals are one row for every 256 lengths.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from demur.llm.common import id_and_text, small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-RANGE = 4096
+RANGE = 256
 
 _encoders: dict[str, object] = {}
 
