@@ -91,7 +91,7 @@ FROM @lineitem@
 
 FIXTURES["base_instances"] = """
 SELECT doc_id AS line_no, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE concat('d', CAST(doc_id AS STRING)) END AS qid,
-  CASE WHEN doc_id % 23 = 0 THEN '' ELSE substring(text, 1, 60) END AS query,
+  CASE WHEN doc_id % 23 = 0 THEN '' ELSE text END AS query,
   CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS gold_doc,
   CASE WHEN doc_id % 29 = 0 THEN NULL ELSE concat('retrieved ', lang, ' ', source) END AS retrieved_doc,
   lang AS answer

@@ -35,15 +35,13 @@ def _(d: Data):
     return RD.count_bad_lines(d.spark, path, VOTE_SCHEMA).agg(F.sum("good_lines").alias("good_lines"), F.sum("bad_lines").alias("bad_lines"))
 
 
-@query("number_lines", "SELECT original_query, max(line_no) AS inside FROM verifications WHERE verifier_model = 'gpt' GROUP BY original_query")
+@query("number_lines", "SELECT original_query, max(line_no) AS inside FROM verifications GROUP BY original_query")
 def _(d: Data):
     """The last line by position is the one with the highest number inside the record."""
     path = d.scratch()
-    d.votes().filter("verifier_model = 'gpt'").orderBy("line_no").select("original_query", col("line_no").alias("inside")).write.json(path)
-    back = RD.number_lines(RD._raw_jsonl(d.spark, path, "original_query string, inside bigint"))
-    # part files are in order, so (file, position) is the position in the whole
-    placed = back.select("original_query", "inside", F.struct("_file", "line_no").alias("at"))
-    return S.dedupe_last(placed, ["original_query"], "at").select("original_query", "inside")
+    d.votes().orderBy("line_no").select("original_query", col("line_no").alias("inside")).write.json(path)
+    back = RD.read_jsonl(d.spark, path, "original_query string, inside bigint", numbered=True)
+    return S.dedupe_last(back, ["original_query"], "line_no").select("original_query", "inside")
 
 
 @query("read_verifications", """SELECT generator_model, verifier_model, line_no, source_qid, original_query, perturbed_query, perturbed_context, perturbation_class, intensity, lever_selected,
@@ -60,7 +58,7 @@ def _(d: Data):
         for v in ("claude", "nova", "gpt", "deepseek"):
             part = nested.filter((col("generator_model") == g) & (col("verifier_model") == v)).drop("generator_model", "verifier_model")
             part.write.json(f"{root}/dataset_{g}/log_verifications_{v}.jsonl")
-    return RD.read_verifications(d.spark, root).select(
+    return RD.read_verifications(d.spark, root, numbered=False).select(
         "generator_model", "verifier_model", "line_no", "source_qid", "original_query", "perturbed_query", "perturbed_context", "perturbation_class",
         "intensity", "lever_selected", "verification_successful", "verification_result", "lever_correctly_implemented",
     )
@@ -156,4 +154,4 @@ def _(d: Data):
     target = _drops(
         d, r.filter("seq % 3 = 0"), r.filter("seq % 3 <> 0"), lambda s, t, c: L.stream_progress(d.spark, s, RESULT_SCHEMA, t, c)
     )
-    return d.spark.read.parquet(target)
+    return L.progress(d.spark, target)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.metric_queries import board_sql, multi
 from checks.record_queries import samples
 from checks.registry import Data, query
-from checks.vote_queries import COMMON, KEPT, TASK, W, _counter, originals, sample_sql
+from checks.vote_queries import COMMON, KEPT, TASK, W, _counter, exact, originals, sample_sql
 from demur.functions.columns import col
 from demur.operators import metrics as M
 from demur.operators import voting as V
@@ -41,7 +41,7 @@ def _(d: Data):
     return datasets.common_dataset(d.votes(), n=40).select("generator_model", "perturbed_query", "task_id")
 
 
-RKEY = "concat_ws('|', source_qid, perturbation_class, intensity, lever_selected, line_no % 1000000000)"
+RKEY = exact("source_qid", "perturbation_class", "intensity", "lever_selected", "line_no % 1000000000").replace("length(line_no % 1000000000)", "length(CAST(line_no % 1000000000 AS STRING))")
 RPRE = "concat_ws('_', 'RB', source_qid, perturbation_class, intensity, substring(md5(concat_ws('|||', perturbed_query, perturbed_context, '', lever_selected)), 1, 8))"
 
 

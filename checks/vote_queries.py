@@ -11,7 +11,14 @@ from demur.operators import sampling as S
 from demur.operators import unified as UN
 from demur.operators import voting as V
 
-CONTENT = "concat_ws('|', source_qid, perturbed_query, perturbed_context, perturbation_class, intensity, lever_selected)"
+def exact(*columns: str) -> str:
+    """Every part after its length, as the engine's keys have it."""
+    return "concat(" + ", ".join(f"length({c}), ':', {c}" for c in columns) + ")"
+
+
+_CONTENT = ("source_qid", "perturbed_query", "perturbed_context", "perturbation_class", "intensity", "lever_selected")
+CONTENT = exact(*_CONTENT)
+READABLE = f"concat_ws('|', {', '.join(_CONTENT)})"
 LAST = f"""last AS (SELECT * FROM (SELECT *, md5({CONTENT}) AS content_key, row_number() OVER (PARTITION BY generator_model, verifier_model, {CONTENT}
   ORDER BY line_no DESC) AS rn FROM verifications) WHERE rn = 1),
 tagged AS (SELECT *, CASE WHEN verification_successful THEN verification_result ELSE 'ERROR' END AS result FROM last)"""
@@ -326,12 +333,13 @@ def _(d: Data):
     return d.votes().select("generator_model", "line_no", "verifier_model", K.stratum_key(cls, F.when(F.col("line_no") % 13 != 0, F.lower("intensity"))).alias("stratum"))
 
 
-@query("content_id", f"SELECT generator_model, verifier_model, line_no, {CONTENT} AS content_id, md5({CONTENT}) AS content_key FROM verifications")
+@query("content_id", f"SELECT generator_model, verifier_model, line_no, {READABLE} AS content_id, md5({CONTENT}) AS content_key FROM verifications")
 def _(d: Data):
     return d.votes().select("generator_model", "verifier_model", "line_no", K.content_id().alias("content_id"), K.content_key().alias("content_key"))
 
 
-TASK = "concat_ws('|', source_qid, original_query, perturbation_class, intensity, substring(original_context, 1, 200))"
+TASK = "concat_ws('|', source_qid, original_query, perturbation_class, intensity, md5(original_context))"
+TASK_KEY = exact("l.source_qid", "original_query", "l.perturbation_class", "l.intensity", "original_context")
 
 
 @query("task_id", f"SELECT generator_model, verifier_model, line_no, {TASK} AS task_id FROM verifications")
@@ -342,12 +350,19 @@ def _(d: Data):
 @query("perturbation_id", """SELECT generator_model, verifier_model, line_no, concat_ws('|', original_query, perturbation_class, intensity, substring(original_context, 1, 100)) AS single_id,
   concat_ws('|', source_qid, perturbation_class, intensity, substring(original_query, 1, 50)) AS multi_id FROM verifications""")
 def _(d: Data):
-    return d.votes().select("generator_model", "verifier_model", "line_no", K.perturbation_id().alias("single_id"), K.perturbation_id("multi").alias("multi_id"))
+    ids = K.perturbation_id("single", 100).alias("single_id"), K.perturbation_id("multi", 50).alias("multi_id")
+    return d.votes().select("generator_model", "verifier_model", "line_no", *ids)
+
+
+@query("resume_key", f"""SELECT generator_model, verifier_model, line_no, md5({exact("generator_model", "source_qid", "original_query", "original_context", "perturbation_class",
+  "intensity", "lever_selected", "perturbed_query", "perturbed_context")}) AS resume_key FROM verifications""")
+def _(d: Data):
+    return d.votes().select("generator_model", "verifier_model", "line_no", K.perturbation_id().alias("resume_key"))
 
 
 def _counter(prefix: str, ident: str) -> str:
-    part = f"CAST('0x' || substring(md5({ident}), 1, 3) AS INT)"
-    return f"(row_number() OVER (PARTITION BY {prefix}, {part} ORDER BY {ident}) - 1) * 4096 + {part} + 1"
+    """Plain ordinal within the prefix."""
+    return f"row_number() OVER (PARTITION BY {prefix} ORDER BY {ident})"
 
 
 UKEY = "concat_ws('_', 'RB', generator_model, source_qid, perturbation_class, intensity, substring(md5(concat_ws('|||', perturbed_query, perturbed_context, generator_model)), 1, 8))"
@@ -371,7 +386,7 @@ def _(d: Data):
     )
 
 
-COMMON = W + f""", {KEPT}, tk AS (SELECT k.generator_model, k.content_key, l.line_no, md5({TASK.replace('source_qid', 'l.source_qid').replace('perturbation_class', 'l.perturbation_class').replace('intensity', 'l.intensity')}) AS task_key
+COMMON = W + f""", {KEPT}, tk AS (SELECT k.generator_model, k.content_key, l.line_no, md5({TASK_KEY}) AS task_key
   FROM kept k JOIN last l ON l.generator_model = k.generator_model AND l.content_key = k.content_key AND l.verifier_model = 'claude'),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY generator_model, task_key ORDER BY line_no DESC, content_key DESC) AS rn FROM tk) WHERE rn = 1),
 common AS (SELECT generator_model, content_key, line_no, task_key FROM one WHERE task_key IN
@@ -416,6 +431,12 @@ def _(d: Data):
     return S.stratified_ids(kept(d), per_stratum=60, target=800)
 
 
+# more than a thousand rows per generator
+@query("stratified_sample_large", sample_sql(150, 1500) + "SELECT generator_model, content_key, stratum FROM samp")
+def _(d: Data):
+    return S.stratified_ids(kept(d), per_stratum=150, target=1500)
+
+
 @query("stratification_report", sample_sql() + """SELECT stratum, TRUE AS expected, count(*) AS count, count(DISTINCT generator_model) AS models_represented,
   count(DISTINCT generator_model) >= 3 AS is_balanced, CASE WHEN count(*) >= 88 THEN 'met' ELSE 'below' END AS status FROM samp GROUP BY stratum""")
 def _(d: Data):

@@ -53,6 +53,15 @@ def joined(columns: Iterable[str | Column], sep: str = "|") -> Column:
     return F.concat_ws(sep, *[F.coalesce(col(c).cast("string"), F.lit("")) for c in columns])
 
 
+def unambiguous(columns: Iterable[str | Column]) -> Column:
+    """The parts in a row, each after its length, so that no two different lists agree.
+
+    Null counts as ''. Meant to be hashed; ``joined`` is for ids that are shown.
+    """
+    parts = [F.coalesce(col(c).cast("string"), F.lit("")) for c in columns]
+    return F.concat(*[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)])
+
+
 def literal_array(values: Sequence) -> Column:
     return F.array(*[F.lit(v) for v in values])
 

@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demur import vocab
-from demur.functions.columns import col, joined, value_of
+from demur.functions.columns import col, joined, unambiguous, value_of
 
 CONTENT_FIELDS = ("source_qid", "perturbed_query", "perturbed_context", "perturbation_class", "intensity", "lever_selected")
 BARS = "|||"
-SLICES = 4096  # three hex digits of an md5
 
 
 def patches_text(c: str | Column) -> Column:
@@ -37,24 +36,57 @@ def stratum_key(perturbation_class: str | Column = "perturbation_class", intensi
 
 
 def content_id(fields: Sequence[str | Column] = CONTENT_FIELDS) -> Column:
-    """Exactly the same rewritten content."""
+    """Exactly the same rewritten content, readable."""
     return joined(fields)
 
 
 def content_key(fields: Sequence[str | Column] = CONTENT_FIELDS) -> Column:
-    return F.md5(content_id(fields))
+    return F.md5(unambiguous(fields))
 
 
-def task_id() -> Column:
-    """The same task whichever generator worked on it: no lever, start of the context."""
-    return joined(["source_qid", "original_query", "perturbation_class", "intensity", F.substring("original_context", 1, 200)])
+def _digest(c: str | Column) -> Column:
+    return F.md5(F.coalesce(col(c), F.lit("")))
 
 
-def perturbation_id(kind: str = "single") -> Column:
-    """Resume key of the verification stage."""
+def task_id(prefix: int | None = None) -> Column:
+    """The same task whichever generator worked on it: no lever, the context by its digest.
+
+    ``prefix`` gives the older form with the first characters of the context instead, which
+    takes different tasks for one where contexts start alike.
+    """
+    context = _digest("original_context") if prefix is None else F.substring("original_context", 1, prefix)
+    return joined(["source_qid", "original_query", "perturbation_class", "intensity", context])
+
+
+def task_key(prefix: int | None = None) -> Column:
+    if prefix is not None:
+        return F.md5(task_id(prefix))
+    return F.md5(unambiguous(["source_qid", "original_query", "perturbation_class", "intensity", "original_context"]))
+
+
+RESUME_FIELDS = (
+    "generator_model", "source_qid", "original_query", "original_context", "perturbation_class", "intensity", "lever_selected",
+    "perturbed_query", "perturbed_context",
+)
+
+
+def resume_fields(kind: str = "single") -> list[str | Column]:
+    if kind == "single":
+        return list(RESUME_FIELDS)
+    return ["generator_model", "original_query", *multi_content_fields()]
+
+
+def perturbation_id(kind: str = "single", prefix: int | None = None) -> Column:
+    """Resume key of the verification stage: the whole rewrite, its question and its generator.
+
+    ``prefix`` gives the older readable form that cuts the context (or question) and leaves
+    out generator, lever and rewritten text.
+    """
+    if prefix is None:
+        return F.md5(unambiguous(resume_fields(kind)))
     if kind == "single":
-        return joined(["original_query", "perturbation_class", "intensity", F.substring("original_context", 1, 100)])
-    return joined(["source_qid", "perturbation_class", "intensity", F.substring("original_query", 1, 50)])
+        return joined(["original_query", "perturbation_class", "intensity", F.substring("original_context", 1, prefix)])
+    return joined(["source_qid", "perturbation_class", "intensity", F.substring("original_query", 1, prefix)])
 
 
 def verifier_short_name(c: str | Column) -> Column:
@@ -84,12 +116,11 @@ _HASHED = {
 
 
 def unique_key(df: DataFrame, variant: str = "stratified", ident: str | Column = "content_key", name: str = "unique_id") -> DataFrame:
-    """Add a printable primary key ending in a counter.
+    """Add a printable primary key ending in an ordinal.
 
-    The counter tells apart rows that agree in everything before it. It is taken within
-    (prefix, slice), a slice being one of 4,096 values of a hash of the row's identity,
-    and numbered so that slices never collide. However many rows share a prefix, they are
-    spread over 4,096 small windows instead of one.
+    The ordinal tells apart rows that agree in everything before it, among them a digest of
+    the content, so nearly all rows have the first. It is counted on (prefix, ident) alone
+    and only ordinals from the second on are joined back: no text passes a window.
     """
     if variant == "multi":
         df = df.withColumns({
@@ -101,9 +132,9 @@ def unique_key(df: DataFrame, variant: str = "stratified", ident: str | Column =
         parts.insert(0, generator_short_name("generator_model"))
     digest = F.substring(F.md5(joined(_HASHED[variant], BARS)), 1, 8)
     prefix = F.concat_ws("_", F.lit("RB"), *parts, digest)
-    slice_no = F.conv(F.substring(F.md5(col(ident).cast("string")), 1, 3), 16, 10).cast("int")
-    within = F.row_number().over(Window.partitionBy("_prefix", "_slice").orderBy("_ident"))
-    counter = (within.cast("long") - 1) * SLICES + col("_slice") + 1
-    out = df.withColumns({"_prefix": prefix, "_slice": slice_no, "_ident": col(ident)}).withColumn("_n", counter)
-    out = out.withColumn(name, F.concat_ws("_", "_prefix", F.format_string("%04d", "_n")))
-    return out.drop("_prefix", "_slice", "_ident", "_n", "signal_text", "noise_text")
+    out = df.withColumns({"_prefix": prefix, "_ident": col(ident).cast("string")})
+    place = F.row_number().over(Window.partitionBy("_prefix").orderBy("_ident"))
+    later = out.select("_prefix", "_ident").distinct().withColumn("_n", place).filter("_n > 1")
+    out = out.join(later, ["_prefix", "_ident"], "left")
+    out = out.withColumn(name, F.concat_ws("_", "_prefix", F.format_string("%04d", F.coalesce("_n", F.lit(1)))))
+    return out.drop("_prefix", "_ident", "_n", "signal_text", "noise_text")

@@ -44,9 +44,9 @@ def remaining(samples: DataFrame, done: DataFrame, models: Sequence[str], ident:
     return samples.join(finished, ident, "left").withColumn("model_id", F.explode(todo)).drop("_done")
 
 
-def remaining_verifications(rewrites: DataFrame, done: DataFrame, kind: str = "single") -> DataFrame:
-    """Rewrites whose resume key is not in the verification log."""
-    key = F.md5(perturbation_id(kind))
+def remaining_verifications(rewrites: DataFrame, done: DataFrame, kind: str = "single", prefix: int | None = None) -> DataFrame:
+    """Rewrites whose resume key is not in the verification log (``prefix``: the older, cut key)."""
+    key = perturbation_id(kind) if prefix is None else F.md5(perturbation_id(kind, prefix))
     seen = done.select(key.alias("_key")).distinct()
     return rewrites.withColumn("_key", key).join(seen, "_key", "left_anti").drop("_key")
 
@@ -94,8 +94,16 @@ def missing_cells(instances: DataFrame, done: DataFrame, target: int | None = No
 
 
 def attach(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Requests with their replies by request_id; without a reply a request is pending."""
-    replies = responses.select("request_id", "response", *(["error"] if "error" in responses.columns else []), F.lit(True).alias("_seen"))
-    if "error" not in replies.columns:
-        replies = replies.withColumn("error", F.lit(None).cast("string"))
-    return requests.join(replies, "request_id", "left").withColumn("pending", col("_seen").isNull()).drop("_seen")
+    """Requests with their replies by request_id; without a reply a request is pending.
+
+    Of several replies to one request the last successful one counts, by ``seq`` where the
+    replies have it (without it by their text, which at least is repeatable).
+    """
+    error = col("error") if "error" in responses.columns else F.lit(None).cast("string")
+    seq = col("seq") if "seq" in responses.columns else F.lit(0)
+    reply = F.struct(error.isNull().alias("ok"), seq.alias("seq"), "response", error.alias("error"))
+    replies = responses.groupBy("request_id").agg(F.max(reply).alias("_reply"))
+    joined = requests.join(replies, "request_id", "left")
+    return joined.withColumns({
+        "response": col("_reply.response"), "error": col("_reply.error"), "pending": col("_reply").isNull()
+    }).drop("_reply")

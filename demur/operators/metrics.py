@@ -191,13 +191,9 @@ def confusion_matrix(results: DataFrame, by_intensity: bool = False) -> DataFram
 
 def mean_confusion(confusion: DataFrame) -> DataFrame:
     """Average cell count over the models present; a model without the cell adds 0."""
-    # the confusion table is small (models x labels x types), so one window over it is too
-    models = F.size(F.collect_set("model_id").over(Window.partitionBy(F.lit(1))))
-    return (
-        confusion.withColumn("models", models)
-        .groupBy("ground_truth_label", "model_predicted_type")
-        .agg((F.sum("n") / F.max("models")).alias("mean_n"))
-    )
+    models = only_value(confusion.agg(F.count_distinct("model_id")))
+    total = confusion.groupBy("ground_truth_label", "model_predicted_type").agg(F.sum("n").alias("n"))
+    return total.select("ground_truth_label", "model_predicted_type", (col("n") / models).alias("mean_n"))
 
 
 def cohen_kappa(results: DataFrame) -> DataFrame:

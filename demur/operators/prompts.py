@@ -129,9 +129,11 @@ def _constraint(branch: Column, shown: Column) -> Column:
 
 
 def generator_requests(
-    instances: DataFrame, family: str = "single", cells: DataFrame | None = None, keep: Sequence[str] = ()
+    instances: DataFrame, family: str = "single", cells: DataFrame | None = None, keep: Sequence[str] = (),
+    generator: str | None = None,
 ) -> DataFrame:
-    """Prompt per (instance, cell). ``cells`` is a work list that already has
+    """Prompt per (instance, cell). ``generator`` names the model to be asked and becomes part of
+    the request_id, so that several generators' requests stay apart. ``cells`` is a work list that already has
     perturbation_class and intensity (``missing_cells``); without it the whole grid.
     ``keep`` names further input columns for the request table."""
     single = family == "single"
@@ -157,7 +159,7 @@ def generator_requests(
         F.lit("Reply with one JSON object in a json fence:\n" + _keys(names)),
     )
     return rows.select(
-        request_id("generate", "qid", "perturbation_class", "intensity").alias("request_id"), col("qid").alias("source_qid"),
+        request_id("generate", *([F.lit(generator)] if generator else []), "qid", "perturbation_class", "intensity").alias("request_id"), col("qid").alias("source_qid"),
         col("line_no").alias("source_line"), "perturbation_class", "intensity", branch.alias("branch"), prompt.alias("prompt"), *keep,
     )
 

@@ -16,11 +16,8 @@ def as_answers(df: DataFrame, column: str = "answer") -> Column:
     return c if isinstance(df.schema[column].dataType, T.ArrayType) else F.array(c)
 
 
-def base_instances(df: DataFrame, max_instances: int | None = vocab.MAX_INSTANCES) -> DataFrame:
-    """Questions with a context, the first ``max_instances`` in line order.
-
-    The bound is the feature here (how many questions to perturb); with it Spark keeps
-    only that many rows per task. None keeps all.
+def base_instances(df: DataFrame, max_instances: int | None = None) -> DataFrame:
+    """Questions with a context, all of them or the first ``max_instances`` in line order.
     """
     first_gold = F.try_element_at("gold_docs", F.lit(1))
     context = F.when(F.size("gold_docs") > 0, first_gold).otherwise(F.try_element_at("retrieved_docs", F.lit(1)))

@@ -1,32 +1,42 @@
 """Repeatable sampling, deduplication and sample reports.
 
 A sample is "the first n in the order of md5(seed:id)". The order depends on nothing but
-the rows, so the same rows come out whatever the partitioning, and it needs no global
-sort: with a constant bound Spark keeps only n rows per group and task before the
-shuffle, so a stratum holding a third of all rows costs its final task n rows per input
-task. Only ids travel through the windows; the full rows are picked up afterwards.
+the rows, so the same rows come out whatever the partitioning. The rows of a group are
+counted by the first digits of the hash; running sums over these counts tell which digits
+belong to the sample as a whole, and only rows with the digits at the cut are ranked. So
+no task ever sorts a whole group, whatever n is. Only ids travel through this; the full
+rows are picked up afterwards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demur import vocab
 from demur.functions.columns import col, literal_array, literal_table, percent, sample_order
 from demur.functions.keys import stratum_key
 
-# rows a sample may have for its ids to be broadcast without looking at the data
-BROADCAST_ROWS = 100_000
+#: leading hex digits of the hash that rows are counted by (65,536 buckets a group)
+DIGITS = 4
 
 
-def _pick(df: DataFrame, ids: DataFrame, on: Sequence[str], bound: int | None) -> DataFrame:
-    """Semi join with sampled ids, broadcast only where parameters bound their number."""
-    if bound is not None and bound <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return df.join(ids, list(on), "left_semi")
+def first_n(df: DataFrame, keys: Sequence[str], n: int | Column, order: str = "_h", ident: str = "content_key") -> DataFrame:
+    """The first n rows of every group in the order of a hex hash, ties by id; any n.
+
+    ``n`` may be a column of ``df`` that is the same within a group. ``df`` is read twice and
+    should be narrow.
+    """
+    limit = F.lit(n) if isinstance(n, int) else n
+    bucketed = df.withColumns({"_bucket": F.substring(order, 1, DIGITS), "_limit": limit.cast("long")})
+    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"), F.max("_limit").alias("_most"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cut = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).filter(col("_before") < col("_most"))
+    within = Window.partitionBy(*keys, "_bucket").orderBy(order, ident)
+    kept = bucketed.join(cut.select(*keys, "_bucket", "_before"), [*keys, "_bucket"]).withColumn("_place", F.row_number().over(within))
+    return kept.filter(col("_before") + col("_place") <= col("_limit")).select(*df.columns)
 
 
 def stratified_ids(
@@ -36,52 +46,38 @@ def stratified_ids(
     """(generator, id, stratum) of the stratified sample.
 
     Each generator gives up to ``per_stratum`` rows from each of the 18 strata and is then
-    filled up to ``target`` from its unused rows of any stratum. The fill lies within the
-    first ``target`` rows of the generator: of these at most as many are used as the quota
-    took, so enough unused ones are left. Both candidate sets thus have a constant bound.
+    filled up to ``target`` from its unused rows of any stratum. ``df`` is read several times;
+    write it first if it is expensive.
     """
     narrow = df.select(
         "generator_model", stratum_key().alias("stratum"), col(ident).alias(ident), sample_order(seed, ident).alias("_h")
     )
-    by_stratum = Window.partitionBy("generator_model", "stratum").orderBy("_h", ident)
-    by_generator = Window.partitionBy("generator_model").orderBy("_h", ident)
-    quota = (
-        narrow.withColumn("rn", F.row_number().over(by_stratum)).filter(col("rn") <= per_stratum)
-        .withColumn("picked", col("stratum").isin(*vocab.STRATA))
-    )
-    first = (
-        narrow.withColumn("rn", F.row_number().over(by_generator)).filter(col("rn") <= target)
-        .withColumn("picked", F.lit(False))
-    )
-    # a few hundred rows per generator from here on
-    candidates = quota.unionByName(first).groupBy("generator_model", "stratum", ident, "_h").agg(F.bool_or("picked").alias("picked"))
-    taken = F.count_if("picked").over(Window.partitionBy("generator_model"))
-    fill = F.row_number().over(Window.partitionBy("generator_model", "picked").orderBy("_h", ident))
-    return (
-        candidates.withColumns({"taken": taken, "fill": fill})
-        .filter(col("picked") | (col("fill") <= F.lit(target) - col("taken")))
-        .select("generator_model", ident, "stratum")
-    )
+    quota = first_n(narrow.filter(col("stratum").isin(*vocab.STRATA)), ["generator_model", "stratum"], per_stratum, ident=ident)
+    taken = quota.groupBy("generator_model").agg(F.count(F.lit(1)).alias("_taken"))
+    rest = narrow.join(quota.select("generator_model", ident), ["generator_model", ident], "left_anti")
+    rest = rest.join(taken, "generator_model", "left")
+    missing = F.lit(target) - F.coalesce("_taken", F.lit(0))
+    fill = first_n(rest, ["generator_model"], missing, ident=ident)
+    columns = ("generator_model", ident, "stratum")
+    return quota.select(*columns).unionByName(fill.select(*columns))
 
 
 def stratified_sample(
     df: DataFrame, ident: str = "content_key", per_stratum: int = vocab.PER_STRATUM,
-    target: int = vocab.PER_GENERATOR, seed: int = vocab.SEED, generators: int | None = None,
+    target: int = vocab.PER_GENERATOR, seed: int = vocab.SEED,
 ) -> DataFrame:
-    """The sampled rows. ``generators``, where known, bounds the sample's size."""
+    """The sampled rows."""
     ids = stratified_ids(df, ident, per_stratum, target, seed).drop("stratum")
-    most = max(target, per_stratum * len(vocab.STRATA))
-    return _pick(df, ids, ["generator_model", ident], generators and generators * most)
+    return df.join(ids, ["generator_model", ident], "left_semi")
 
 
 def domain_sample(
     df: DataFrame, domains: Sequence[str] = vocab.TARGET_DOMAINS, n: int = vocab.PER_DOMAIN,
     seed: int = vocab.SEED, domain: str = "question_category", ident: str = "sample_id",
 ) -> DataFrame:
-    order = Window.partitionBy(domain).orderBy(sample_order(seed, ident), ident)
     wanted = df.filter(col(domain).isin(*domains))
-    ids = wanted.select(domain, ident).withColumn("rn", F.row_number().over(order)).filter(col("rn") <= n).select(domain, ident)
-    return _pick(wanted, ids, [domain, ident], n * len(domains))
+    ids = first_n(wanted.select(domain, ident, sample_order(seed, ident).alias("_h")), [domain], n, ident=ident)
+    return wanted.join(ids.select(domain, ident), [domain, ident], "left_semi")
 
 
 def task_sample(common: DataFrame, n: int | None = None, seed: int = vocab.SEED) -> DataFrame:
@@ -89,7 +85,7 @@ def task_sample(common: DataFrame, n: int | None = None, seed: int = vocab.SEED)
     if n is None:
         return common
     ids = common.select("task_key").distinct().orderBy(sample_order(seed, "task_key"), "task_key").limit(n)
-    return _pick(common, ids, ["task_key"], n)
+    return common.join(ids, "task_key", "left_semi")
 
 
 def dedupe_last(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:

@@ -100,13 +100,16 @@ def replace_gold_doc(perturbed: str | Column = "perturbed_context", docs: str |
 def join_original(df: DataFrame, originals: DataFrame, seq: str = "line_no") -> DataFrame:
     """Attach the base question by qid; ``has_original`` tells misses apart.
 
-    On a repeated qid the last line wins, an empty qid is ignored. After the
-    deduplication the right side has one row per qid, so a question with very many
-    rewrites only makes the left side uneven, which adaptive execution splits.
+    On a repeated qid the last line wins, an empty qid is ignored. Both sides are dealt out
+    for the join itself, by the qid and its hash: the partitions that the deduplication
+    leaves are not reused, as adaptive execution splits a question with very many rewrites
+    only where both sides come straight from a shuffle.
     """
     base = dedupe_last(originals.filter(F.length("qid") > 0), ["qid"], seq).drop(seq)
     fields = [col(c).alias(f"original_{c}" if c in df.columns else c) for c in base.columns]
-    joined = df.join(base.select(*fields, F.lit(True).alias("has_original")), df["source_qid"] == col("qid"), "left")
+    right = base.select(*fields, F.xxhash64("qid").alias("_right"), F.lit(True).alias("has_original"))
+    left = df.withColumn("_left", F.xxhash64("source_qid"))
+    joined = left.join(right, (left["source_qid"] == right["qid"]) & (left["_left"] == right["_right"]), "left").drop("_left", "_right")
     return joined.withColumns({
         "has_original": F.coalesce("has_original", F.lit(False)),
         "retrieved_docs": F.when(col("has_original"), replace_gold_doc()),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from demur import vocab
 from demur.functions.columns import col, only_value, percent, value_of
-from demur.functions.keys import CONTENT_FIELDS, content_key, generator_short_name, task_id
+from demur.functions.keys import CONTENT_FIELDS, content_key, generator_short_name, task_key
 
 GROUP = ("generator_model", "content_key", "source_qid", "perturbation_class", "intensity", "lever_selected")
 
@@ -39,7 +39,8 @@ _GENERATED_BIT, _LABEL_BIT, _LINE_BIT = 11, 12, 16
 def _packed(votes: DataFrame) -> Column:
     """line_no, label, flags and outcome of one vote as one long."""
     terms = [
-        f"coalesce(line_no, 0) * {1 << _LINE_BIT}",
+        # without its line a vote could not be found again
+        f"coalesce(line_no, raise_error('votes need line_no: read them with numbered=True')) * {1 << _LINE_BIT}",
         f"""CASE WHEN NOT coalesce(verification_successful, false) THEN {_OUTCOMES["ERROR"]}
             WHEN verification_result = 'PASS' THEN {_OUTCOMES["PASS"]}
             WHEN verification_result = 'FAIL' THEN {_OUTCOMES["FAIL"]} ELSE {_OUTCOMES["OTHER"]} END""",
@@ -233,13 +234,13 @@ def representatives(
     return base_verification(votes.filter(col("verifier_model") == verifiers[0]), kept, content)
 
 
-def common_tasks(votes: DataFrame, kept: DataFrame) -> DataFrame:
+def common_tasks(votes: DataFrame, kept: DataFrame, prefix: int | None = None) -> DataFrame:
     """Tasks agreed in every generator that has any agreed content, at least two.
 
     One content per (generator, task), the last line winning. Output has one row per
     generator and task.
     """
-    rows = representatives(votes, kept).select("generator_model", "content_key", "line_no", F.md5(task_id()).alias("task_key"))
+    rows = representatives(votes, kept).select("generator_model", "content_key", "line_no", task_key(prefix).alias("task_key"))
     last = Window.partitionBy("generator_model", "task_key").orderBy(F.desc("line_no"), F.desc("content_key"))
     single = rows.withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn")
     generators = only_value(kept.agg(F.count_distinct("generator_model")))

@@ -14,7 +14,7 @@ from demur import vocab
 from demur.functions.columns import col
 from demur.functions.keys import unique_key
 from demur.operators import sampling, unified, voting
-from demur.plans.shared import materialise, small_or_as_is
+from demur.plans.shared import materialise
 from demur.sources import sinks
 
 # the reference builder matches rewrites by what was asked, not by the rewritten text
@@ -27,12 +27,12 @@ def stratified_dataset(
     """Agreed rewrites, evenly over the 18 strata of every generator.
 
     The sample is decided on ids, hashes and votes. The agreed contents are used three
-    times (two rankings, the final pick) and therefore written once; the sample is written
-    too, and being small is broadcast to the texts, which are then read without a shuffle.
+    times (quota, fill, the final pick) and therefore written once, and so is the sample;
+    where it turns out small, adaptive execution sends it to the texts.
     """
     kept = materialise(voting.generation_success_filter(voting.agreed(voting.align(votes), mode)), "kept")
     sample = materialise(sampling.stratified_sample(kept, per_stratum=per_stratum, target=target, seed=seed), "sample")
-    return unified.unified_record(votes, small_or_as_is(sample), mode)
+    return unified.unified_record(votes, sample, mode)
 
 
 def common_dataset(votes: DataFrame, mode: str = "unanimous", n: int | None = None, seed: int = vocab.SEED) -> DataFrame:
@@ -42,7 +42,7 @@ def common_dataset(votes: DataFrame, mode: str = "unanimous", n: int | None = No
     chosen = materialise(
         kept.join(tasks.select("generator_model", "content_key"), ["generator_model", "content_key"], "left_semi"), "chosen"
     )
-    return unified.unified_record(votes, small_or_as_is(chosen), mode, "common_tasks")
+    return unified.unified_record(votes, chosen, mode, "common_tasks")
 
 
 def reference_dataset(votes: DataFrame, originals: DataFrame, mode: str = "all_agree", verifiers: tuple[str, ...] = vocab.VERIFIERS) -> DataFrame:
@@ -64,10 +64,12 @@ def reference_dataset(votes: DataFrame, originals: DataFrame, mode: str = "all_a
 
 
 def write_filtered_votes(votes: DataFrame, tasks: DataFrame, path: str) -> None:
-    """The votes on selected contents, one folder per (generator, verifier)."""
-    named = voting.annotate(votes)
-    chosen = named.join(tasks.select("generator_model", "content_key"), ["generator_model", "content_key"], "left_semi")
-    sinks.write_by_pair(sampling.dedupe_last(chosen, ["generator_model", "content_key", "verifier_model"], "line_no"), path)
+    """The votes that count on selected contents (aligned rows), one folder per (generator, verifier)."""
+    vote = F.explode(F.filter("votes", lambda v: v["result"] != "MISSING"))
+    wanted = tasks.select("generator_model", "content_key", vote.alias("v"))
+    # an aligned row knows which line of which verifier counts
+    wanted = wanted.select("generator_model", "content_key", col("v.verifier_model").alias("verifier_model"), col("v.line_no").alias("line_no"))
+    sinks.write_by_pair(voting.annotate(votes).join(wanted, wanted.columns, "left_semi"), path)
 
 
 def write_dataset(dataset: DataFrame, path: str, mode: str = "unanimous", seed: int = vocab.SEED) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from demur.operators import analysis, metrics, multidoc, voting
-from demur.plans.shared import materialise
+from demur.plans.shared import discard, materialise
 from demur.sources import sinks
 
 
@@ -80,11 +80,26 @@ def agreement_tables(aligned: DataFrame) -> dict[str, DataFrame]:
 
 def write_metric_report(results: DataFrame, path: str) -> None:
     """Every single-document table as CSV, from counts taken in one pass over the results."""
-    for name, table in metric_tables(materialise(metrics.condense(results), "counts")).items():
+    counts = materialise(metrics.condense(results), "counts")
+    for name, table in metric_tables(counts).items():
         sinks.write_csv(table, f"{path}/{name}")
+    discard(counts)
 
 
 def write_agreement_report(votes: DataFrame, path: str) -> None:
     """Every agreement table as CSV, from votes aligned once."""
-    for name, table in agreement_tables(materialise(voting.align(votes), "aligned")).items():
+    aligned = materialise(voting.align(votes), "aligned")
+    for name, table in agreement_tables(aligned).items():
+        sinks.write_csv(table, f"{path}/{name}")
+    discard(aligned)
+
+
+def write_multidoc_report(results: DataFrame, path: str) -> None:
+    """Every multi-document table as CSV, and the class, intensity and coverage tables of the
+    same results in single-document form."""
+    single = multidoc.as_single(results)
+    tables = multidoc_tables(results) | {
+        "by_class": metrics.refusal_by_class(single), "by_intensity": metrics.refusal_by_intensity(single), "coverage": metrics.coverage_matrix(single),
+    }
+    for name, table in tables.items():
         sinks.write_csv(table, f"{path}/{name}")

@@ -2,8 +2,8 @@
 
 A plan that uses one result several times writes it once and reads it back: the work is
 not repeated, the lineage is cut, and losing executors loses nothing. The folder is the
-one the session names in ``spark.checkpoint.dir``; only where that is unset (local runs)
-is a temporary folder used.
+one the caller gives or the session names in ``spark.checkpoint.dir``; only a local session
+may go without one.
 """
 
 from __future__ import annotations
@@ -12,27 +12,34 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="demur-")
+
+def shared_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    base = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("give a folder that all executors share, or set spark.checkpoint.dir")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/demur-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write the frame to shared storage and read it back."""
-    path = shared_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name, folder)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._demur_path = path
+    return back
 
 
-def small_or_as_is(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a look at a written table shows that it is small.
+def discard(written: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing reads it any more."""
+    path = getattr(written, "_demur_path", None)
+    if path:
+        hadoop_path = written.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
-    The look reads at most ``rows`` + 1 entries of a table that already exists; a larger
-    one is left to a shuffle join.
-    """
-    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,16 +45,29 @@ def _raw_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return _or_empty(read, empty)
 
 
-def number_lines(df: DataFrame) -> DataFrame:
-    """``line_no`` that grows with the position in the file.
+def number_lines(df: DataFrame, log: Column | None = None) -> DataFrame:
+    """``line_no``: the place of the line in its log, counted over all part files in path order.
 
-    Splits of a file are told apart by their start offset, lines of a split by their place
-    in it. As every line takes at least one byte, offset + place grows along the whole
-    file. One window per file split (a bounded number of bytes), so no file is numbered by
-    a single task. The numbers have gaps; their order is what "the last line wins" needs.
+    The rows of every split are counted first, in a pass that moves nothing but one row per
+    split; running sums over these give each split its first number, and the place within
+    the split is the place within its partition. No text is shuffled. ``log`` tells apart
+    several logs in one read; without it everything read is one log.
     """
-    place = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
-    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("line_no", col("_block") + place).drop("_at")
+    at = df.withColumns({"_at": F.monotonically_increasing_id(), "_log": F.lit("") if log is None else log})
+    splits = at.groupBy("_log", "_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    order = Window.partitionBy("_log").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_log", "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(order), F.lit(0)).alias("_before"))
+    placed = at.join(F.broadcast(starts) if _few_splits(df) else starts, ["_log", "_file", "_block"])
+    return placed.withColumn("line_no", col("_before") + col("_at") - col("_first") + 1).drop("_at", "_log", "_first", "_before")
+
+
+#: splits whose numbers are broadcast (about 200 bytes each)
+MAX_SPLITS = 50_000
+
+
+def _few_splits(df: DataFrame) -> bool:
+    """The splits are known before anything is read; beyond the bound they are joined by shuffle."""
+    return df.rdd.getNumPartitions() <= MAX_SPLITS
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, numbered: bool = False) -> DataFrame:
@@ -62,8 +76,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, numbe
     ``numbered`` fills ``line_no`` from the position in the file, for logs whose records
     do not carry one.
     """
-    df = _raw_jsonl(spark, path, schema).filter(col(BAD).isNull())
-    return (number_lines(df) if numbered else df).drop(BAD, "_file", "_block")
+    df = _raw_jsonl(spark, path, schema)
+    df = number_lines(df) if numbered else df
+    return df.filter(col(BAD).isNull()).drop(BAD, "_file", "_block")
 
 
 def count_bad_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -75,23 +90,45 @@ def count_bad_lines(spark: SparkSession, path: str, schema: str | T.StructType)
 
 
 def read_verifications(
-    spark: SparkSession, root: str, schema: str | T.StructType = schemas.VERIFICATION, numbered: bool = False
+    spark: SparkSession, root: str, schema: str | T.StructType = schemas.VERIFICATION, numbered: bool = True
 ) -> DataFrame:
     """All verification files of all generator folders in one read.
 
+    A vote is known by its log and its line; ``numbered=False`` keeps the records' own
+    ``line_no``, which must then be unique within a log.
+
     ``dataset_<generator>/<anything>verifications_<verifier>.jsonl``; generator and
     verifier come from the path, the verdict's fields become columns.
     """
-    raw = _raw_jsonl(spark, f"{root}/dataset_*/*verifications_*.jsonl", schema).filter(col(BAD).isNull())
-    if numbered:
-        raw = number_lines(raw)
     pattern = r"dataset_([^/]+)/[^/]*verifications_([^/]+)\.jsonl(/|$)"  # a file, or a folder Spark wrote
+    raw = _raw_jsonl(spark, f"{root}/dataset_*/*verifications_*.jsonl", schema)
+    if numbered:
+        raw = number_lines(raw, F.concat_ws("/", *[F.regexp_extract("_file", pattern, k) for k in (1, 2)]))
+    raw = raw.filter(col(BAD).isNull())
     tagged = raw.withColumns({
         "generator_model": F.regexp_extract("_file", pattern, 1), "verifier_model": F.regexp_extract("_file", pattern, 2)
     })
     return flatten_verdict(tagged).drop(BAD, "_file", "_block")
 
 
+def read_multi_verifications(spark: SparkSession, root: str, numbered: bool = True) -> DataFrame:
+    """Multi-document verification logs with the rewrite's fields as columns, ready to align.
+
+    The question and its identity come from the original record, class and intensity from the
+    perturbation's metadata, the patches and the lever from its results.
+    """
+    logs = read_verifications(spark, root, schemas.MULTI_VERIFICATION, numbered)
+    meta, result, base = "perturbation_metadata", "perturbation_results", "original_data"
+    return logs.withColumns({
+        **{c: col(meta)[c] for c in ("perturbation_class", "intensity", "generation_successful", "source_qid", "source_line")},
+        **{c: col(result)[c] for c in (
+            "perturbed_query", "perturbed_signal_passages", "perturbed_noise_passages", "lever_selected", "implementation_reasoning",
+            "intensity_achieved", "expected_rag_behavior",
+        )},
+        "original_query": col(base)["question"], "parsing_successful": col(result)["parsing_successful"],
+    })
+
+
 def flatten_verdict(df: DataFrame) -> DataFrame:
     """Fields of ``verification_response`` as columns; a record's own field of the same
     name gives way, except its parsing flag."""
@@ -104,19 +141,76 @@ def flatten_verdict(df: DataFrame) -> DataFrame:
 _INTEGERS = ("eligibility_score", "unadjusted_factuality_score", "raf_score")
 
 
-def read_results(spark: SparkSession, path: str, kind: str = "single", extra: str = "") -> DataFrame:
-    """Evaluation results: Parquet folder, or CSV with quoted multi-line texts.
+#: older and multi-document names of columns that the metrics read
+_ALIASES = {"model_id": ("model", "model_name"), "model_predicted_type": ("refusal_classification",), "ground_truth_label": ("expected_behavior",)}
+
+
+def _is_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether the first data file at a path starts as Parquet files do."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    filesystem = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not filesystem.exists(hadoop_path):
+        return False
+    files = filesystem.listFiles(hadoop_path, True)
+    while files.hasNext():
+        file = files.next().getPath()
+        if not file.getName().startswith(("_", ".")):
+            stream = filesystem.open(file)
+            try:
+                return [stream.read() for _ in range(4)] == list(b"PAR1")
+            finally:
+                stream.close()
+    return False
+
+
+def _csv_layouts(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """The different first lines of the files, each with the files that have it."""
+    text = spark.read.text(path).select("value", col("_metadata.file_path").alias("file"), col("_metadata.file_block_start").alias("block"))
+    first = text.filter("block = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    return [(r["header"], list(r["files"])) for r in first.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()]
+
+
+def _by_name(df: DataFrame, struct: T.StructType, keys: tuple[str, ...]) -> DataFrame:
+    """The wanted columns by name; an absent one is null, an absent key column an error."""
+    present = {c.strip().lower(): c for c in df.columns}
+    columns = []
+    for field in struct:
+        name = next((present[n.lower()] for n in (field.name, *_ALIASES.get(field.name, ())) if n.lower() in present), None)
+        if name is None and field.name in keys:
+            raise ValueError(f"the results have no column {field.name}: {df.columns}")
+        value = F.lit(None) if name is None else F.col(f"`{name}`")
+        columns.append(F.when(value.cast("string") != "", value).cast(field.dataType).alias(field.name))
+    return df.select(*columns)
+
+
+def read_results(
+    spark: SparkSession, path: str, kind: str = "single", extra: str = "", fmt: str | None = None, keys: tuple[str, ...] = ("model_id",)
+) -> DataFrame:
+    """Evaluation results from Parquet, or from CSV with quoted multi-line texts.
+
+    Columns are taken by the names in each file's header, whatever their order; files of
+    different layouts may lie in one folder. A column that a file lacks is null, but a
+    missing one of ``keys`` is an error. ``fmt`` is csv or parquet; left out, the content decides.
 
-    A CSV file with line breaks inside quotes cannot be split, so large results belong in
-    Parquet; a folder of CSV files is read one task per file.
+    A CSV file with line breaks inside quotes cannot be split, so convert large results once
+    (``append_results``); a folder of CSV files is read one task per file.
     """
     schema = schemas.RESULTS_SINGLE if kind == "single" else schemas.RESULTS_MULTI
     struct = _struct(f"{schema}, {extra}" if extra else schema)
 
     def read() -> DataFrame:
-        if path.rstrip("/").endswith(".parquet"):
-            return spark.read.schema(struct).parquet(path)
-        return spark.read.schema(struct).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        if fmt == "parquet" or fmt is None and _is_parquet(spark, path):
+            return _by_name(spark.read.parquet(path), struct, keys)
+        parts = []
+        for header, files in _csv_layouts(spark, path):
+            names = next(csv.reader([header.lstrip("\ufeff")]))
+            columns = T.StructType([T.StructField(n.strip() or f"_c{k}", T.StringType()) for k, n in enumerate(names)])
+            raw = spark.read.schema(columns).option("header", True).option("multiLine", True).option("escape", '"').csv(files)
+            parts.append(_by_name(raw, struct, keys))
+        out = parts[0] if parts else spark.createDataFrame([], struct)
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
     df = _or_empty(read, lambda: spark.createDataFrame([], struct))
     return df.withColumns({c: col(c).cast("int") for c in _INTEGERS if c in df.columns})

@@ -26,5 +26,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def append_results(df: DataFrame, path: str) -> None:
-    """Add a batch to the results; readers see it completely or not at all per job."""
+    """Add a batch to the results.
+
+    A plain append: a reader in the middle of the commit may see some of its files, and a job
+    that is run again appends again. ``stream_upsert`` is for batches that may repeat.
+    """
     df.write.mode("append").parquet(path)

@@ -66,14 +66,29 @@ def compact(spark: SparkSession, target: str, out: str, keys: Sequence[str] = ("
 def stream_progress(
     spark: SparkSession, source: str, schema: str | T.StructType, target: str, checkpoint: str
 ) -> StreamingQuery:
-    """Running counts per model and status; the state holds one row per group."""
+    """Running counts per model and status; the state holds one row per group.
+
+    Every batch writes a version of its own, so a reader (``progress``) finds the version
+    before until the new one is complete.
+    """
     status = F.when(F.col("model_predicted_type") == "ERROR", "failed").otherwise("finished")
     counts = _files(spark, source, schema).groupBy("model_id", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
-    def show(table: DataFrame, _: int) -> None:
-        table.write.mode("overwrite").parquet(target)
+    def show(table: DataFrame, batch_id: int) -> None:
+        table.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
 
     return (
         counts.writeStream.outputMode("complete").foreachBatch(show)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def progress(spark: SparkSession, target: str) -> DataFrame:
+    """The counts of the last complete version."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    filesystem = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = filesystem.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version=*/_SUCCESS")) or []
+    versions = [int(f.getPath().getParent().getName().rpartition("=")[2]) for f in done]
+    if not versions:
+        return spark.createDataFrame([], "model_id string, status string, n bigint")
+    return spark.read.parquet(f"{target}/version={max(versions)}")

@@ -33,9 +33,11 @@ def test_alignment_is_one_shuffle_without_texts(d):
     assert "perturbed_context" not in exchange
 
 
-def test_sampling_limits_groups_before_the_shuffle(d):
-    ids = sampling.stratified_ids(voting.unanimous_filter(voting.align(d.votes())))
-    assert plan(ids).count("WindowGroupLimit") >= 4  # partial and final, for both bounds
+def test_no_window_holds_a_whole_generator(d):
+    ids = sampling.stratified_ids(voting.unanimous_filter(voting.align(d.votes())), target=5000)
+    windows = [line for line in plan(ids).splitlines() if " Window [" in line or "Window [" in line and "row_number" in line]
+    ranks = [line for line in windows if "row_number" in line]
+    assert ranks and all("_bucket" in line.split("windowspecdefinition")[1] for line in ranks)
 
 
 def test_grids_are_generators_not_joins(d):

@@ -396,9 +396,10 @@ def test_multidoc_results_feed_the_single_document_tables(spark):
     assert one(M.refusal_by_class(MD.as_single(rows))).refusal_accuracy == 0.5
 
 
-def test_votes_without_line_numbers_still_count(spark):
+def test_votes_without_line_numbers_are_refused(spark):
     v = votes(spark, [(n, 1, "PASS") for n in vocab.VERIFIERS]).withColumn("line_no", F.lit(None).cast("bigint"))
-    assert V.unanimous_filter(V.align(v)).count() == 1
+    with pytest.raises(Exception, match="votes need line_no"):
+        V.align(v).collect()
 
 
 def test_generator_prompt_has_the_whole_menu_and_the_reply_keys(spark):
