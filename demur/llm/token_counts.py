@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demur.llm.common import id_and_text, small_batches
+from demur.llm.common import id_and_text, small_batches, stored
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RANGE = 256
@@ -79,7 +79,8 @@ def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     ``quantile`` (share of documents of this length or less). A null or empty text has length
     0. An empty table gives no rows.
     """
-    histogram = _counted(docs, vocabulary).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    # written once, as both the ranges and the lengths need it
+    histogram = stored(_counted(docs, vocabulary).groupBy("length").agg(F.sum("n_docs").alias("n_docs")), "lengths")
     histogram = histogram.withColumns({"range": F.floor(F.col("length") / RANGE), "tokens": F.col("length") * F.col("n_docs")})
     ranges = histogram.groupBy("range").agg(F.sum("n_docs").alias("range_docs"), F.sum("tokens").alias("range_tokens"))
     # one row for every RANGE lengths
