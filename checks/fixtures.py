@@ -89,6 +89,15 @@ SELECT concat('s', CAST(l_orderkey AS STRING)) AS sample_id,
 FROM @lineitem@
 """
 
+FIXTURES["part_passages"] = """
+SELECT concat('p', CAST(l_partkey AS STRING)) AS sample_id, l_partkey AS k,
+  CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS INT) AS idx,
+  concat('passage order ', CAST(l_orderkey AS STRING), ' line ', CAST(l_linenumber AS STRING)) AS passage,
+  CASE l_returnflag WHEN 'R' THEN 'ANSWER-THE-QUESTION' WHEN 'A' THEN 'RELATED-INFORMATION' ELSE 'OUTDATED' END AS evidence_correct,
+  CASE l_linestatus WHEN 'F' THEN 'YES' ELSE 'NO' END AS evidence_cited
+FROM @lineitem@
+"""
+
 FIXTURES["base_instances"] = """
 SELECT doc_id AS line_no, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE concat('d', CAST(doc_id AS STRING)) END AS qid,
   CASE WHEN doc_id % 23 = 0 THEN '' ELSE text END AS query,

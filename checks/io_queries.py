@@ -83,6 +83,37 @@ def _(d: Data):
     )
 
 
+@query("read_results_layouts", "SELECT model_id, sample_id AS query, ground_truth_label, model_predicted_type, answer_quality_score FROM eval_results")
+def _(d: Data):
+    """Two CSV layouts in one folder and a Parquet folder without a suffix, read by name."""
+    path = d.scratch()
+    rows = d.results().select(
+        col("sample_id").alias("query"), "model_predicted_type", "answer_quality_score", "ground_truth_label", "model_id", F.lit("x").alias("something_else"), "k"
+    )
+    older = rows.filter("k % 3 = 0").select("model_id", "query", "ground_truth_label", "model_predicted_type", "answer_quality_score")
+    SK.write_csv(older, f"{path}/csv")
+    SK.write_csv(rows.filter("k % 3 = 1").drop("k"), f"{path}/csv", mode="append")
+    SK.append_results(rows.filter("k % 3 = 2"), f"{path}/results")
+    back = RD.read_results(d.spark, f"{path}/csv").unionByName(RD.read_results(d.spark, f"{path}/results"))
+    return back.select("model_id", "query", "ground_truth_label", "model_predicted_type", "answer_quality_score")
+
+
+@query("read_verifications_parts", """SELECT generator_model, verifier_model, count(*) AS n, count(DISTINCT line_no) AS lines, CAST(max(line_no) AS BIGINT) AS last FROM (
+  SELECT generator_model, verifier_model, row_number() OVER (PARTITION BY generator_model, verifier_model ORDER BY line_no) AS line_no FROM verifications) GROUP BY ALL""")
+def _(d: Data):
+    """Every log is a folder of several part files; lines are numbered over all of them."""
+    root = d.scratch()
+    votes = d.votes()
+    for g in ("claude", "deepseek", "gpt", "nova"):
+        for v in ("claude", "nova", "gpt", "deepseek"):
+            part = votes.filter((col("generator_model") == g) & (col("verifier_model") == v)).select("source_qid", "original_query", "perturbed_query", "verification_successful")
+            part.repartition(3).write.json(f"{root}/dataset_{g}/log_verifications_{v}.jsonl")
+    back = RD.read_verifications(d.spark, root)
+    return back.groupBy("generator_model", "verifier_model").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("line_no").alias("lines"), F.max("line_no").alias("last")
+    )
+
+
 @query("write_jsonl", "SELECT line_no, qid, query, md5(gold_doc) AS gold_doc FROM base_instances")
 def _(d: Data):
     path = d.scratch()

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.metric_queries import board_sql, multi
-from checks.record_queries import samples
+from checks.record_queries import DONE, TYPE, VALID, log_of_cells, samples, texts
 from checks.registry import Data, query
 from checks.vote_queries import COMMON, KEPT, TASK, W, _counter, exact, originals, sample_sql
 from demur.functions.columns import col
+from demur.functions.keys import content_key, multi_content_fields
 from demur.operators import metrics as M
 from demur.operators import voting as V
-from demur.plans import datasets, evaluation, reports
+from demur.plans import curation, datasets, evaluation, reports, rewriting
 
 
 @query("leaderboard_from_counts", board_sql())
@@ -107,3 +108,123 @@ def _(d: Data):
     path = d.scratch()
     datasets.write_dataset(datasets.stratified_dataset(d.votes()), path)
     return d.spark.read.schema("generator_model string, sample_count bigint").json(f"{path}/generators")
+
+
+# --- curation, several passages ------------------------------------------------------------
+
+PART_SIG = "evidence_correct = 'ANSWER-THE-QUESTION'"
+PART_DOMAIN = "CASE k % 3 WHEN 0 THEN 'Science' WHEN 1 THEN 'Health' ELSE 'Finance' END"
+PART_COMPLEX = "CASE k % 5 WHEN 2 THEN 'Multi-hop' ELSE 'Simple' END"
+PART_RANKED = f"""q AS (SELECT sample_id, k, count(*) AS n, bool_or({PART_SIG}) AS ans FROM part_passages GROUP BY ALL),
+el AS (SELECT *, {PART_DOMAIN} AS dom FROM q WHERE {VALID} = 'YES' AND ans AND n >= 10 AND {PART_COMPLEX} = 'Simple' AND {TYPE} IN ('SLOW-CHANGING', '')),
+rk AS (SELECT p.*, dom, {PART_SIG} AS sig, row_number() OVER (PARTITION BY p.sample_id, {PART_SIG} ORDER BY
+  CASE WHEN evidence_cited = 'YES' THEN 0 WHEN evidence_correct = 'RELATED-INFORMATION' THEN 1 ELSE 2 END, idx) AS r,
+  least(5, count(*) FILTER (WHERE {PART_SIG}) OVER (PARTITION BY p.sample_id)) AS s FROM part_passages p JOIN el USING (sample_id)),
+comp AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY sample_id) AS m FROM rk WHERE CASE WHEN sig THEN r <= 5 ELSE r <= 10 - s END) WHERE m = 10),
+one AS (SELECT sample_id, dom, string_agg(passage, '#' ORDER BY idx) AS texts,
+  count(*) FILTER (WHERE sig) || '_signal_' || count(*) FILTER (WHERE NOT sig) || '_noise' AS strategy FROM comp GROUP BY ALL)"""
+
+
+def part_records(d: Data):
+    e = F.array_sort(F.collect_list(F.struct("idx", "passage", "evidence_correct", "evidence_cited")))
+    return (
+        d.fixture("part_passages").groupBy("sample_id", "k").agg(e.alias("e"))
+        .select(
+            "sample_id", "k", F.transform("e", lambda x: F.create_map(F.concat(F.lit("cite_"), (x["idx"] + 1).cast("string")), x["passage"])).alias("grounding"),
+            col("e.evidence_correct").alias("evidence_correct"), col("e.evidence_cited").alias("evidence_cited"), col("e.evidence_cited").alias("evidence_relevant"),
+            F.expr(VALID).alias("answer_validate"), F.expr(PART_COMPLEX).alias("question_complexity"), F.expr(TYPE).alias("question_type"),
+            F.expr(PART_DOMAIN).alias("question_category"),
+        )
+    )
+
+
+@query("curated_dataset", f"""WITH {PART_RANKED} SELECT sample_id, dom AS question_category, texts, strategy FROM (SELECT *, row_number() OVER (PARTITION BY dom ORDER BY md5('42:' || sample_id), sample_id) AS rn FROM one)
+WHERE rn <= 20 AND dom IN ('Science', 'Health', 'Business & Industrial', 'Law & Government', 'Finance')""")
+def _(d: Data):
+    """Ten passages, at most five of them signal."""
+    return curation.curated_dataset(part_records(d)).select(
+        "sample_id", "question_category", texts("grounding").alias("texts"), col("curation_notes.normalization_strategy").alias("strategy")
+    )
+
+
+def multi_votes(d: Data):
+    """The votes in the reversible multi-document form: two passages, the first one patched."""
+    v = d.votes()
+
+    def patch(c):
+        return F.array(F.struct(F.lit(0).alias("original_index"), c.alias("perturbed_text")))
+
+    data = F.struct(
+        F.concat(F.lit("s"), (col("line_no") % 1000000000).cast("string")).alias("sample_id"), col("original_query").alias("question"),
+        F.array(F.create_map(F.lit("cite_1"), col("original_context")), F.create_map(F.lit("cite_2"), F.lit("other"))).alias("grounding"),
+    )
+    return v.withColumns({
+        "original_data": data, "perturbed_signal_passages": patch(col("perturbed_context")),
+        "perturbed_noise_passages": F.array().cast("array<struct<original_index:int,perturbed_text:string>>"),
+        "passage_mapping": F.struct(F.array(F.lit(0)).alias("signal_indices"), F.array(F.lit(1)).alias("noise_indices")),
+        "parsing_successful": F.lit(True), "expected_rag_behavior": F.lit("x"),
+    })
+
+
+_SIGNAL = """'[{"original_index":0,"perturbed_text":"' || perturbed_context || '"}]'"""
+MULTI = exact("source_qid", "perturbed_query", _SIGNAL, "'[]'", "perturbation_class", "intensity", "lever_selected")
+MKEY = f"""concat_ws('_', 'RB', generator_model, source_qid, perturbation_class, intensity,
+  substring(md5(concat_ws('|||', perturbed_query, {_SIGNAL}, '[]', generator_model)), 1, 8)) || '_0001'"""
+
+
+@query("stratified_dataset_multi", f"""WITH last AS (SELECT * FROM (SELECT *, md5({MULTI}) AS ck, row_number() OVER (PARTITION BY generator_model, verifier_model, md5({MULTI}) ORDER BY line_no DESC) AS rn
+  FROM verifications) WHERE rn = 1),
+kept AS (SELECT generator_model, ck, any_value(perturbation_class) || '_' || any_value(intensity) AS stratum FROM last GROUP BY ALL HAVING count(*) = 4 AND count(*) FILTER (WHERE verification_result = 'PASS') = 4),
+q AS (SELECT *, md5('42:' || ck) AS hh, row_number() OVER (PARTITION BY generator_model, stratum ORDER BY md5('42:' || ck), ck) AS a FROM kept),
+t AS (SELECT *, count(*) FILTER (WHERE a <= 22) OVER (PARTITION BY generator_model) AS taken, row_number() OVER (PARTITION BY generator_model, a <= 22 ORDER BY hh, ck) AS b FROM q),
+samp AS (SELECT * FROM t WHERE a <= 22 OR b <= 400 - taken)
+SELECT 's' || line_no AS sample_id, perturbed_query AS question, perturbed_context || '#other' AS texts, original_query AS original_question, {MKEY} AS unique_id, stratum AS stratum_key
+FROM (SELECT l.*, s.stratum FROM samp s JOIN last l ON l.generator_model = s.generator_model AND l.ck = s.ck AND l.verifier_model = 'claude')""")
+def _(d: Data):
+    return datasets.multi_dataset(multi_votes(d)).select(
+        "sample_id", "question", texts("grounding").alias("texts"), "original_question", col("stratified_metadata.unique_id").alias("unique_id"),
+        col("stratified_metadata.stratum_key").alias("stratum_key"),
+    )
+
+
+@query("content_id_multi", f"SELECT generator_model, verifier_model, line_no, md5({MULTI}) AS content_key FROM verifications")
+def _(d: Data):
+    return multi_votes(d).select("generator_model", "verifier_model", "line_no", content_key(multi_content_fields()).alias("content_key"))
+
+
+# --- generation and verification -----------------------------------------------------------
+
+
+@query("next_generations", f"WITH {DONE} SELECT md5('generate|gpt|' || qid || '|' || perturbation_class || '|' || intensity) AS request_id, qid AS source_qid, perturbation_class, intensity, 'gpt' AS generator_model FROM mc")
+def _(d: Data):
+    ins, done = log_of_cells(d)
+    ins = ins.withColumns({"query": F.lit("what?"), "context": F.lit("a text"), "answers": F.array(F.lit("yes"))})
+    log = done.unionByName(done.withColumn("generator_model", F.lit("nova")))
+    return rewriting.next_generations(ins, log, "gpt").select("request_id", "source_qid", "perturbation_class", "intensity", "generator_model")
+
+
+@query("next_verifications", """SELECT DISTINCT md5('verify|' || generator_model || '|' || line_no || '|' || v) AS request_id, generator_model, line_no, v AS verifier_model
+FROM (SELECT * FROM verifications WHERE verifier_model = 'claude' AND line_no < 1000000000) c, (VALUES ('claude'), ('nova'), ('gpt'), ('deepseek')) t(v)
+WHERE NOT EXISTS (SELECT 1 FROM verifications d WHERE d.generator_model = c.generator_model AND d.line_no = c.line_no AND d.verifier_model = v AND d.verification_successful)""")
+def _(d: Data):
+    votes = d.votes().filter("line_no < 1000000000")
+    rewrites = votes.filter("verifier_model = 'claude'")
+    return rewriting.next_verifications(rewrites, votes.filter("verification_successful")).select("request_id", "generator_model", "line_no", "verifier_model")
+
+
+GENERATED = "perturbed_query string, lever_selected string, intensity_achieved string"
+
+
+@query("generation_log", """SELECT 'r' || id AS request_id, id % 3 <> 2 AND shape <> 3 AND shape <> 4 AS generation_successful, CASE WHEN id % 3 <> 2 AND shape <> 3 AND shape <> 4 THEN p_name END AS perturbed_query
+FROM json_responses JOIN part ON p_partkey = id""")
+def _(d: Data):
+    """Every request is answered twice: failed and then successfully, the other way round, or failed twice."""
+    r = d.fixture("json_responses").withColumn("request_id", F.concat(F.lit("r"), col("id").cast("string")))
+    requests = r.select("request_id", "id", F.lit("P-Ambiguity").alias("perturbation_class"), F.lit("LOW").alias("intensity"))
+
+    def reply(seq: int, failed):
+        error = F.when(failed, F.lit("timeout"))
+        return r.select("request_id", F.when(~failed, col("response")).alias("response"), error.alias("error"), F.lit(seq).alias("seq"))
+
+    replies = reply(1, col("id") % 3 != 1).unionByName(reply(2, col("id") % 3 != 0))
+    return rewriting.generation_log(requests, replies, GENERATED).select("request_id", "generation_successful", "perturbed_query")

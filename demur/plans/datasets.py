@@ -1,6 +1,7 @@
-"""From verification logs to a published dataset: the three builders.
+"""From verification logs to a published dataset: the four builders.
 
 stratified  align, keep agreed contents, sample per stratum, fetch texts
+multi       the same for questions with several passages, patches applied
 common      align, keep agreed contents, keep tasks agreed in every generator
 reference   align by task fields, keep by the looser rule, join the base questions
 """
@@ -11,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demur import vocab
-from demur.functions.columns import col
-from demur.functions.keys import unique_key
-from demur.operators import sampling, unified, voting
+from demur.functions.columns import col, value_of
+from demur.functions.keys import generator_short_name, multi_content_fields, stratum_key, unique_key
+from demur.operators import passages, sampling, unified, voting
 from demur.plans.shared import materialise
 from demur.sources import sinks
 
@@ -35,6 +36,34 @@ def stratified_dataset(
     return unified.unified_record(votes, sample, mode)
 
 
+def multi_dataset(
+    votes: DataFrame, mode: str = "unanimous", per_stratum: int = vocab.PER_STRATUM, target: int = vocab.PER_GENERATOR, seed: int = vocab.SEED
+) -> DataFrame:
+    """Multi-document form of ``stratified_dataset``, from ``read_multi_verifications``.
+
+    Contents are equal if question, patches, class, intensity and lever are. The patches are
+    applied to the original record, which keeps its own fields; what was done to it is in
+    ``perturbation_metadata`` and ``stratified_metadata``, as ``records.flatten`` reads them.
+    """
+    content = multi_content_fields()
+    kept = materialise(voting.generation_success_filter(voting.agreed(voting.align(votes, content), mode)), "kept")
+    sample = materialise(sampling.stratified_sample(kept, per_stratum=per_stratum, target=target, seed=seed), "sample")
+    rows = unique_key(voting.representatives(votes, sample, content), "multi")
+    short = generator_short_name("generator_model")
+    full = {name: long for long, name in vocab.GENERATOR_SHORT.items()}
+    metadata = F.struct("perturbation_class", "intensity", "lever_selected", "generation_successful", "source_qid", "expected_rag_behavior")
+    place = F.struct(
+        short.alias("generator_model"), F.coalesce(value_of(full, "generator_model"), col("generator_model")).alias("generator_model_full"),
+        F.concat(F.lit("dataset_"), short).alias("source_folder"), "unique_id", stratum_key().alias("stratum_key"), F.lit(mode).alias("filtering_mode"),
+    )
+    flat = rows.select(
+        "original_data.*", "perturbed_query", col("perturbed_signal_passages").alias("signal_patches"), col("perturbed_noise_passages").alias("noise_patches"),
+        "passage_mapping.signal_indices", "passage_mapping.noise_indices", "parsing_successful",
+        metadata.alias("perturbation_metadata"), place.alias("stratified_metadata"),
+    )
+    return passages.apply_patches(flat).drop("perturbed_query", "signal_patches", "noise_patches", "signal_indices", "noise_indices", "parsing_successful")
+
+
 def common_dataset(votes: DataFrame, mode: str = "unanimous", n: int | None = None, seed: int = vocab.SEED) -> DataFrame:
     """The same tasks from every generator, optionally n of them."""
     kept = materialise(voting.agreed(voting.align(votes), mode), "kept")

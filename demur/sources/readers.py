@@ -70,6 +70,13 @@ def _few_splits(df: DataFrame) -> bool:
     return df.rdd.getNumPartitions() <= MAX_SPLITS
 
 
+def _good(schema: str | T.StructType) -> Column:
+    # Spark parses a line only if a real field is asked for, so the condition refers to one
+    name = next(f for f in _struct(schema).fieldNames() if f != "line_no")
+    first = F.when(F.col(f"`{name}`").isNotNull(), F.lit("x"))
+    return col(BAD).isNull() | F.coalesce(first, col(BAD)).isNull()
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, numbered: bool = False) -> DataFrame:
     """One JSON object per line; a line that does not parse is left out.
 
@@ -78,7 +85,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, numbe
     """
     df = _raw_jsonl(spark, path, schema)
     df = number_lines(df) if numbered else df
-    return df.filter(col(BAD).isNull()).drop(BAD, "_file", "_block")
+    return df.filter(_good(schema)).drop(BAD, "_file", "_block")
 
 
 def count_bad_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -104,7 +111,7 @@ def read_verifications(
     raw = _raw_jsonl(spark, f"{root}/dataset_*/*verifications_*.jsonl", schema)
     if numbered:
         raw = number_lines(raw, F.concat_ws("/", *[F.regexp_extract("_file", pattern, k) for k in (1, 2)]))
-    raw = raw.filter(col(BAD).isNull())
+    raw = raw.filter(_good(schema))
     tagged = raw.withColumns({
         "generator_model": F.regexp_extract("_file", pattern, 1), "verifier_model": F.regexp_extract("_file", pattern, 2)
     })
