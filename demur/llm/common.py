@@ -6,6 +6,7 @@ which all executors of a cluster share. Only a local session may go without one.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,6 +97,19 @@ def small_batches(
             filled += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give back what the allocators of a Python worker hold on to after a task.
+
+    Workers live on from stage to stage, and next to a full executor what they merely keep
+    can be too much.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
 
 
 

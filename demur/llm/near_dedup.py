@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from demur.llm.common import attached, components, forget, id_and_text, small_batches, stored, with_maybe
+from demur.llm.common import attached, components, forget, id_and_text, release_memory, small_batches, stored, with_maybe
 from demur.llm.shingling import counted, mixed, shingle_hashes, word_hashes
 
 THRESHOLD = 0.8
@@ -175,6 +175,8 @@ def _verified(threshold: float):
                 held |= {k: (hashes[x:y], counts[x:y]) for k, x, y in zip(new, starts[:-1], starts[1:], strict=True)}
                 keep = [similarity(held[x], held[y]) >= threshold - 1e-12 for x, y in zip(a, b, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        del held
+        release_memory()
 
     return verify
 
@@ -291,6 +293,8 @@ def _across(threshold: float):
                 rows.append(r)
         if rows:
             yield _block_links(rows, group[2], group[3], threshold)
+        del rows
+        release_memory()
 
     return across
 

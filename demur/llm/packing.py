@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = words.encoder(vocabulary)
         end = np.array([end_id], dtype="<u4")
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, chars=4_000_000):
             ids, lengths = encoder.encode_many(batch.column("text"))
             at, rows = 0, []
             for doc_id, n in zip(batch.column("doc_id").to_pylist(), lengths.tolist(), strict=True):

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demur.llm.common import id_and_text, small_batches, stored, with_maybe
+from demur.llm.common import id_and_text, release_memory, small_batches, stored, with_maybe
 from demur.llm.shingling import mixed
 
 WINDOW, ANCHOR = 50, 16
@@ -331,6 +331,8 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _mark_rows(done)
     if held:
         yield from _compared(held)
+    del held
+    release_memory()
 
 
 def _compared(parts: list[_Parts]) -> Iterator[pa.RecordBatch]:

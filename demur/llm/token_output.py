@@ -162,7 +162,7 @@ def write_tokens(
         shard = TaskContext.get().partitionId()
         path = f"{folder}/tokens-{shard:06d}-{uuid.uuid4().hex}.zst"
         end = np.array([end_id], dtype="<u4")
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, chars=4_000_000):
             if writer is None:
                 filesystem, inner = _filesystem(folder)
                 filesystem.create_dir(inner, recursive=True)

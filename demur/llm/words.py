@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 #: cached parts of words, at about 200 bytes each
-MAX_PARTS = 400_000
+MAX_PARTS = 600_000
 
 _ODD_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿᠎]|<\\|"
 _MARKS = ".,!?;:%$#*&|"
