@@ -7,9 +7,10 @@ which all executors of a cluster share. Only a local session may go without one.
 from __future__ import annotations
 
 import ctypes
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -152,6 +153,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels.select("node", "label")
 
 
+def fitted(rows: DataFrame, fit: Callable[[list[dict]], object]) -> object:
+    """A model or plan made from a bounded number of rows, in a task of its own.
+
+    The driver gets the result only, and none of the numerical libraries' threads.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = fit([r for batch in batches for r in batch.to_pylist()])
+        yield pa.RecordBatch.from_pydict({"made": pa.array([pickle.dumps(made)], pa.binary())})
+
+    found = rows.repartition(1).mapInArrow(run, "made binary").collect()
+    return pickle.loads(bytes(found[0]["made"])) if found else fit([])
+
+
 def with_maybe(df: DataFrame, key: Column, members: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Add ``_maybe``: false only for rows whose key is not among the members (one long column).
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demur.llm import words
-from demur.llm.common import forget, id_and_text, salt, small_batches, stored
+from demur.llm.common import fitted, id_and_text, salt, small_batches, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -90,10 +90,9 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     k = len(sizes)
     if not k:
         return []
-    basis = np.diag([float(max(1, capacity // s)) for s in sizes])
     most = np.minimum(demand, capacity // sizes)
-    basis = np.minimum(basis, np.diag(np.maximum(most, 1).astype(float)) + 0.0)
-    inverse = np.linalg.inv(basis)
+    each = np.maximum(most, 1).astype(float)  # to begin with, every content is of one size
+    basis, inverse = np.diag(each), np.diag(1 / each)
     amount = inverse @ demand.astype(float)
     for _ in range(rounds):
         prices = inverse.sum(axis=0)
@@ -275,16 +274,15 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, vocabulary, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    # at most ``capacity`` rows
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    salts = max(64, max(histogram.values(), default=0) // WINDOW_ROWS)
+    histogram = cut.groupBy("length").agg(F.count("*").alias("n"))  # at most ``capacity`` rows
+    salts = max(64, (histogram.agg(F.max("n")).first()[0] or 0) // WINDOW_ROWS)
     salted = cut.withColumn("salt", salt("row", salts))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     ranked = salted.withColumn("within", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1)
     ranked = ranked.join(first, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
-    found = places(plan(histogram, capacity))
+    found = fitted(histogram, lambda rows: places(plan({r["length"]: r["n"] for r in rows}, capacity)))
     schema = "length long, lo long, hi long, first_sequence long, per_sequence long, first_offset long"
     table = spark.createDataFrame(found, schema)
     table = F.broadcast(table) if len(found) <= BROADCAST_PLACES else table

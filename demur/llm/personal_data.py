@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demur.llm.common import id_and_text, small_batches, stored
+from demur.llm.common import fitted, id_and_text, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: a candidate is added from this probability on
@@ -273,8 +273,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     found = stored(id_and_text(docs).mapInArrow(_find, FOUND), "spans")
     groups = found.select(F.explode("spans").alias("s")).select("s.*").groupBy("kind", "votes", "features").agg(F.count("*").alias("n"))
     # at most kinds x 3^5 vote patterns x 360 feature codes
-    rows = sorted((r["kind"], r["votes"], r["features"], r["n"]) for r in groups.collect())
-    weights = fit_classifier(rows)
+    weights = fitted(groups, lambda rows: fit_classifier(sorted((r["kind"], r["votes"], r["features"], r["n"]) for r in rows)))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

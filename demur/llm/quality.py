@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demur.llm.common import checksum_part, id_and_text, small_batches
+from demur.llm.common import checksum_part, fitted, id_and_text, small_batches
 
 NEIGHBOURS_PER_LABEL = 1500
 DIMENSIONS = 48
@@ -164,11 +164,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = NEIGHBOURS_PER_LA
                 {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "bag": [zstandard.compress(b.tobytes()) for b in bag]}
             )
 
-    rows = sorted(texts.mapInArrow(count, "doc_id long, label int, bag binary").collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
-    first = {r["doc_id"]: r for r in reversed(rows)}  # repeated ids vote once
-    rows = [first[k] for k in sorted(first)]
-    counts = np.array([np.frombuffer(zstandard.decompress(bytes(r["bag"])), dtype="<f2") for r in rows], dtype=np.float32).reshape(-1, TERMS)
-    return fit_space(counts, np.array([r["label"] for r in rows], dtype=np.float64), totals.get(1, 0) / sum(totals.values()))
+    prior = totals.get(1, 0) / sum(totals.values())
+
+    def fit(rows: list[dict]) -> Voters:
+        rows = sorted(rows, key=lambda r: (r["doc_id"], r["bag"]))
+        first = {r["doc_id"]: r for r in reversed(rows)}  # repeated ids vote once
+        rows = [first[k] for k in sorted(first)]
+        counts = np.array([np.frombuffer(zstandard.decompress(r["bag"]), dtype="<f2") for r in rows], dtype=np.float32).reshape(-1, TERMS)
+        return fit_space(counts, np.array([r["label"] for r in rows], dtype=np.float64), prior)
+
+    return fitted(texts.mapInArrow(count, "doc_id long, label int, bag binary"), fit)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
