@@ -68,18 +68,17 @@ def _with_lines(df: DataFrame, reply: str, **labels: str) -> DataFrame:
     without one.
 
     White space before the very first line does not count, lines end at line feeds only, a
-    label repeated on its line ends the value. The lines are found in a step of their own,
-    so that each pattern runs once per reply.
+    label repeated on its line ends the value. With a line feed put in front, a line is found
+    by plain search for line feed and label; no pattern is matched.
     """
-    found = df.withColumn("_text", strip_start(reply)).withColumns({
-        name: F.regexp_extract("_text", rf"(?md)^{label}:.*$", 0) for name, label in labels.items()
-    })
+    text = df.withColumn("_text", F.concat(F.lit("\n"), strip_start(reply)))
+    starts = text.withColumns({name: F.instr("_text", F.lit(f"\n{label}:")) for name, label in labels.items()})
 
-    def value(line: str, label: str) -> Column:
-        rest = F.substring_index(F.substr(col(line), F.lit(len(label) + 2)), f"{label}:", 1)
-        return F.when(F.length(line) > 0, strip(rest))
+    def value(start: str, label: str) -> Column:
+        line = F.substring_index(F.substr(col("_text"), col(start) + len(label) + 2), "\n", 1)
+        return F.when(col(start) > 0, strip(F.substring_index(line, f"{label}:", 1)))
 
-    return found.withColumns({name: value(name, label) for name, label in labels.items()}).drop("_text")
+    return starts.withColumns({name: value(name, label) for name, label in labels.items()}).drop("_text")
 
 
 def parse_judgement(df: DataFrame, reply: str = "response") -> DataFrame:

@@ -177,7 +177,7 @@ def _csv_layouts(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
     return [(r["header"], list(r["files"])) for r in first.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()]
 
 
-def _by_name(df: DataFrame, struct: T.StructType, keys: tuple[str, ...]) -> DataFrame:
+def _by_name(df: DataFrame, struct: T.StructType, keys: tuple[str, ...], texts: bool) -> DataFrame:
     """The wanted columns by name; an absent one is null, an absent key column an error."""
     present = {c.strip().lower(): c for c in df.columns}
     columns = []
@@ -186,7 +186,9 @@ def _by_name(df: DataFrame, struct: T.StructType, keys: tuple[str, ...]) -> Data
         if name is None and field.name in keys:
             raise ValueError(f"the results have no column {field.name}: {df.columns}")
         value = F.lit(None) if name is None else F.col(f"`{name}`")
-        columns.append(F.when(value.cast("string") != "", value).cast(field.dataType).alias(field.name))
+        if texts and name is not None:  # an empty cell is no value
+            value = F.when(value != "", value)
+        columns.append(value.cast(field.dataType).alias(field.name))
     return df.select(*columns)
 
 
@@ -207,13 +209,13 @@ def read_results(
 
     def read() -> DataFrame:
         if fmt == "parquet" or fmt is None and _is_parquet(spark, path):
-            return _by_name(spark.read.parquet(path), struct, keys)
+            return _by_name(spark.read.parquet(path), struct, keys, texts=False)
         parts = []
         for header, files in _csv_layouts(spark, path):
             names = next(csv.reader([header.lstrip("\ufeff")]))
             columns = T.StructType([T.StructField(n.strip() or f"_c{k}", T.StringType()) for k, n in enumerate(names)])
             raw = spark.read.schema(columns).option("header", True).option("multiLine", True).option("escape", '"').csv(files)
-            parts.append(_by_name(raw, struct, keys))
+            parts.append(_by_name(raw, struct, keys, texts=True))
         out = parts[0] if parts else spark.createDataFrame([], struct)
         for part in parts[1:]:
             out = out.unionByName(part)

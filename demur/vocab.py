@@ -133,7 +133,6 @@ PER_GENERATOR = 400
 PER_DOMAIN = 20
 TOTAL_PASSAGES = 10
 SIGNAL_PASSAGES = 5
-MAX_INSTANCES = 100
 
 # --- fixed values: field names of the model replies ----------------------------
 GENERATOR_KEYS = (
