@@ -43,7 +43,7 @@ PART_BYTES, MIN_PARTS = 12_000_000, 48
 #: segments whose columns are built together; whole anchors, so more where one anchor has more
 CHUNK = 200_000
 #: text whose segments are sent together
-SEND_CHARS = 3_000_000
+SEND_CHARS = 2_000_000
 ABSENT = 0xFF  # in no UTF-8 text
 #: documents without an id come before all others
 NO_ID = -(1 << 63)
@@ -337,9 +337,12 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(parts: list[_Parts]) -> Iterator[pa.RecordBatch]:
     """Equal windows among the segments of one part."""
-    rows = np.concatenate([p.rows() for p in parts])
     sizes = [len(p.start) for p in parts]
     base = np.cumsum([0, *sizes])
+    rows = np.empty((int(base[-1]), COLUMNS), dtype=np.uint8)
+    for p, lo in zip(parts, base.tolist(), strict=False):
+        rows[lo: lo + len(p.start)] = p.rows()
+        p.body = None  # held once from here on
     start, windows = np.concatenate([p.start for p in parts]), np.concatenate([p.windows for p in parts])
     doc_ids, marks = np.concatenate([p.doc_ids for p in parts]), np.concatenate([p.marks for p in parts])
     document_base = np.cumsum([0, *[len(p.doc_ids) for p in parts]])
