@@ -10,6 +10,7 @@ from demur.operators import analysis as A
 from demur.operators import sampling as S
 from demur.operators import unified as UN
 from demur.operators import voting as V
+from demur.plans.shared import materialise
 
 def exact(*columns: str) -> str:
     """Every part after its length, as the engine's keys have it."""
@@ -51,6 +52,11 @@ def kept(d: Data):
     return V.unanimous_filter(aligned(d))
 
 
+def written(d: Data):
+    """``kept`` for operators that read it several times."""
+    return materialise(kept(d), "kept")
+
+
 @query("verifier_alignment", W + f"SELECT {G}, responding, is_complete FROM aligned")
 def _(d: Data):
     return aligned(d).select(*V.GROUP, "responding", "is_complete")
@@ -417,7 +423,7 @@ samp AS (SELECT * FROM t WHERE a <= {per} OR b <= {target} - taken)"""
 
 
 def sample(d: Data):
-    return S.stratified_sample(kept(d))
+    return S.stratified_sample(written(d))
 
 
 @query("stratified_sample", sample_sql() + "SELECT generator_model, content_key, perturbation_class, intensity FROM samp")
@@ -428,13 +434,13 @@ def _(d: Data):
 # strata run short here: fewer rows than the quota, a large fill
 @query("stratified_sample_fill", sample_sql(60, 800) + "SELECT generator_model, content_key, stratum FROM samp")
 def _(d: Data):
-    return S.stratified_ids(kept(d), per_stratum=60, target=800)
+    return S.stratified_ids(written(d), per_stratum=60, target=800)
 
 
 # more than a thousand rows per generator
 @query("stratified_sample_large", sample_sql(150, 1500) + "SELECT generator_model, content_key, stratum FROM samp")
 def _(d: Data):
-    return S.stratified_ids(kept(d), per_stratum=150, target=1500)
+    return S.stratified_ids(written(d), per_stratum=150, target=1500)
 
 
 @query("stratification_report", sample_sql() + """SELECT stratum, TRUE AS expected, count(*) AS count, count(DISTINCT generator_model) AS models_represented,
