@@ -137,10 +137,10 @@ def equal_windows(columns: Iterator[np.ndarray], docs: np.ndarray, starts: np.nd
         sorted_symbols = symbols[turn]
         same = np.zeros(m, dtype=bool)
         same[1:] = sorted_symbols[1:] == sorted_symbols[:-1]
-        # between a suffix and the one before it with the same first symbol
-        after = np.minimum(turn + 1, m - 1)
-        least = np.empty(m, dtype=np.uint8)
-        least[1:] = np.minimum.reduceat(common, after)[:-1] if m > 1 else 0
+        # between a suffix and the one before it with the same first symbol; one more value,
+        # so that the range of a pair that ends with the last suffix has its end as well
+        least = np.zeros(m, dtype=np.uint8)
+        least[1:] = np.minimum.reduceat(np.append(common, np.uint8(ABSENT)), turn + 1)[:-1]
         common = np.where(same, least + np.uint8(1), np.uint8(0)).astype(np.uint8)
         order = order[turn]
         if column <= _LEFT:

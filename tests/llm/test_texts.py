@@ -54,6 +54,19 @@ def test_repeats_by_brute_force(spark, seed):
     assert got == _plain_removal(rows)
 
 
+def test_common_prefix_with_the_last_suffix():
+    """Q is last in order and equal to the others for 26 bytes only."""
+    random.seed(4)
+    tail = bytes(random.choice(b"bcdefghijk") for _ in range(50))
+    p1, p2, q = tail, tail, tail[:26] + b"z" * 24
+    rows = np.array([list(left * 33 + s + t) for left, s, t in ((b"l", b"x", p1), (b"m", b"y", p2), (b"n", b"x", q))], dtype=np.uint8)
+    docs = np.array([1, 2, 3])
+    columns = (rows[:, c] for c in range(repeats.COLUMNS - 1, -1, -1))
+    got = {(int(r), c) for found, c in repeats.equal_windows(columns, docs, np.zeros(3, np.int64), np.full(3, 35)) for r in found}
+    truth = {(r, c) for r in range(3) for c in range(35) if any((rows[o, c: c + 50] == rows[r, c: c + 50]).all() for o in range(r))}
+    assert got == truth == {(1, 34)}
+
+
 def test_rows_of_one_id_do_not_remove_from_each_other(spark):
     text = "the very same passage of more than fifty bytes, written twice here"
     rows = spark.createDataFrame([(1, text), (1, text), (1, text + "!"), (2, text)], DOCS)
