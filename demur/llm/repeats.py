@@ -19,6 +19,11 @@ of documents after the smallest in the run are marked.
 
 Segments that occur several times in a batch of documents are sent once, for the smallest
 document that has them; later documents are marked at once.
+
+An anchor can be in very many different segments: text that many documents share, beside
+their own. Segments per anchor are counted first. Those of anchors with more than ``HOT``
+segments are cut into their windows, which are dealt out by a hash of all their bytes, each
+for the smallest document of its batch. So only equal windows meet, one per batch.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +46,14 @@ from demur.llm.shingling import mixed
 WINDOW, ANCHOR = 50, 16
 #: bytes of text for each part that segments are dealt to, and parts at least
 PART_BYTES, MIN_PARTS = 12_000_000, 48
-#: segments whose columns are built together; whole anchors, so more where one anchor has more
+#: segments whose columns are built together; whole anchors, none of which has more than 2 * HOT
 CHUNK = 200_000
+#: segments of an anchor above which its windows are dealt out instead
+HOT = 50_000
+#: anchors are counted by so many of their hash's values
+HOT_SLOTS = 1 << 22
+#: windows of hot anchors for each further part
+PART_WINDOWS = 1_000_000
 #: text whose segments are sent together
 SEND_CHARS = 2_000_000
 ABSENT = 0xFF  # in no UTF-8 text
@@ -74,11 +86,12 @@ def _window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and place of the anchor of every segment."""
-    nothing = np.zeros(0, dtype=np.int64)
-    if len(raw) < WINDOW:
-        return nothing, nothing, nothing
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(HOT_SLOTS - 1)).astype(np.int64)
+
+
+def _cut(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window and number of windows of every segment, hashes from every place on and their minima."""
     h = _anchor_hashes(raw)
     smallest = _window_minima(h, _LEFT + 1)
     n = len(smallest)
@@ -95,12 +108,21 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.flatnonzero(new)
     stop = np.flatnonzero(np.append(new | ~inside, True))
     windows = stop[np.searchsorted(stop, first, side="right")] - first
+    return first, windows, h, smallest
+
+
+def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, place of the anchor and its slot of every segment."""
+    nothing = np.zeros(0, dtype=np.int64)
+    if len(raw) < WINDOW:
+        return nothing, nothing, nothing, nothing
+    first, windows, h, smallest = _cut(raw, ends)
     anchor = np.empty(len(first), dtype=np.int64)
     around = np.lib.stride_tricks.sliding_window_view(h, _LEFT + 1)
     for lo in range(0, len(first), 50_000):
         some = first[lo: lo + 50_000]
         anchor[lo: lo + 50_000] = some + (around[some] == smallest[some, None]).argmax(axis=1)
-    return first, windows, anchor
+    return first, windows, anchor, _slots(smallest[first])
 
 
 def aligned(raw: np.ndarray, first: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -225,25 +247,154 @@ def _intervals(documents: np.ndarray, places: np.ndarray, count: int) -> Iterato
         yield d, pairs[at[d]: at[d + 1]].tobytes()
 
 
+def _window_keys(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two hashes (columns) of the bytes of the windows."""
+    out = np.empty((len(at), 2), dtype=np.uint64)
+    view = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)
+    padded = np.zeros((50_000, -(-WINDOW // 8) * 8), dtype=np.uint8)
+    for lo in range(0, len(at), len(padded)):
+        some = at[lo: lo + len(padded)]
+        padded[: len(some), :WINDOW] = view[some]
+        words = padded[: len(some)].view(np.uint64)
+        for k, h in enumerate((_BASE, ~_BASE)):
+            h = np.full(len(some), h)
+            with np.errstate(over="ignore"):
+                for word in words.T:
+                    h = mixed(h * _BASE + word)
+            out[lo: lo + len(some), k] = h
+    return out
+
+
+class _Windows:
+    """One batch's windows of hot anchors for one part, as sent between tasks."""
+
+    @staticmethod
+    def pack(keys, doc_ids, marks, owner, at) -> bytes:
+        """keys per window; owner and at (window, document in the batch, place) per occurrence."""
+        used, document = np.unique(owner[1], return_inverse=True)
+        head = np.array([len(keys), len(used), len(document)], dtype="<u8")
+        arrays = (
+            keys.astype("<u8"), doc_ids[used].astype("<i8"), marks[used].astype("<u4"),
+            owner[0].astype("<u4"), document.astype("<u4"), at.astype("<u4"),
+        )
+        return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *[a.tobytes() for a in arrays]]))
+
+    def __init__(self, packed: bytes):
+        raw = zstandard.decompress(packed)
+        n, used, occurrences = np.frombuffer(raw, dtype="<u8", count=3).tolist()
+        start = 24
+
+        def take(dtype, count):
+            nonlocal start
+            out = np.frombuffer(raw, dtype=dtype, count=count, offset=start)
+            start += out.nbytes
+            return out
+
+        self.keys = take("<u8", 2 * n).reshape(-1, 2)
+        self.doc_ids, self.marks = take("<i8", used), take("<u4", used)
+        self.window, self.document, self.at = (take("<u4", occurrences) for _ in range(3))
+        # occurrences of a window are in documents of one id
+        self.doc_of = np.zeros(n, dtype=np.int64)
+        self.doc_of[self.window] = self.doc_ids[self.document]
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order in which equal keys follow each other, and where each one begins."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+    return order, np.flatnonzero(new)
+
+
+def _smallest(docs: np.ndarray, order: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every key its run and the smallest document in it."""
+    run = np.empty(len(order), dtype=np.int64)
+    run[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    return run, np.minimum.reduceat(docs[order], heads)[run]
+
+
+def _same_windows(packs: list[_Windows]) -> Iterator[pa.RecordBatch]:
+    """Windows of one part that a smaller document has."""
+    doc_of = np.concatenate([p.doc_of for p in packs])
+    _, smallest = _smallest(doc_of, *_runs(np.concatenate([p.keys for p in packs])))
+    later = doc_of > smallest
+    base = np.cumsum([0, *[len(p.keys) for p in packs]])
+    for p, lo, hi in zip(packs, base[:-1].tolist(), base[1:].tolist(), strict=True):
+        hit = later[lo:hi][p.window]
+        if hit.any():
+            found = _intervals(p.document[hit].astype(np.int64), p.at[hit].astype(np.int64), len(p.doc_ids))
+            yield _mark_rows([(int(p.doc_ids[d]), int(p.marks[d]), x) for d, x in found])
+
+
+@dataclass(frozen=True)
+class Dealing:
+    """Parts of segments, slots of the hot anchors, further parts of their windows."""
+
+    parts: int
+    hot: np.ndarray | None = None
+    more: int = 0
+
+
+def hot_anchors(texts: DataFrame, total: int, parts: int, hot: int = HOT) -> Dealing:
+    """Counts the segments of every anchor; each anchor with more than 2 * hot is found.
+
+    A task leaves out what is below its share of ``hot`` by bytes of text. All that is left
+    out of one anchor's count is ``hot`` at most, and few rows are returned. Anchors share
+    slots, so one with fewer segments can be found as well, which changes no result.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, read = np.zeros(HOT_SLOTS, dtype=np.uint32), 0
+        for batch in small_batches(batches, chars=SEND_CHARS):
+            raw, bounds = _bytes(batch)
+            read += len(raw)
+            if len(raw) >= WINDOW:
+                first, _, _, smallest = _cut(raw, bounds[1:])
+                slot, n = np.unique(_slots(smallest[first]), return_counts=True)
+                counts[slot] += n.astype(np.uint32)
+        slot = np.flatnonzero(counts > hot * (read / max(total, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(counts[slot].astype(np.int64))], names=["slot", "n"])
+        del counts
+        release_memory()
+
+    found = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > hot).collect()
+    if not found:
+        return Dealing(parts)
+    is_hot = np.zeros(HOT_SLOTS, dtype=bool)
+    is_hot[[r["slot"] for r in found]] = True
+    windows = (_LEFT + 1) * sum(r["n"] + hot for r in found)
+    return Dealing(parts, np.packbits(is_hot), max(1, -(-windows // PART_WINDOWS)))
+
+
 SENT = "part int, doc_id long, mark long, packed binary"
 
 
-def _sender(parts: int):
+def _sender(dealing: Dealing):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, chars=SEND_CHARS):
-            yield from _sent(batch, parts)
+            yield from _sent(batch, dealing)
 
     return send
 
 
-def _sent(batch: pa.RecordBatch, parts: int) -> Iterator[pa.RecordBatch]:
-    doc_ids = np.array([NO_ID if d is None else d for d in batch.column("doc_id").to_pylist()], dtype=np.int64)
+def _bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one, and where each begins and the last ends."""
     texts = batch.column("text").cast(pa.large_binary())
-    marks = np.array([_mark(t) for t in texts.to_pylist()], dtype=np.int64)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset: texts.offset + len(texts) + 1]
     raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0]: offsets[-1]]
-    bounds = offsets - offsets[0]
-    first, windows, anchor = segments(raw, bounds[1:])
+    return raw, offsets - offsets[0]
+
+
+def _ramps(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n numbers from each first one on."""
+    return np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _sent(batch: pa.RecordBatch, dealing: Dealing) -> Iterator[pa.RecordBatch]:
+    parts = dealing.parts
+    doc_ids = np.array([NO_ID if d is None else d for d in batch.column("doc_id").to_pylist()], dtype=np.int64)
+    raw, bounds = _bytes(batch)
+    marks = np.array([_mark(t) for t in batch.column("text").cast(pa.large_binary()).to_pylist()], dtype=np.int64)
+    first, windows, anchor, slot = segments(raw, bounds[1:])
     rows = aligned(raw, first, windows, anchor)
     owner = np.searchsorted(bounds, first, side="right") - 1
     out: list[tuple[int, int, int, bytes]] = []
@@ -261,6 +412,10 @@ def _sent(batch: pa.RecordBatch, parts: int) -> Iterator[pa.RecordBatch]:
             for d, intervals in _intervals(np.repeat(owner[later], n), places, len(doc_ids)):
                 out.append((d % parts, int(doc_ids[d]), int(marks[d]), intervals))
         keep = np.flatnonzero(~later)
+        if dealing.hot is not None:
+            hot = np.unpackbits(dealing.hot)[slot[keep]] > 0
+            out.extend(_sent_windows(raw, bounds, doc_ids, marks, first[keep[hot]], windows[keep[hot]], dealing))
+            keep = keep[~hot]
         head = np.full(group.max() + 1, -1)
         head[group[keep][::-1]] = keep[::-1]  # the first occurrence stands for the segment
         hashed = _anchor_hashes_at(raw, anchor[head[head >= 0]])
@@ -270,7 +425,7 @@ def _sent(batch: pa.RecordBatch, parts: int) -> Iterator[pa.RecordBatch]:
         sort = np.lexsort((keep, head[group[keep]], by_part))
         keep, by_part = keep[sort], by_part[sort]
         cuts = np.flatnonzero(np.diff(by_part, prepend=-1))
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keep)], strict=True):
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keep)], strict=False):
             own = keep[lo:hi]
             heads, segment = np.unique(head[group[own]], return_inverse=True)
             packed = _Parts.pack(
@@ -286,6 +441,31 @@ def _sent(batch: pa.RecordBatch, parts: int) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sent_windows(raw, bounds, doc_ids, marks, first, windows, dealing: Dealing) -> Iterator[tuple[int, int | None, int | None, bytes]]:
+    """Windows of these segments for the smallest document that has them; later ones are marked at once."""
+    if not len(first):
+        return
+    at = _ramps(first, windows)
+    owner = np.searchsorted(bounds, at, side="right") - 1
+    place = at - bounds[owner]
+    keys = _window_keys(raw, at)
+    order, heads = _runs(keys)
+    run, smallest = _smallest(doc_ids[owner], order, heads)
+    later = doc_ids[owner] > smallest
+    if later.any():
+        for d, intervals in _intervals(owner[later], place[later], len(doc_ids)):
+            yield d % dealing.parts, int(doc_ids[d]), int(marks[d]), intervals
+    keep = np.flatnonzero(~later)
+    part = dealing.parts + (keys[keep, 0] % np.uint64(dealing.more)).astype(np.int64)
+    sort = np.lexsort((keep, part))
+    keep, part = keep[sort], part[sort]
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keep)], strict=True):
+        own = keep[lo:hi]
+        _, one, window = np.unique(run[own], return_index=True, return_inverse=True)
+        yield int(part[lo]), None, None, _Windows.pack(keys[own[one]], doc_ids, marks, (window, owner[own]), place[own])
+
+
 def _anchor_hashes_at(raw: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """Hash of the anchors alone, from their bytes."""
     view = np.lib.stride_tricks.sliding_window_view(raw, ANCHOR)[anchor]
@@ -313,7 +493,12 @@ def _mark_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marker(parts: int):
+    """Parts from ``parts`` on hold windows, the others segments."""
+    return lambda batches: _marked(batches, parts)
+
+
+def _marked(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Marks of one part after the other; rows come sorted by part."""
     current, held = None, []
     for batch in batches:
@@ -324,13 +509,13 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if part != current:
                 if held:
-                    yield from _compared(held)
+                    yield from (_compared if current < parts else _same_windows)(held)
                 current, held = part, []
-            held.append(_Parts(packed))
+            held.append((_Parts if part < parts else _Windows)(packed))
         if done:
             yield _mark_rows(done)
     if held:
-        yield from _compared(held)
+        yield from (_compared if current < parts else _same_windows)(held)
     del held
     release_memory()
 
@@ -437,20 +622,21 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """What is left of every text without bytes that an earlier document has.
 
     A byte goes if a string of ``WINDOW`` bytes covers it that also starts in a row with a
     smaller ``doc_id``. One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``
     (maximal removed runs), ``kept_sha256``. Null texts count as empty; a null id counts as
     smaller than any other; rows that share an id do not remove from each other. Other
-    columns are not looked at.
+    columns are not looked at. ``hot`` changes how the work is dealt out, not the result.
     """
     texts = id_and_text(docs)
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(MIN_PARTS, -(-total // PART_BYTES))
-    sent = texts.mapInArrow(_sender(parts), SENT).repartition(parts, "part").sortWithinPartitions("part")
-    marks = stored(sent.mapInArrow(_marked, MARKS), "marks")
+    dealing = hot_anchors(texts, total, parts, hot)
+    sent = texts.mapInArrow(_sender(dealing), SENT).repartition(parts + dealing.more, "part").sortWithinPartitions("part")
+    marks = stored(sent.mapInArrow(_marker(parts), MARKS), "marks")
     # rows that the broadcast filter clears keep all they have; only the others are shuffled
     keyed = with_maybe(texts.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))), F.col("key"), marks.select("doc_id"))
     untouched = keyed.filter("not _maybe").select("doc_id", "text").mapInArrow(_kept, RESULT)

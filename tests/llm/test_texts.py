@@ -54,6 +54,50 @@ def test_repeats_by_brute_force(spark, seed):
     assert got == _plain_removal(rows)
 
 
+def _boilerplate_rows():
+    """Documents with one line in common, between words of their own; some share more."""
+    random.seed(11)
+    line = "All rights reserved by the publishers of this collection of pages. "
+    own = ["".join(random.choice("klmnopqrs ") for _ in range(60)) for _ in range(80)]
+    rows = [(k, own[k] + line + own[(k + 1) % 80 if k % 3 else (k + 7) % 80]) for k in range(80)]
+    return [*rows, (90, "a" * 120), (91, "b" + "a" * 120), (92, line), (None, line + own[5]), (92, line + "!")]
+
+
+@pytest.mark.parametrize("hot", [0, 20])
+def test_repeats_of_hot_anchors_by_brute_force(spark, hot):
+    rows = _boilerplate_rows()
+    docs = spark.createDataFrame(random.sample(rows, len(rows)), DOCS).repartition(5)
+    found = repeats.hot_anchors(docs, sum(len(t) for _, t in rows), 48, hot)
+    assert found.hot is not None and found.more > 0
+    truth = []
+    for doc_id, text in rows:
+        earlier = [(-1, t) for d, t in rows if (-1 if d is None else d) < (-1 if doc_id is None else doc_id)]
+        truth.append((doc_id, *_plain_removal([*earlier, (0, text)])[0]))
+    got = [tuple(r) for r in repeats.remove_repeats(docs, hot=hot).collect()]
+    assert sorted(got, key=str) == sorted(truth, key=str)
+
+
+def test_no_part_gets_all_segments_of_a_hot_anchor(spark):
+    random.seed(12)
+    line = "All rights reserved by the publishers of this collection of pages. "
+    rows = [(k, "".join(random.choice("klmnopqrs ") for _ in range(60)) + line + str(k) * 20) for k in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = repeats.hot_anchors(docs, sum(len(t) for _, t in rows), 48, 20)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in rows]), "text": pa.array([t for _, t in rows])})
+
+    def most(dealing):
+        counts = Counter()
+        for sent in repeats._sent(batch, dealing):
+            for part, mark, packed in zip(*[sent.column(c).to_pylist() for c in ("part", "mark", "packed")], strict=True):
+                if mark is None and part < dealing.parts:
+                    anchors = repeats._Parts(packed).rows()[:, repeats._LEFT: repeats._LEFT + repeats.ANCHOR]
+                    counts.update(a.tobytes() for a in anchors)
+        return max(counts.values())
+
+    assert most(repeats.Dealing(48)) > 300
+    assert most(found) <= 40
+
+
 def test_common_prefix_with_the_last_suffix():
     """Q is last in order and equal to the others for 26 bytes only."""
     random.seed(4)
