@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demur.llm.common import attached, components, forget, id_and_text, release_memory, small_batches, stored, with_maybe
@@ -122,7 +122,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 folded = mixed(folded * _STEP + sig[:, r::ROWS])
         yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"), "row": batch.column("row"), "node": pa.array(_fingerprints(words, offsets), pa.binary()),
+            "doc_id": batch.column("doc_id"), "row": batch.column("row"), "digest": batch.column("digest"), "node": pa.array(_fingerprints(words, offsets), pa.binary()),
             "size": pa.array(np.diff(offsets), pa.int64()),
             "bands": pa.array([x.tobytes() for x in folded], pa.binary()),
             "sketch": pa.array([x.tobytes() for x in (sig >> np.uint64(8)).astype(np.uint8)], pa.binary()),
@@ -307,9 +307,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     same order are always in one class. A text without words is a class by itself. A null
     id comes before all others. Other columns are not looked at.
     """
+    return _classed(docs, F.lit(None).cast("binary"), threshold).drop("digest")
+
+
+def _classed(docs: DataFrame, digest: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """The same with a value of each text."""
     texts = id_and_text(docs)
-    signed = stored(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        _signed, "doc_id long, row long, node binary, size long, bands binary, sketch binary"
+    signed = stored(texts.withColumns({"row": F.monotonically_increasing_id(), "digest": digest}).mapInArrow(
+        _signed, "doc_id long, row long, digest binary, node binary, size long, bands binary, sketch binary"
     ), "signed")
     nodes = signed.filter("node is not null").groupBy("node")
     nodes = stored(nodes.agg(F.max("bands").alias("bands"), F.max("sketch").alias("sketch"), F.max("size").alias("size"), F.min("doc_id").alias("doc_id")), "nodes")
@@ -323,29 +328,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = linker.links_across(buckets.select("band", "key", "node"), labels)
     if more.limit(1).count():
         labels = components(first.unionByName(more))
-    labelled = signed.select("doc_id", "row", "node").join(labels, "node", "left")
+    labelled = signed.select("doc_id", "row", "digest", "node").join(labels, "node", "left")
     alone = F.concat(F.lit("row:"), F.col("row").cast("string")).cast("binary")
-    labelled = labelled.select("doc_id", "row", F.coalesce("label", "node", alone).alias("class"))
+    labelled = labelled.select("doc_id", "row", "digest", F.coalesce("label", "node", alone).alias("class"))
     head = F.struct("doc_id", "row")
     out = attached(labelled, ["class"], "row", {"head": F.min(head)}, {"head": F.min("head")})
-    return out.select("doc_id", F.col("head.doc_id").alias("class_id"), (F.col("head.row") == F.col("row")).alias("kept"))
+    return out.select("doc_id", F.col("head.doc_id").alias("class_id"), (F.col("head.row") == F.col("row")).alias("kept"), "digest")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class, columns as they are.
 
-    Rows whose id the broadcast filter clears pass straight through.
+    Rows are told apart by id and text. Those that the broadcast filter clears pass straight
+    through.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    decided = near_duplicates(docs).groupBy("doc_id").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n"))
-    plan = stored(decided.filter("n_kept < n").select(key.alias("_key"), "n_kept"), "near-copies")
+    decided = _classed(docs, _digest()).groupBy("doc_id", "digest").agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n"))
+    plan = stored(decided.filter("n_kept < n").select(key.alias("_key"), F.col("digest").alias("_digest"), "n_kept"), "near-copies")
     # the row as a whole, so that no column of its can clash with ours
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), key.alias("_key"))
-    keyed = with_maybe(keyed, F.col("_key"), plan.select("_key"))
-    looked_up = keyed.filter("_maybe").join(plan, "_key", "left")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), key.alias("_key"), _digest().alias("_digest"))
+    both = F.xxhash64("_key", "_digest")
+    keyed = with_maybe(keyed, both, plan.select(both))
+    looked_up = keyed.filter("_maybe").join(plan, ["_key", "_digest"], "left")
     out = keyed.filter("not _maybe").select("_doc.*")
     out = out.unionByName(looked_up.filter("n_kept is null").select("_doc.*"))
-    # rows that share an id: as many as are kept, in the order of their texts
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("_doc.text"))
-    some = looked_up.filter("n_kept > 0").withColumn("_place", place).filter("_place <= n_kept")
-    return out.unionByName(some.select("_doc.*"))
+    # rows that agree in id and text: one stays
+    return out.unionByName(looked_up.filter("n_kept > 0").dropDuplicates(["_key", "_digest"]).select("_doc.*"))
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))

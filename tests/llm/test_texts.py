@@ -140,6 +140,17 @@ def _classes(rows, threshold=0.8):
     return {d: root(d) for d in parent}
 
 
+def test_near_copies_among_rows_that_share_an_id(spark):
+    """The copy goes, not the row that comes last in the order of the texts."""
+    text = " ".join(f"word{k}" for k in range(60))
+    other = "zebras " + " ".join(f"other{k}" for k in range(40))
+    for ident in (None, 7):
+        rows = [(ident, text), (ident, text + " end"), (ident, other), (ident, other), (9, "one more text that has nothing in common")]
+        got = [r["text"] for r in near_dedup.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()]
+        assert len(got) == 3 and other in got and rows[4][1] in got
+        assert (text in got) != (text + " end" in got)
+
+
 def test_near_duplicates_by_brute_force(spark):
     """A large loose group, in which most pairs are close to the threshold on either side."""
     random.seed(9)
