@@ -145,7 +145,7 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _joined(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The same search for any number of items: signatures meet in a join."""
+    """The same search for any number of items: signatures meet in a join. Adds the text's ``digest``."""
     texts = stored(id_and_text(docs).withColumn("row", F.monotonically_increasing_id()), "texts")
     sets = stored(sets.withColumn("item", F.monotonically_increasing_id()), "items")
 
@@ -173,22 +173,26 @@ def _joined(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left = texts.mapInArrow(of_docs, "class int, value long, row long")
     right = sets.mapInArrow(of_items, "class int, value long, item long")
     pairs = left.join(right, ["class", "value"]).select("row", "item").distinct()
-    both = pairs.join(texts, "row").join(sets, "item").select("doc_id", "text", "item_id", "shingles")
+    both = pairs.join(texts, "row").join(sets, "item").select(
+        "doc_id", "text", "item_id", "shingles", F.sha2("text", 256).alias("digest")
+    )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             owner, hashes, _ = counted(*shingles(batch.column("text")))
             starts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            rows = []
+            rows, digests = [], []
             ids = zip(batch.column("doc_id").to_pylist(), batch.column("item_id").to_pylist(), batch.column("shingles").to_pylist(), strict=True)
+            digest = batch.column("digest").to_pylist()
             for k, (doc_id, item_id, raw) in enumerate(ids):
                 wanted = np.frombuffer(raw, dtype=np.uint64)
                 n = int(np.isin(wanted, hashes[starts[k]: starts[k + 1]]).sum())
                 if n >= threshold * len(wanted) - 1e-9:
                     rows.append((doc_id, item_id, n, len(wanted), n / len(wanted)))
-            yield _pairs(rows)
+                    digests.append(digest[k])
+            yield _pairs(rows).append_column("digest", pa.array(digests, pa.string()))
 
-    return both.mapInArrow(verify, PAIRS)
+    return both.mapInArrow(verify, f"{PAIRS}, digest string")
 
 
 def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
@@ -202,7 +206,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     sets = stored(_item_sets(items), "item-sets")
     total = sets.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0] // 8
     if total > broadcast_shingles:
-        return _joined(docs, sets, threshold)
+        return _joined(docs, sets, threshold).drop("digest")
     rows = sorted(((r["item_id"], bytes(r["shingles"])) for r in sets.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     return _searched(docs, Items([r[0] for r in rows], [np.frombuffer(r[1], dtype=np.uint64) for r in rows]), threshold)
 
@@ -212,8 +216,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
     sets = stored(_item_sets(items), "item-sets")
     total = sets.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0] // 8
     if total > BROADCAST_SHINGLES:
-        hit = _joined(docs, sets, threshold).select(F.col("doc_id").alias("_hit")).distinct()
-        return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
+        # rows that agree in id and text contain the same items; those that agree in the id alone may not
+        hit = _joined(docs, sets, threshold).select(F.col("doc_id").alias("_hit"), F.col("digest").alias("_digest")).distinct()
+        own = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+        return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]) & (own == hit["_digest"]), "left_anti")
     rows = [(r["item_id"], bytes(r["shingles"])) for r in sets.collect()]
     known = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [np.frombuffer(r[1], dtype=np.uint64) for r in rows]))
 

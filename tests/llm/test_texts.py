@@ -140,6 +140,18 @@ def _classes(rows, threshold=0.8):
     return {d: root(d) for d in parent}
 
 
+@pytest.mark.parametrize("limit", [decontamination.BROADCAST_SHINGLES, 0])
+def test_contaminated_rows_that_share_an_id(spark, monkeypatch, limit):
+    """Both paths judge each row by itself."""
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", limit)
+    item = " ".join(f"item{k}" for k in range(40))
+    clean = " ".join(f"clean{k}" for k in range(40))
+    rows = [(None, item), (None, clean), (None, None), (5, "before " + item), (5, clean), (5, clean), (6, clean)]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontamination.drop_contaminated(spark.createDataFrame(rows, DOCS), items).collect()
+    assert sorted(map(tuple, got), key=str) == sorted((r for r in rows if not r[1] or "item0" not in r[1]), key=str)
+
+
 def test_near_copies_among_rows_that_share_an_id(spark):
     """The copy goes, not the row that comes last in the order of the texts."""
     text = " ".join(f"word{k}" for k in range(60))
