@@ -1,5 +1,5 @@
-"""Removal of byte strings that an earlier document has, by column-wise construction of a
-collection's Burrows-Wheeler transform and common prefixes.
+"""Removal of byte strings that an earlier document has, by a column-wise sort of segments with
+common prefixes, as in the construction of a collection's Burrows-Wheeler transform.
 
 Every window of ``WINDOW`` bytes has an anchor: the leftmost of its ``ANCHOR``-byte strings
 with the smallest hash. Consecutive windows with the same anchor form a segment of at most
@@ -7,12 +7,11 @@ with the smallest hash. Consecutive windows with the same anchor form a segment
 dealt out by the hash of their anchor, and all equal windows meet in one task, in the same
 column once segments are aligned at their anchors.
 
-A task builds the transform of its collection of segments column by column, from right to
-left: each round inserts one symbol per segment. The symbols before the suffixes of the last
-round, in their order, are appended to the transform; sorting them stably gives the order
-of the new suffixes; their common prefixes follow from range minima of the old ones. The
-symbols are read from one file per column, written once and read in order, so memory holds
-a few numbers per segment, not the segments. Suffixes of different columns need no common
+A task sorts its segments column by column, from right to left: each round reads one symbol
+per segment. Sorting the symbols before the suffixes of the last round stably gives the order
+of the new suffixes; their common prefixes follow from range minima of the old ones. Symbols
+are then dropped; no transform is kept. The columns of a chunk are in one file, read in order;
+order and prefixes are in memory, as is a row for each segment of the part. Suffixes of different columns need no common
 order, as no equal windows lie in different columns. After each round that inserts the first
 byte of windows, runs of common prefixes of WINDOW or more are the equal windows, and those
 of documents after the smallest in the run are marked.
@@ -154,7 +153,7 @@ def equal_windows(columns: Iterator[np.ndarray], docs: np.ndarray, starts: np.nd
     order = np.arange(m)
     common = np.zeros(m, dtype=np.uint8)
     for column in range(COLUMNS - 1, -1, -1):
-        symbols = next(columns)[order]  # the next part of the transform
+        symbols = next(columns)[order]
         turn = np.argsort(symbols, kind="stable")
         sorted_symbols = symbols[turn]
         same = np.zeros(m, dtype=bool)
