@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from demur.llm import decontamination, exact_dedup, language_id, near_dedup, packing, personal_data, quality, repeats, token_counts, token_output
+from demur.llm import (
+    alignment, byte_bpe, conversations, decontamination, exact_dedup, language_id, near_dedup, packing, personal_data, quality, repeats,
+    token_counts, token_output,
+)
 from demur.llm.common import table
 from demur.llm.shingling import MARKS
 
@@ -143,3 +147,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_personal_data")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit_conversations(conversations.damage(table(spark, sf_dir, "conversations")), F.col("present"))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from demur.llm import (
-    decontamination, exact_dedup, language_id, near_dedup, packing, personal_data, quality, repeats, token_counts, token_output,
+    alignment, byte_bpe, decontamination, exact_dedup, language_id, near_dedup, packing, personal_data, quality, repeats, token_counts,
+    token_output,
 )
 from demur.llm.common import shared_folder
 
@@ -17,6 +18,7 @@ def written(docs):
 PER_ROW = {
     "language_id": language_id.identify, "exact_dedup": exact_dedup.exact_dedup, "token_output": written, "near_dedup": near_dedup.near_duplicates,
     "repeats": repeats.remove_repeats, "personal_data": personal_data.find_personal_data, "token_lengths": token_counts.token_lengths,
+    "token_alignment": alignment.align_tokens, "byte_bpe": lambda docs: byte_bpe.digests(byte_bpe.encode(docs)),
 }
 
 
