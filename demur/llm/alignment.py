@@ -13,9 +13,10 @@ second looks the counts up again: links that occur often are few and are broadca
 ``FREQUENT`` of them; all others meet the documents in a join, in which by construction no
 key is frequent.
 
-Texts are encoded in *units*, from one white space that follows a visible character to the
-next. Neither tokenizer joins anything across such a place (`Encoders` refuses vocabularies
-that could), so different units are encoded once and held in a bounded cache, and very long
+Texts are taken apart into *units*, from one space between visible characters to the next.
+Neither tokenizer joins anything across such a place (`Encoders` refuses vocabularies that
+could), so both have an end there. The units of a batch that are not known yet are put in a
+row and lined up in one go; what was found is held per unit in a bounded cache. Very long
 texts are aligned a slice at a time.
 
 Null and empty texts, and texts that one of the tokenizers doesn't reproduce byte for byte,
@@ -28,8 +29,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ FREQUENT = 500_000
 #: texts are sliced into about this many characters, and so many are aligned at a time
 SLICE_CHARS = 400_000
 #: units held in a worker's cache, at about 300 bytes each
-MAX_UNITS = 500_000
+MAX_UNITS = 400_000
 
 MARK = "▁"
 SCHEMA = """row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string,
@@ -58,6 +59,10 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WHITE = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD = f"(^|{_WHITE}) | ({_WHITE}|$)"
 
+#: tokens of A, tokens of B, groups, the groups as text, linked pairs as bytes, bytes kept
+Unit = tuple[int, int, int, str, bytes, bool]
+NOT_KEPT: Unit = (0, 0, 0, "", b"", False)
+
 _encoders: dict[tuple[str, str], Encoders] = {}
 
 
@@ -100,37 +105,47 @@ class Encoders:
         self.size_a = np.fromiter(map(len, self.bytes_a), dtype=np.int64, count=len(self.bytes_a))
         self.size_b = np.fromiter(map(len, self.bytes_b), dtype=np.int64, count=len(self.bytes_b))
         self.names = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.units: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.units: dict[str, Unit] = {}
+
+    def _kept(self, ids: list[list[int]], table: list[bytes], raw: list[bytes]) -> list[bool]:
+        """Which units' tokens join to the unit's own bytes."""
+        return [b"".join([table[k] for k in of_unit]) == own for of_unit, own in zip(ids, raw, strict=True)]
 
-    def _encode(self, units: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
-        """Ids under A and B, and whether both keep the bytes. B adds the unit's first space by itself."""
+    def _align(self, units: list[str]) -> dict[str, Unit]:
+        """Encode units, put the tokens of all of them in a row, and line these up. Units are groups' borders."""
         of_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        of_b = self.b.encode([u[1:] for u in units], num_threads=1)
+        of_b = self.b.encode([u[1:] for u in units], num_threads=1)  # which adds the first space by itself
         raw = [u.encode() for u in units]
-        same = self._kept(of_a, self.bytes_a, raw) & self._kept(of_b, self.bytes_b, raw)
-        return {u: (array("i", a).tobytes(), array("i", b).tobytes(), k) for u, a, b, k in zip(units, of_a, of_b, same.tolist(), strict=True)}
-
-    @staticmethod
-    def _kept(ids: list[list[int]], table: list[bytes], raw: list[bytes]) -> np.ndarray:
-        """Which units' tokens join to the unit's own bytes. All at once, and one by one only if some don't."""
-        joined = [b"".join([table[k] for k in of_unit]) for of_unit in ids]
-        if joined == raw:
-            return np.ones(len(raw), dtype=bool)
-        return np.fromiter((x == y for x, y in zip(joined, raw, strict=True)), dtype=bool, count=len(raw))
-
-    def encode_units(self, units: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
-        """For different units: all ids under A in a row and how many each has, the same under B, whether both kept its bytes."""
+        kept_a, kept_b = self._kept(of_a, self.bytes_a, raw), self._kept(of_b, self.bytes_b, raw)
+        out = {u: NOT_KEPT for u, a, b in zip(units, kept_a, kept_b, strict=True) if not (a and b)}
+        if out:
+            good = [u not in out for u in units]
+            units, of_a, of_b = ([x for x, g in zip(side, good, strict=True) if g] for side in (units, of_a, of_b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(side), dtype=np.int64) for side in (of_a, of_b))
+        stretches, links_a, links_b = align(np.cumsum(self.size_a[ids_a]).tolist(), np.cumsum(self.size_b[ids_b]).tolist())
+        names = self.names
+        groups, ends = groups_of(stretches, [names[k] for k in ids_a.tolist()], [names[k] for k in ids_b.tolist()])
+        at_a = np.array(links_a, dtype=np.int64)
+        pairs = ids_b[np.array(links_b, dtype=np.int64)] * len(self.bytes_a) + ids_a[at_a]
+        # tokens of A tell where each unit's groups and links end
+        last = np.cumsum(np.fromiter(map(len, of_a), dtype=np.int64, count=len(of_a)))
+        to_group = np.searchsorted(np.array(ends, dtype=np.int64), last, "right").tolist()
+        to_link = np.searchsorted(at_a, last, "left").tolist()
+        g = n = 0
+        for unit, a, b, g_end, n_end in zip(units, of_a, of_b, to_group, to_link, strict=True):
+            out[unit] = (len(a), len(b), g_end - g, ";".join(groups[g:g_end]), pairs[n:n_end].tobytes(), True)
+            g, n = g_end, n_end
+        return out
+
+    def aligned_units(self, units: list[str]) -> list[Unit]:
+        """What is known of different units, aligned now or before."""
         if len(self.units) > MAX_UNITS:
             self.units.clear()
         held = self.units
-        new = self._encode([u for u in units if u not in held])
+        new = self._align([u for u in units if u not in held])
         found = [held.get(u) or new[u] for u in units]
         held.update((u, f) for u, f in new.items() if len(u) <= 64)
-        sides = []
-        for side in (0, 1):
-            parts = [f[side] for f in found]
-            sides.append((np.frombuffer(b"".join(parts), dtype="<i4"), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4))
-        return sides[0], sides[1], np.fromiter((f[2] for f in found), dtype=bool, count=len(found))
+        return found
 
 
 def units_of(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -211,15 +226,18 @@ def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int, bo
     return stretches, of_a, of_b
 
 
-def groups_text(stretches, a: list[str], b: list[str]) -> tuple[int, str]:
-    """The groups as text, ids of A, a bar and ids of B, and how many there are."""
+def groups_of(stretches, a: list[str], b: list[str]) -> tuple[list[str], list[int]]:
+    """The groups as text, ids of A, a bar and ids of B, and the index of A after each."""
     out: list[str] = []
+    ends: list[int] = []
     for i, i_end, j, j_end, single in stretches:
         if single:
             out += [f"{x}|{y}" for x, y in zip(a[i:i_end], b[j:j_end])]  # noqa: B905
+            ends.extend(range(i + 1, i_end + 1))
         else:
             out.append(",".join(a[i:i_end]) + "|" + ",".join(b[j:j_end]))
-    return len(out), ";".join(out)
+            ends.append(i_end)
+    return out, ends
 
 
 class Document:
@@ -231,21 +249,18 @@ class Document:
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
         self.whole = True
 
-    def add(self, coder: Encoders, ids_a: np.ndarray, ids_b: np.ndarray) -> None:
-        names = coder.names
-        stretches, of_a, of_b = align(np.cumsum(coder.size_a[ids_a]).tolist(), np.cumsum(coder.size_b[ids_b]).tolist())
-        n, text = groups_text(stretches, [names[k] for k in ids_a.tolist()], [names[k] for k in ids_b.tolist()])
+    def add(self, n_a: int, n_b: int, n_groups: int, groups: str, pairs: np.ndarray) -> None:
         if self.n_groups:
             self.digest.update(b";")
-        self.digest.update(text.encode())
-        self.n_a, self.n_b = self.n_a + len(ids_a), self.n_b + len(ids_b)
-        self.n_groups, self.n_links = self.n_groups + n, self.n_links + len(of_a)
-        pair = ids_b[np.array(of_b)].astype(np.int64) * len(coder.bytes_a) + ids_a[np.array(of_a)]
-        self.pairs.append(np.unique(pair, return_counts=True))
+        self.digest.update(groups.encode())
+        self.n_a, self.n_b = self.n_a + n_a, self.n_b + n_b
+        self.n_groups, self.n_links = self.n_groups + n_groups, self.n_links + len(pairs)
+        self.pairs.append(np.unique(pairs, return_counts=True))
         if len(self.pairs) > 32:
             self.pairs = [self.links()]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Different pairs and how often each is linked."""
         if len(self.pairs) == 1:
             return self.pairs[0]
         if not self.pairs:
@@ -255,7 +270,7 @@ class Document:
 
 
 def align_texts(coder: Encoders, texts: list[str | None]) -> list[Document]:
-    """Align whole texts. Short ones are encoded together, long ones slice by slice."""
+    """Align whole texts. Short ones are taken together, long ones slice by slice."""
     documents = [Document() for _ in texts]
     parts = [(d, s) for d, text in zip(documents, texts, strict=True) if text for s in slices(text)]
     at = 0
@@ -265,18 +280,21 @@ def align_texts(coder: Encoders, texts: list[str | None]) -> list[Document]:
             chars += len(parts[end][1])
             end += 1
         starts, units = units_of(pa.array([s for _, s in parts[at:end]], pa.string()))
-        (pool_a, sizes_a), (pool_b, sizes_b), same = coder.encode_units(units.dictionary.to_pylist())
+        found = coder.aligned_units(units.dictionary.to_pylist())
         index = units.indices.to_numpy().astype(np.int64)
-        all_a, each_a = gathered(pool_a, sizes_a, index)
-        all_b, each_b = gathered(pool_b, sizes_b, index)
-        from_a = np.concatenate([[0], np.cumsum(each_a)])[starts]
-        from_b = np.concatenate([[0], np.cumsum(each_b)])[starts]
-        good = np.concatenate([[0], np.cumsum(same[index])])[starts]
+        sums = [np.concatenate([[0], np.cumsum(np.array([f[c] for f in found], dtype=np.int64)[index])])[starts] for c in (0, 1, 2, 5)]
+        n_a, n_b, n_groups, good = (np.diff(x).tolist() for x in sums)
+        raw = [f[4] for f in found]
+        pool, sizes = np.frombuffer(b"".join(raw), dtype=np.int64), np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 8
+        pairs, each = gathered(pool, sizes, index)
+        links = np.concatenate([[0], np.cumsum(each)])[starts].tolist()
+        groups, order, starts = [f[3] for f in found], index.tolist(), starts.tolist()
         for k in range(end - at):
             document = parts[at + k][0]
-            document.whole = document.whole and good[k + 1] - good[k] == starts[k + 1] - starts[k]
+            document.whole = document.whole and good[k] == starts[k + 1] - starts[k]
             if document.whole:
-                document.add(coder, all_a[from_a[k]: from_a[k + 1]], all_b[from_b[k]: from_b[k + 1]])
+                text = ";".join([groups[u] for u in order[starts[k]: starts[k + 1]]])
+                document.add(n_a[k], n_b[k], n_groups[k], text, pairs[links[k]: links[k + 1]])
         at = end
     return documents
 
