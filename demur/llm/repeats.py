@@ -44,7 +44,7 @@ from demur.llm.shingling import mixed
 
 WINDOW, ANCHOR = 50, 16
 #: bytes of text for each part that segments are dealt to, and parts at least
-PART_BYTES, MIN_PARTS = 12_000_000, 48
+PART_BYTES, MIN_PARTS = 6_000_000, 48
 #: segments whose columns are built together; whole anchors, none of which has more than 2 * HOT
 CHUNK = 200_000
 #: segments of an anchor above which its windows are dealt out instead
@@ -218,16 +218,33 @@ class _Parts:
             return out
 
         self.body = take(np.uint8, size)
-        self.start, self.windows = take(np.uint8, n).astype(np.int64), take(np.uint8, n).astype(np.int64)
+        self.start, self.windows = take(np.uint8, n), take(np.uint8, n)
         self.doc_ids, self.marks = np.cumsum(_whole(take(np.uint8, 8 * used), "<i8")), take("<u4", used)
-        self.segment = np.cumsum(take(np.uint8, occurrences), dtype=np.int64)  # each follows the one before, or is the same
-        self.document = np.cumsum(_whole(take(np.uint8, 4 * occurrences), "<i4"), dtype=np.int64)
-        self.at = np.cumsum(_whole(take(np.uint8, 4 * occurrences), "<i4"), dtype=np.int64)
-
-    def rows(self) -> np.ndarray:
-        out = np.full((len(self.start), COLUMNS), ABSENT, dtype=np.uint8)
+        self.segment = np.cumsum(take(np.uint8, occurrences), dtype=np.int32)  # each follows the one before, or is the same
+        self.document = np.cumsum(_whole(take(np.uint8, 4 * occurrences), "<i4"), dtype=np.int32)
+        self.at = np.cumsum(_whole(take(np.uint8, 4 * occurrences), "<i4"), dtype=np.int32)
+        # occurrences of a segment are in documents of one id
+        self.doc_of = np.zeros(n, dtype=np.int64)
+        self.doc_of[self.segment] = self.doc_ids[self.document]
+
+    def _ends(self) -> np.ndarray:
+        return np.cumsum(self.windows.astype(np.int64) + (WINDOW - 1))
+
+    def anchors(self) -> np.ndarray:
+        """Hash of each segment's anchor."""
+        at = self._ends() - (self.windows.astype(np.int64) + (WINDOW - 1)) + (_LEFT - self.start.astype(np.int64))
+        return _anchor_hashes_at(self.body, at) if len(at) else np.zeros(0, dtype=np.uint64)
+
+    def rows(self, wanted: np.ndarray | None = None) -> np.ndarray:
+        """The wanted segments as rows, or all. Gives the bytes back, so this can be called once."""
+        wanted = np.ones(len(self.start), dtype=bool) if wanted is None else wanted
+        length = self.windows.astype(np.int64) + (WINDOW - 1)
+        body = self.body[np.repeat(wanted, length)]
+        self.body = None
+        start, length = self.start[wanted], length[wanted]
+        out = np.full((len(start), COLUMNS), ABSENT, dtype=np.uint8)
         column = np.arange(COLUMNS)
-        out[(column >= self.start[:, None]) & (column < (self.start + self.windows + WINDOW - 1)[:, None])] = self.body
+        out[(column >= start[:, None]) & (column < (start + length)[:, None])] = body
         return out
 
 
@@ -500,7 +517,7 @@ def _marker(parts: int):
 def _marked(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Marks of one part after the other; rows come sorted by part."""
     current, held = None, []
-    for batch in batches:
+    for batch in small_batches(batches, "packed", chars=4_000_000):  # no second copy of many rows at once
         done = []
         for part, doc_id, mark, packed in zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "mark", "packed")], strict=True):
             if mark is not None:
@@ -509,6 +526,7 @@ def _marked(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
             if part != current:
                 if held:
                     yield from (_compared if current < parts else _same_windows)(held)
+                    release_memory()
                 current, held = part, []
             held.append((_Parts if part < parts else _Windows)(packed))
         if done:
@@ -520,32 +538,47 @@ def _marked(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
 
 
 def _compared(parts: list[_Parts]) -> Iterator[pa.RecordBatch]:
-    """Equal windows among the segments of one part."""
-    sizes = [len(p.start) for p in parts]
-    base = np.cumsum([0, *sizes])
-    rows = np.empty((int(base[-1]), COLUMNS), dtype=np.uint8)
-    for p, lo in zip(parts, base.tolist(), strict=False):
-        rows[lo: lo + len(p.start)] = p.rows()
-        p.body = None  # held once from here on
-    start, windows = np.concatenate([p.start for p in parts]), np.concatenate([p.windows for p in parts])
-    doc_ids, marks = np.concatenate([p.doc_ids for p in parts]), np.concatenate([p.marks for p in parts])
-    document_base = np.cumsum([0, *[len(p.doc_ids) for p in parts]])
-    segment = np.concatenate([p.segment + b for p, b in zip(parts, base, strict=False)])
-    document = np.concatenate([p.document + b for p, b in zip(parts, document_base, strict=False)])
-    at = np.concatenate([p.at for p in parts])
-    # occurrences of a segment are in one document
-    doc_of = np.zeros(len(rows), dtype=np.int64)
-    doc_of[segment] = doc_ids[document]
-    anchors = _anchor_keys(np.ascontiguousarray(rows[:, _LEFT: _LEFT + ANCHOR]))
-    order = np.argsort(anchors, kind="stable")
-    sorted_anchors = anchors[order]
-    heads = np.flatnonzero(np.append(True, sorted_anchors[1:] != sorted_anchors[:-1])) if len(order) else np.zeros(0, dtype=np.int64)
+    """Equal windows among the segments of one part.
+
+    Segments whose anchor only one document has are left out before any row is built.
+    """
+    doc_of = np.concatenate([p.doc_of for p in parts])
+    anchors = np.concatenate([p.anchors() for p in parts])
+    order = np.argsort(anchors, kind="stable").astype(np.int32)
+    heads = np.flatnonzero(np.append(True, np.diff(anchors[order]) != 0)) if len(order) else np.zeros(0, dtype=np.int64)
+    del anchors
     group = np.diff(np.append(heads, len(order)))
     several = np.minimum.reduceat(doc_of[order], heads) != np.maximum.reduceat(doc_of[order], heads) if len(heads) else np.zeros(0, dtype=bool)
-    order = order[np.repeat(several, group)]  # an anchor in one document has no equal windows elsewhere
+    order = order[np.repeat(several, group)]
     ends = np.cumsum(group[several])
-    first_of = np.searchsorted(np.sort(segment), np.arange(len(rows) + 1))
-    by_segment = np.argsort(segment, kind="stable")
+    wanted = np.zeros(len(doc_of), dtype=bool)
+    wanted[order] = True
+    number = np.cumsum(wanted, dtype=np.int32) - 1  # of a segment among the wanted ones
+    order = number[order]
+    rows = np.empty((int(wanted.sum()), COLUMNS), dtype=np.uint8)
+    base = np.cumsum([0, *[len(p.start) for p in parts]])
+    segment, document, at = [], [], []
+    document_base = np.cumsum([0, *[len(p.doc_ids) for p in parts]])
+    for p, lo, hi, docs in zip(parts, base[:-1].tolist(), base[1:].tolist(), document_base[:-1].tolist(), strict=True):
+        own = wanted[lo:hi]
+        if own.any():
+            first = int(number[lo + int(own.argmax())])
+            rows[first: first + int(own.sum())] = p.rows(own)
+            seen = own[p.segment]
+            segment.append(number[lo + p.segment[seen]])
+            document.append(p.document[seen] + np.int32(docs))
+            at.append(p.at[seen])
+        p.body = p.segment = p.document = p.at = None
+    if not len(rows):
+        return
+    segment, document, at = np.concatenate(segment), np.concatenate(document), np.concatenate(at)
+    start = np.concatenate([p.start for p in parts])[wanted].astype(np.int64)
+    windows = np.concatenate([p.windows for p in parts])[wanted].astype(np.int64)
+    doc_ids, marks = np.concatenate([p.doc_ids for p in parts]), np.concatenate([p.marks for p in parts])
+    doc_of = doc_of[wanted]
+    parts.clear()
+    by_segment = np.argsort(segment, kind="stable").astype(np.int32)
+    first_of = np.searchsorted(segment[by_segment], np.arange(len(rows) + 1))
     lo = 0
     while lo < len(order):
         stop = np.searchsorted(ends, lo + CHUNK, side="right")
@@ -554,7 +587,8 @@ def _compared(parts: list[_Parts]) -> Iterator[pa.RecordBatch]:
         lo = hi
         found_rows, found_columns = [], []
         with tempfile.TemporaryFile() as file:
-            file.write(np.ascontiguousarray(rows[chunk].T[::-1]).tobytes())  # columns from the last to the first
+            for column in range(COLUMNS - 1, -1, -1):  # columns from the last to the first
+                file.write(rows[chunk, column].tobytes())
             file.seek(0)
             columns = (np.frombuffer(file.read(len(chunk)), dtype=np.uint8) for _ in range(COLUMNS))
             for r, column in equal_windows(columns, doc_of[chunk], start[chunk], windows[chunk]):
