@@ -47,8 +47,8 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 FREQUENT = 500_000
 #: texts are sliced into about this many characters, and so many are aligned at a time
 SLICE_CHARS = 400_000
-#: units held in a worker's cache, at about 300 bytes each
-MAX_UNITS = 400_000
+#: units of a generation of a worker's cache, at about 300 bytes each; two are held
+MAX_UNITS = 300_000
 
 MARK = "▁"
 SCHEMA = """row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string,
@@ -105,7 +105,8 @@ class Encoders:
         self.size_a = np.fromiter(map(len, self.bytes_a), dtype=np.int64, count=len(self.bytes_a))
         self.size_b = np.fromiter(map(len, self.bytes_b), dtype=np.int64, count=len(self.bytes_b))
         self.names = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.units: dict[str, Unit] = {}
+        self.young: dict[str, Unit] = {}
+        self.old: dict[str, Unit] = {}
 
     def _kept(self, ids: list[list[int]], table: list[bytes], raw: list[bytes]) -> list[bool]:
         """Which units' tokens join to the unit's own bytes."""
@@ -139,12 +140,12 @@ class Encoders:
 
     def aligned_units(self, units: list[str]) -> list[Unit]:
         """What is known of different units, aligned now or before."""
-        if len(self.units) > MAX_UNITS:
-            self.units.clear()
-        held = self.units
-        new = self._align([u for u in units if u not in held])
-        found = [held.get(u) or new[u] for u in units]
-        held.update((u, f) for u, f in new.items() if len(u) <= 64)
+        if len(self.young) > MAX_UNITS:  # what was not asked for since then goes
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = self._align([u for u in units if u not in young and u not in old])
+        found = [young.get(u) or old.get(u) or new[u] for u in units]
+        young.update((u, f) for u, f in zip(units, found, strict=True) if len(u) <= 64)
         return found
 
 
