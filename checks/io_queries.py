@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from checks.registry import Data, query
+from checks.vote_queries import G, W
 from demur.functions.columns import col
 from demur.operators import metrics as M
 from demur.operators import sampling as S
+from demur.operators import voting as V
 from demur.sources import readers as RD
 from demur.sources import sinks as SK
+from demur.sources import tables as TB
 from demur.streaming import logs as L
+from demur.streaming import results as R
 
 VOTE_SCHEMA = "line_no bigint, source_qid string, original_query string, verification_successful boolean, verification_result string"
 
@@ -137,13 +142,15 @@ def _(d: Data):
     return d.spark.read.schema("model_id string, ground_truth_label string, model_predicted_type string, n bigint").option("header", True).csv(path)
 
 
-@query("append_results", "SELECT model_id, sample_id, model_predicted_type FROM eval_results")
+@query("append_results", "SELECT model_id, sample_id AS query, model_predicted_type FROM eval_results")
 def _(d: Data):
+    """Batches that a restarted job appends again, read back while one more has been written but not committed."""
     path = d.scratch()
-    rows = d.results().select("model_id", "sample_id", "model_predicted_type")
-    SK.append_results(rows.filter("model_id < 'model_2'"), path)
-    SK.append_results(rows.filter("model_id >= 'model_2'"), path)
-    return d.spark.read.parquet(path)
+    rows = d.results().select("model_id", col("sample_id").alias("query"), "model_predicted_type")
+    for name, part in (("a", rows.filter("model_id < 'model_2'")), ("b", rows.filter("model_id >= 'model_2'")), ("a", rows), ("b", rows)):
+        SK.append_results(part, path, batch=name)
+    rows.limit(10).write.parquet(f"{path}/{TB.DATA}/never-committed")
+    return RD.read_results(d.spark, path).select("model_id", "query", "model_predicted_type")
 
 
 # --- streaming: two drops of files, each followed by a run; the result is the batch result ------
@@ -171,12 +178,82 @@ def _(d: Data):
 RESULT_SCHEMA = "sample_id string, model_id string, model_predicted_type string, seq bigint"
 
 
-@query("stream_dedupe_upsert", "SELECT sample_id, model_id, CASE WHEN k % 4 = 0 THEN 'REDO' ELSE model_predicted_type END AS model_predicted_type FROM eval_results")
+UPSERTED = """SELECT k, sample_id, model_id, ground_truth_label, perturbation_class, intensity,
+  CASE WHEN k % 4 = 0 THEN 'REDO' ELSE model_predicted_type END AS model_predicted_type, answer_quality_score, refusal_match_correct FROM eval_results"""
+MERGED_SCHEMA = """sample_id string, model_id string, ground_truth_label string, perturbation_class string, intensity string,
+    model_predicted_type string, answer_quality_score double, refusal_match_correct boolean, seq bigint"""
+
+
+def merged_results(d: Data) -> str:
+    """Two drops of result files merged by a stream that crashes once after writing the second one's data."""
+    r = d.results().withColumn("seq", col("k")).select(*[f.split()[0] for f in MERGED_SCHEMA.split(",")])
+    base = d.scratch()
+    source, target, checkpoint = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
+
+    def run() -> None:
+        R.stream_results(d.spark, source, MERGED_SCHEMA, target, checkpoint, buckets=8).awaitTermination()
+
+    SK.write_jsonl(r, f"{source}/0")
+    run()
+    SK.write_jsonl(r.filter("seq % 4 = 0").withColumn("model_predicted_type", F.lit("REDO")), f"{source}/1")
+    publish = TB.publish
+    TB.publish = _gone
+    try:
+        run()
+    except StreamingQueryException:
+        pass
+    finally:
+        TB.publish = publish
+    run()
+    return target
+
+
+def _gone(*_):
+    raise OSError("the writer is lost before the version is published")
+
+
+@query("stream_dedupe_upsert", f"SELECT sample_id, model_id, model_predicted_type FROM ({UPSERTED})")
 def _(d: Data):
-    r = d.results().select("sample_id", "model_id", "model_predicted_type", col("k").alias("seq"))
-    again = r.filter("seq % 4 = 0").withColumn("model_predicted_type", F.lit("REDO"))
-    target = _drops(d, r, again, lambda s, t, c: L.stream_upsert(d.spark, s, RESULT_SCHEMA, t, c))
-    return L.latest(d.spark, target).drop("seq")
+    return TB.read_merged(d.spark, merged_results(d)).select("sample_id", "model_id", "model_predicted_type")
+
+
+BOARD = """SELECT model_id, count(*) FILTER (WHERE ground_truth_label = 'ANSWER_CORRECTLY') AS answerable_instances,
+  count(*) FILTER (WHERE ground_truth_label <> 'ANSWER_CORRECTLY') AS unanswerable_instances,
+  round(count(*) FILTER (WHERE ground_truth_label = 'ANSWER_CORRECTLY' AND model_predicted_type = 'answer_attempt' AND answer_quality_score >= 4)
+    / nullif(count(*) FILTER (WHERE ground_truth_label = 'ANSWER_CORRECTLY'), 0), 9) AS answer_accuracy,
+  round(avg(CAST(refusal_match_correct AS INT)) FILTER (WHERE ground_truth_label <> 'ANSWER_CORRECTLY'), 9) AS refusal_accuracy,
+  round(count(*) FILTER (WHERE ground_truth_label <> 'ANSWER_CORRECTLY' AND model_predicted_type = 'answer_attempt')
+    / nullif(count(*) FILTER (WHERE ground_truth_label <> 'ANSWER_CORRECTLY'), 0), 9) AS missed_refusal_rate"""
+
+
+@query("incremental_leaderboard", f"{BOARD} FROM ({UPSERTED}) GROUP BY model_id")
+def _(d: Data):
+    """The leaderboard from the counts that merging keeps: replaced rows are taken off."""
+    board = M.leaderboard(R.counts(d.spark, merged_results(d)))
+    rates = ("answer_accuracy", "refusal_accuracy", "missed_refusal_rate")
+    return board.select("model_id", "answerable_instances", "unanswerable_instances", *[F.round(c, 9).alias(c) for c in rates])
+
+
+@query("incremental_progress", """SELECT m AS model_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS finished, count(e.k) AS distinct_samples,
+  (SELECT count(DISTINCT sample_id) FROM eval_results) - count(e.k) AS remaining, (SELECT count(DISTINCT sample_id) FROM eval_results) <> count(e.k) AS size_mismatch
+FROM (VALUES ('model_0'), ('model_4'), ('model_9')) t(m) LEFT JOIN (SELECT k, model_id, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS n FROM eval_results) e
+  ON e.model_id = m GROUP BY m""")
+def _(d: Data):
+    """Rows that arrived and different samples per model, kept by the stream."""
+    total = d.results().agg(F.count_distinct("sample_id")).first()[0]
+    return R.progress(d.spark, merged_results(d), ["model_0", "model_4", "model_9"], total)
+
+
+@query("incremental_alignment", W + f"SELECT {G}, responding, successful, pass_votes, fail_votes, is_complete, una AS has_unanimous_pass FROM aligned")
+def _(d: Data):
+    """Votes of two drops merged into the aligned state; the second run reads the new files and the state."""
+    base = d.scratch()
+    for k, part in enumerate((d.votes().filter("line_no % 2 = 0"), d.votes().filter("line_no % 2 = 1"))):
+        SK.write_jsonl(part.drop("verifier_ord"), f"{base}/in/{k}")
+        R.stream_votes(d.spark, f"{base}/in", part.drop("verifier_ord").schema, f"{base}/out", f"{base}/checkpoint", buckets=8).awaitTermination()
+    return R.aligned(d.spark, f"{base}/out").select(
+        *V.GROUP, "responding", "successful", "pass_votes", "fail_votes", "is_complete", "has_unanimous_pass"
+    )
 
 
 @query("stream_progress", "SELECT model_id, CASE WHEN model_predicted_type = 'ERROR' THEN 'failed' ELSE 'finished' END AS status, count(*) AS n FROM eval_results GROUP BY ALL")

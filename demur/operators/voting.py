@@ -73,21 +73,28 @@ def _unpacked(verifier: str, slot: str) -> str:
         'line_no', shiftright({slot}, {_LINE_BIT}))"""
 
 
-def align(
-    votes: DataFrame,
-    content: Sequence[str | Column] = CONTENT_FIELDS,
-    verifiers: Sequence[str] = vocab.VERIFIERS,
-) -> DataFrame:
-    """One row per (generator, content) with the last vote of every verifier.
+def _slots(verifiers: Sequence[str]) -> list[str]:
+    return [f"v{i}" for i in range(len(verifiers))]
 
-    ``votes`` is an array in the order of ``verifiers``, absent ones marked MISSING.
-    """
-    slots = [f"_v{i}" for i in range(len(verifiers))]
-    last = [F.expr(f"max(CASE WHEN verifier_model = '{v}' THEN _packed END) AS {slot}") for v, slot in zip(verifiers, slots)]
+
+def packed_votes(votes: DataFrame, content: Sequence[str | Column] = CONTENT_FIELDS, verifiers: Sequence[str] = vocab.VERIFIERS) -> DataFrame:
+    """One row per (generator, content) with the last vote of every verifier as a packed long, null if absent."""
+    last = [F.expr(f"max(CASE WHEN verifier_model = '{v}' THEN _packed END) AS {slot}") for v, slot in zip(verifiers, _slots(verifiers))]
     narrow = votes.select(
         "generator_model", content_key(content).alias("content_key"), "source_qid", "perturbation_class", "intensity",
         "lever_selected", "verifier_model", _packed(votes).alias("_packed"),
     ).filter(col("verifier_model").isin(*verifiers))
+    return narrow.groupBy(*GROUP).agg(*last)
+
+
+def merge_packed(packed: DataFrame) -> DataFrame:
+    """Packed votes of the same content, put together: the higher line wins."""
+    return packed.groupBy(*GROUP).agg(*[F.max(c).alias(c) for c in packed.columns if c not in GROUP])
+
+
+def unpacked_votes(packed: DataFrame, verifiers: Sequence[str] = vocab.VERIFIERS) -> DataFrame:
+    """Packed votes as readable ones, with what follows from them."""
+    slots = _slots(verifiers)
 
     def number(condition: str) -> str:
         return " + ".join(f"CASE WHEN {condition.format(slot)} THEN 1 ELSE 0 END" for slot in slots)
@@ -95,7 +102,7 @@ def align(
     n = len(verifiers)
     responding, successful = number("{0} IS NOT NULL"), number(f"{{0}} & 7 <> {_OUTCOMES['ERROR']}")
     passed, failed = number(f"{{0}} & 7 = {_OUTCOMES['PASS']}"), number(f"{{0}} & 7 = {_OUTCOMES['FAIL']}")
-    return narrow.groupBy(*GROUP).agg(*last).selectExpr(
+    return packed.selectExpr(
         *GROUP,
         f"array({', '.join(_unpacked(v, slot) for v, slot in zip(verifiers, slots))}) AS votes",
         f"{responding} AS responding",
@@ -108,6 +115,18 @@ def align(
     )
 
 
+def align(
+    votes: DataFrame,
+    content: Sequence[str | Column] = CONTENT_FIELDS,
+    verifiers: Sequence[str] = vocab.VERIFIERS,
+) -> DataFrame:
+    """One row per (generator, content) with the last vote of every verifier.
+
+    ``votes`` is an array in the order of ``verifiers``, absent ones marked MISSING.
+    """
+    return unpacked_votes(packed_votes(votes, content, verifiers), verifiers)
+
+
 def vote_tally(aligned: DataFrame, verifiers: Sequence[str] = vocab.VERIFIERS) -> DataFrame:
     """Counts and one result column per verifier (ERROR = failed, MISSING = absent)."""
     results = [col("votes")[i]["result"].alias(f"result_{v}") for i, v in enumerate(verifiers)]

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from demur import schemas
 from demur.functions.columns import col
+from demur.sources import tables
 
 BAD = "_bad_line"
 
@@ -208,6 +209,8 @@ def read_results(
     struct = _struct(f"{schema}, {extra}" if extra else schema)
 
     def read() -> DataFrame:
+        if fmt is None and tables.batches(spark, path):
+            return _by_name(tables.read_batches(spark, path), struct, keys, texts=False)
         if fmt == "parquet" or fmt is None and _is_parquet(spark, path):
             return _by_name(spark.read.parquet(path), struct, keys, texts=False)
         parts = []

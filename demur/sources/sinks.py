@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demur.sources.tables import append_batch
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines, text as it is, null fields kept."""
@@ -25,10 +27,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def append_results(df: DataFrame, path: str) -> None:
+def append_results(df: DataFrame, path: str, batch: str | None = None) -> bool:
     """Add a batch to the results.
 
-    A plain append: a reader in the middle of the commit may see some of its files, and a job
-    that is run again appends again. ``stream_upsert`` is for batches that may repeat.
+    With the name of the batch it counts once, however often the job is run, and a reader sees
+    all of it or nothing (``tables.read_batches``, which ``read_results`` uses for such a path).
+    Without a name it is a plain append: a repeated job appends again.
     """
+    if batch is not None:
+        return append_batch(df, path, batch)
     df.write.mode("append").parquet(path)
+    return True
