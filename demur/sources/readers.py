@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 
 from demur import schemas
 from demur.functions.columns import col
-from demur.sources import tables
+from demur.sources import csv_splits, tables
 
 BAD = "_bad_line"
 
@@ -171,26 +170,32 @@ def _is_parquet(spark: SparkSession, path: str) -> bool:
     return False
 
 
-def _csv_layouts(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """The different first lines of the files, each with the files that have it."""
-    text = spark.read.text(path).select("value", col("_metadata.file_path").alias("file"), col("_metadata.file_block_start").alias("block"))
-    first = text.filter("block = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    return [(r["header"], list(r["files"])) for r in first.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()]
+def _found(names: list[str], field: T.StructField, keys: tuple[str, ...]) -> str | None:
+    """The name under which a column is there; an absent one is none, an absent key column an error."""
+    present = {c.strip().lower(): c for c in names}
+    name = next((present[n.lower()] for n in (field.name, *_ALIASES.get(field.name, ())) if n.lower() in present), None)
+    if name is None and field.name in keys:
+        raise ValueError(f"the results have no column {field.name}: {names}")
+    return name
 
 
-def _by_name(df: DataFrame, struct: T.StructType, keys: tuple[str, ...], texts: bool) -> DataFrame:
-    """The wanted columns by name; an absent one is null, an absent key column an error."""
-    present = {c.strip().lower(): c for c in df.columns}
+def _by_name(df: DataFrame, struct: T.StructType, keys: tuple[str, ...]) -> DataFrame:
+    names = [_found(df.columns, f, keys) for f in struct]
+    return df.select(*[(F.lit(None) if n is None else F.col(f"`{n}`")).cast(f.dataType).alias(f.name) for n, f in zip(names, struct, strict=True)])
+
+
+def _csv_by_name(spark: SparkSession, path: str, struct: T.StructType, keys: tuple[str, ...]) -> DataFrame:
+    """Columns of CSV files by the names in each file's header."""
+    rows, layouts = csv_splits.read_csv(spark, path)
     columns = []
     for field in struct:
-        name = next((present[n.lower()] for n in (field.name, *_ALIASES.get(field.name, ())) if n.lower() in present), None)
-        if name is None and field.name in keys:
-            raise ValueError(f"the results have no column {field.name}: {df.columns}")
-        value = F.lit(None) if name is None else F.col(f"`{name}`")
-        if texts and name is not None:  # an empty cell is no value
-            value = F.when(value != "", value)
-        columns.append(value.cast(field.dataType).alias(field.name))
-    return df.select(*columns)
+        value = F.lit(None).cast("string")
+        for k, names in enumerate(layouts):
+            name = _found(names, field, keys)
+            if name is not None:
+                value = F.when(col("layout") == k, F.get("cells", F.lit(names.index(name)))).otherwise(value)
+        columns.append(F.when(value != "", value).cast(field.dataType).alias(field.name))  # an empty cell is no value
+    return rows.select(*columns)
 
 
 def read_results(
@@ -202,27 +207,17 @@ def read_results(
     different layouts may lie in one folder. A column that a file lacks is null, but a
     missing one of ``keys`` is an error. ``fmt`` is csv or parquet; left out, the content decides.
 
-    A CSV file with line breaks inside quotes cannot be split, so convert large results once
-    (``append_results``); a folder of CSV files is read one task per file.
+    A path that ``append_results`` wrote with named batches shows those that count.
     """
     schema = schemas.RESULTS_SINGLE if kind == "single" else schemas.RESULTS_MULTI
     struct = _struct(f"{schema}, {extra}" if extra else schema)
 
     def read() -> DataFrame:
         if fmt is None and tables.batches(spark, path):
-            return _by_name(tables.read_batches(spark, path), struct, keys, texts=False)
+            return _by_name(tables.read_batches(spark, path), struct, keys)
         if fmt == "parquet" or fmt is None and _is_parquet(spark, path):
-            return _by_name(spark.read.parquet(path), struct, keys, texts=False)
-        parts = []
-        for header, files in _csv_layouts(spark, path):
-            names = next(csv.reader([header.lstrip("\ufeff")]))
-            columns = T.StructType([T.StructField(n.strip() or f"_c{k}", T.StringType()) for k, n in enumerate(names)])
-            raw = spark.read.schema(columns).option("header", True).option("multiLine", True).option("escape", '"').csv(files)
-            parts.append(_by_name(raw, struct, keys, texts=True))
-        out = parts[0] if parts else spark.createDataFrame([], struct)
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+            return _by_name(spark.read.parquet(path), struct, keys)
+        return _csv_by_name(spark, path, struct, keys)
 
     df = _or_empty(read, lambda: spark.createDataFrame([], struct))
     return df.withColumns({c: col(c).cast("int") for c in _INTEGERS if c in df.columns})
