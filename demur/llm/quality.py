@@ -29,8 +29,8 @@ DIMENSIONS = 48
 VOTERS = 15
 POWER = 8
 THRESHOLD = 0.7
-#: a text of so many bytes says as much as the prior
-PRIOR_BYTES = 100
+#: a text of so many bytes says as much as the prior; the fit takes what predicts the voters best from the others
+PRIOR_BYTES = (0, 3, 10, 30, 100, 300)
 FOLDS, HELD_OUT_FOLD = 4, 2
 
 _CLASSES = 16
@@ -94,6 +94,7 @@ class Voters:
     vectors: np.ndarray
     labels: np.ndarray
     prior: float
+    prior_bytes: float = 0
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         vectors = _weighted(counts, self.weights) @ self.basis
@@ -103,16 +104,42 @@ class Voters:
         """Share of the nearest voters' weight that is for label 1, drawn to the prior for short texts."""
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        cosine = self.project(counts) @ self.vectors.T
+        return self.drawn(*self.votes(self.project(counts) @ self.vectors.T), counts[:, :_TRIGRAMS].sum(axis=1))
+
+    def votes(self, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of the nearest voters for label 1, and of all of them."""
         k = min(VOTERS, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.clip(np.take_along_axis(cosine, near, axis=1), 0, 1).astype(np.float64) ** POWER
-        total = weight.sum(axis=1)
-        voted = (weight * self.labels[near]).sum(axis=1)
-        size = counts[:, :_TRIGRAMS].sum(axis=1)
-        trust = np.where(total > 1e-9, size / (size + PRIOR_BYTES), 0)
+        return (weight * self.labels[near]).sum(axis=1), weight.sum(axis=1)
+
+    def drawn(self, voted: np.ndarray, total: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Shares for texts with so many trigrams; without terms or neighbours the prior alone."""
+        trust = np.where((total > 1e-9) & (size > 0), size / np.maximum(size + self.prior_bytes, 1e-9), 0)
         return np.clip(trust * voted / np.maximum(total, 1e-9) + (1 - trust) * self.prior, 0, 1)
 
+    def fit_prior(self, counts: np.ndarray) -> None:
+        """How far short texts are drawn to the prior: least logarithmic loss of voters judged by all others.
+
+        Every voter counts by how many of its label there are in the labelled rows, so the
+        bounded choice of voters doesn't shift it.
+        """
+        if len(self.labels) < 2:
+            return
+        share = self.labels.mean()
+        own = np.where(self.labels == 1, self.prior / max(share, 1e-9), (1 - self.prior) / max(1 - share, 1e-9))
+        size = counts[:, :_TRIGRAMS].sum(axis=1)
+        voted, total = np.empty(len(counts)), np.empty(len(counts))
+        for lo in range(0, len(counts), _ROWS):
+            cosine = self.vectors[lo: lo + _ROWS] @ self.vectors.T
+            cosine[np.arange(len(cosine)), np.arange(lo, lo + len(cosine))] = -1.0
+            voted[lo: lo + _ROWS], total[lo: lo + _ROWS] = self.votes(cosine)
+        losses = []
+        for self.prior_bytes in PRIOR_BYTES:
+            score = np.clip(self.drawn(voted, total, size), 0.01, 0.99)
+            losses.append(-(own * np.where(self.labels == 1, np.log(score), np.log(1 - score))).sum())
+        self.prior_bytes = PRIOR_BYTES[int(np.argmin(losses))]
+
 
 def _weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     bag = np.log1p(counts[:, :_TRIGRAMS]) * weights
@@ -135,6 +162,7 @@ def fit_space(counts: np.ndarray, labels: np.ndarray, prior: float, dimensions:
     basis = (probe @ turn.T)[:, :dimensions].astype(np.float32)
     voters = Voters(weights, basis, np.zeros((0, dimensions), np.float32), labels, prior)
     voters.vectors = voters.project(counts)
+    voters.fit_prior(counts)
     return voters
 
 
@@ -158,8 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = NEIGHBOURS_PER_LA
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, rows=_ROWS):
-            bag = features(batch.column("text")).astype("<f2")  # counts beyond 65,504 become infinite
-            bag[~np.isfinite(bag)] = 65504
+            bag = features(batch.column("text")).astype("<f4")
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "bag": [zstandard.compress(b.tobytes()) for b in bag]}
             )
@@ -170,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = NEIGHBOURS_PER_LA
         rows = sorted(rows, key=lambda r: (r["doc_id"], r["bag"]))
         first = {r["doc_id"]: r for r in reversed(rows)}  # repeated ids vote once
         rows = [first[k] for k in sorted(first)]
-        counts = np.array([np.frombuffer(zstandard.decompress(r["bag"]), dtype="<f2") for r in rows], dtype=np.float32).reshape(-1, TERMS)
+        counts = np.array([np.frombuffer(zstandard.decompress(r["bag"]), dtype="<f4") for r in rows], dtype=np.float32).reshape(-1, TERMS)
         return fit_space(counts, np.array([r["label"] for r in rows], dtype=np.float64), prior)
 
     return fitted(texts.mapInArrow(count, "doc_id long, label int, bag binary"), fit)
