@@ -7,6 +7,10 @@ expectation-maximisation: with forward and backward sums, each round adds up the
 uses of every piece over the words of the training texts. The rounds are Spark jobs over a
 table of word counts, whose results have one row per language and piece of the vocabulary.
 
+All lower-case pieces of the vocabulary take part, whatever their length, and no word is cut:
+the sums are carried along it, scaled as they go. A very long word is summed in blocks side by
+side, each as a linear map of what earlier pieces reach into it, and the maps are chained.
+
 Training reads ``TRAIN_ROWS`` documents of each language at most (smallest hash of the id).
 """
 
@@ -17,17 +21,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demur.llm.common import checksum_part, forget, id_and_text, small_batches, stored
+from demur.operators.sampling import first_n
 
 TRAIN_ROWS = 1500
 ROUNDS = 3
 FOLDS, HELD_OUT_FOLD = 5, 0
 UNDETERMINED = "und"
-#: letters of a piece at most, and of a word before it is cut (no piece crosses the cut)
-MAX_PIECE, MAX_WORD = 8, 40
+#: letters of the blocks of a word that has more than four of them
+BLOCK = 64
+#: sums are scaled after so many letters
+SCALED_AFTER = 8
 #: cached words, at about 150 bytes each
 MAX_WORDS = 400_000
 #: added to every expected count, and given to a letter that is no piece
@@ -47,14 +54,14 @@ def vocabulary_path() -> str:
 
 
 def read_pieces(path: str) -> list[str]:
-    """Pieces of the vocabulary with letters, short enough, in lower case."""
+    """Pieces of the vocabulary in lower case that a word can have: the mark of its start comes first, if at all."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = set()
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
-        if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)) and 0 < len(piece) <= MAX_PIECE and piece == piece.lower():
+        if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)) and piece and piece == piece.lower() and _EDGE not in piece[1:]:
             found.add(piece)
     return sorted(found)
 
@@ -64,6 +71,7 @@ class PieceTable:
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         self.key = np.zeros(1 << _BITS, dtype=np.uint64)
         self.number = np.full(1 << _BITS, -1, dtype=np.int32)
         with np.errstate(over="ignore"):
@@ -104,65 +112,176 @@ class Unigrams:
         self.table = table
         self.probability = np.ascontiguousarray(probability, dtype=np.float64)
 
-    def _spans(self, letters: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Piece numbers of every stretch (start, end); single letters always have one."""
-        n, size = letters.shape
-        codes = letters.astype(np.uint64) + np.uint64(1)
-        spans = {}
-        with np.errstate(over="ignore"):
-            for i in range(size):
-                h = np.zeros(n, dtype=np.uint64)
-                for j in range(i, min(size, i + MAX_PIECE)):
-                    h = h * _BASE + codes[:, j]
-                    number = self.table.find(h)
-                    if j == i:
-                        number = np.where(number < 0, self.table.size, number)
-                    if (number >= 0).any():
-                        spans[i, j + 1] = number
-        return spans
+    def _from(self, codes: np.ndarray, i: int, stop: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Ends and piece numbers (-1: none) of the pieces that start at a place; a single letter always is one."""
+        n, size = codes.shape
+        h = np.zeros(n, dtype=np.uint64)
+        for j in range(i, min(size if stop is None else stop, i + self.table.longest)):
+            with np.errstate(over="ignore"):
+                h = h * _BASE + codes[:, j]
+            number = self.table.find(h)
+            if j == i:
+                number = np.where(number < 0, self.table.size, number)
+            if (number >= 0).any():
+                yield j + 1, number
 
     def _padded(self) -> np.ndarray:
         return np.vstack([self.probability, np.zeros((1, self.probability.shape[1]))])
 
-    def _forward(self, letters: np.ndarray):
-        spans, p = self._spans(letters), self._padded()  # number -1 is the last row: zero
-        n, size = letters.shape
-        forward = np.zeros((size + 1, n, p.shape[1]))
-        forward[0] = 1.0
-        for (i, j), number in sorted(spans.items(), key=lambda s: s[0][1]):
-            forward[j] += forward[i] * p[number]
-        return forward, spans, p
+    def _logs(self, codes: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum over all segmentations, for words of one length (rows), per language."""
+        p = self._padded()  # number -1 is the last row: zero
+        n, size = codes.shape
+        reached: dict[int, np.ndarray] = {0: np.ones((n, p.shape[1]))}
+        scale = np.zeros((n, p.shape[1]))
+        for i in range(size):
+            own = reached.pop(i)
+            if i % SCALED_AFTER == SCALED_AFTER - 1:
+                own = np.maximum(own, 1e-300)
+                for j in reached:
+                    reached[j] = reached[j] / own
+                scale += np.log(own)
+                own = np.ones_like(own)
+            for j, number in self._from(codes, i):
+                more = own * p[number]
+                reached[j] = reached[j] + more if j in reached else more
+        return np.log(np.maximum(reached[size], 1e-300)) + scale
+
+    def _blocks(self, codes: np.ndarray) -> tuple[int, int]:
+        """Number and width of the blocks of one very long word; what is left has ``longest`` letters at least."""
+        width = max(BLOCK, self.table.longest)
+        return max(0, (len(codes) - self.table.longest) // width), width
+
+    def _maps(self, codes: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per block of one very long word: what it makes of the sums that earlier pieces reach
+        into it (after, before, language), and the logarithm of the scale per language."""
+        reach, languages = self.table.longest, p.shape[1]
+        blocks, width = self._blocks(codes)
+        for lo in range(0, blocks, 64):
+            some = range(lo, min(blocks, lo + 64))
+            rows = np.stack([codes[k * width: (k + 1) * width + reach] for k in some])
+            state = np.zeros((width + reach, len(some), reach, languages))  # reached from each entry
+            for e in range(reach):
+                state[e, :, e] = 1.0
+            grown = np.zeros((len(some), languages))
+            for i in range(width):
+                for j, number in self._from(rows, i):
+                    state[j] += state[i] * p[number][:, None, :]
+                if i % SCALED_AFTER == SCALED_AFTER - 1:
+                    largest = np.maximum(state[i + 1:].max(axis=(0, 2)), 1e-300)
+                    state[i + 1:] /= largest[None, :, None, :]
+                    grown += np.log(largest)
+            for k in range(len(some)):
+                yield state[width: width + reach, k], grown[k]
+
+    def _long_log(self, codes: np.ndarray) -> np.ndarray:
+        """The same for one very long word, per language, by chaining the maps of its blocks."""
+        p, reach = self._padded(), self.table.longest
+        blocks, width = self._blocks(codes)
+        vector, scale = np.zeros((p.shape[1], reach)), np.zeros(p.shape[1])
+        vector[:, 0] = 1.0
+        for block, grown in self._maps(codes, p):
+            vector = np.einsum("abl,lb->la", block, vector)
+            total = np.maximum(vector.sum(axis=1), 1e-300)
+            vector /= total[:, None]
+            scale += np.log(total) + grown
+        rest = codes[blocks * width:][None, :]
+        reached = {k: vector[None, :, k] for k in range(reach)}
+        for i in range(rest.shape[1]):
+            own = reached.pop(i)
+            if i % SCALED_AFTER == SCALED_AFTER - 1:
+                largest = np.maximum(np.maximum.reduce([own, *reached.values()]), 1e-300)
+                own, reached = own / largest, {j: r / largest for j, r in reached.items()}
+                scale += np.log(largest[0])
+            for j, number in self._from(rest, i):
+                more = own * p[number]
+                reached[j] = reached[j] + more if j in reached else more
+        return np.log(np.maximum(reached[rest.shape[1]][0], 1e-300)) + scale
 
     def log_probability(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.probability.shape[1]))
         for at, letters in _by_length([_EDGE + w for w in words]):
-            for lo in range(0, len(at), 20_000):
-                forward, _, _ = self._forward(letters[lo: lo + 20_000])
-                out[at[lo: lo + 20_000]] = np.log(np.maximum(forward[-1], 1e-300))
+            codes = letters.astype(np.uint64) + np.uint64(1)
+            if codes.shape[1] > 4 * max(BLOCK, self.table.longest):
+                for k, word in zip(at, codes, strict=True):
+                    out[k] = self._long_log(word)
+                continue
+            step = max(1, min(20_000, 800_000 // codes.shape[1]))
+            for lo in range(0, len(at), step):
+                out[at[lo: lo + step]] = self._logs(codes[lo: lo + step])
         return out
 
     def expected_uses(self, words: list[str], language: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """How often each piece is used, over all segmentations of each word in its language."""
         uses = np.zeros((self.table.size + 1, self.probability.shape[1]))
         for at, letters in _by_length([_EDGE + w for w in words]):
-            for lo in range(0, len(at), 20_000):
-                some = at[lo: lo + 20_000]
-                forward, spans, p = self._forward(letters[lo: lo + 20_000])
-                own = language[some]
-                rows = np.arange(len(some))
-                f = forward[:, rows, own]
-                size = letters.shape[1]
-                b = np.zeros_like(f)
-                b[size] = 1.0
-                share = counts[some] / np.maximum(f[size], 1e-300)
-                for (i, j), number in sorted(spans.items(), key=lambda s: -s[0][0]):
-                    b[i] += b[j] * p[number, own]
-                for (i, j), number in spans.items():
-                    use = f[i] * p[number, own] * b[j] * share
-                    found = number >= 0
-                    np.add.at(uses, (number[found], own[found]), use[found])
+            codes = letters.astype(np.uint64) + np.uint64(1)
+            size = codes.shape[1]
+            if size > 4 * max(BLOCK, self.table.longest):
+                for k, word in zip(at, codes, strict=True):
+                    self._add_long(uses, word, language[k: k + 1], counts[k: k + 1])
+                continue
+            for lo in range(0, len(at), 10_000):
+                some = at[lo: lo + 10_000]
+                edge = np.zeros((1, len(some)))
+                self._add_uses(uses, codes[lo: lo + 10_000], size, language[some], counts[some], edge, edge)
         return uses
 
+    def _add_uses(self, uses, rows, width: int, own, counts, before: np.ndarray, after: np.ndarray) -> None:
+        """Add the uses of pieces that start in the first ``width`` letters, in logarithms of sums.
+
+        ``before``: what earlier pieces reach, at the first places; ``after``: what follows, from place ``width`` on.
+        """
+        p = self._padded()
+        forward = np.full((width + max(len(after), 1), len(rows)), -np.inf)
+        backward = forward.copy()
+        forward[: len(before)] = before
+        backward[width: width + len(after)] = after
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for i in range(width):
+                for j, number in self._from(rows, i):
+                    forward[j] = np.logaddexp(forward[j], forward[i] + np.log(p[number, own]))
+            uses_of = []
+            for i in range(width - 1, -1, -1):
+                for j, number in self._from(rows, i):
+                    rest = np.log(p[number, own]) + backward[j]
+                    backward[i] = np.logaddexp(backward[i], rest)
+                    found = np.flatnonzero(number >= 0)
+                    uses_of.append((number[found], found, (forward[i] + rest)[found]))
+            whole = np.logaddexp.reduce(before + backward[: len(before)], axis=0)
+            for number, found, log in uses_of:
+                np.add.at(uses, (number, own[found]), np.exp(log - whole[found]) * counts[found])
+
+    def _add_long(self, uses, codes: np.ndarray, own: np.ndarray, count: np.ndarray) -> None:
+        """One very long word: sums at the borders of its blocks by their maps, then all blocks side by side."""
+        reach = self.table.longest
+        blocks, width = self._blocks(codes)
+        maps = [m[:, :, 0] for m, _ in self._maps(codes, self._padded()[:, own])]
+        before, after = np.zeros((blocks + 1, reach)), np.zeros((blocks + 1, reach))
+        before[0, 0] = 1.0
+        for k in range(blocks):
+            before[k + 1] = maps[k] @ before[k]
+            before[k + 1] /= max(before[k + 1].sum(), 1e-300)
+        rest = codes[blocks * width:][None, :]
+        n = rest.shape[1]
+        ends = np.full((n + 1, 1), -np.inf)
+        ends[n] = 0.0
+        p = self._padded()
+        with np.errstate(divide="ignore"):
+            for i in range(n - 1, -1, -1):
+                for j, number in self._from(rest, i):
+                    ends[i] = np.logaddexp(ends[i], np.log(p[number, own]) + ends[j])
+            after[blocks] = np.exp(ends[:reach, 0] - ends[:reach, 0].max())
+            for k in range(blocks - 1, -1, -1):
+                after[k] = maps[k].T @ after[k + 1]
+                after[k] /= max(after[k].max(), 1e-300)
+            self._add_uses(uses, rest, n, own, count, np.log(before[blocks])[:, None], np.zeros((1, 1)))
+            for lo in range(0, blocks, 1000):
+                some = range(lo, min(blocks, lo + 1000))
+                rows = np.stack([codes[k * width: (k + 1) * width + reach] for k in some])
+                each = np.full(len(some), own[0]), np.full(len(some), count[0])
+                self._add_uses(uses, rows, width, *each, np.log(before[lo: some.stop]).T, np.log(after[lo + 1: some.stop + 1]).T)
+
 
 def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts in lower case without marks at their ends, and whose they are."""
@@ -172,16 +291,6 @@ def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, np.repeat(np.arange(len(texts)), np.diff(offsets))
 
 
-def _chunks(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words cut to MAX_WORD letters, and which word each chunk is of."""
-    out, of = [], []
-    for k, w in enumerate(words):
-        for lo in range(0, len(w), MAX_WORD):
-            out.append(w[lo: lo + MAX_WORD])
-            of.append(k)
-    return out, np.array(of, dtype=np.int64)
-
-
 class Identifier:
     def __init__(self, languages: list[str], pieces: list[str], probability: np.ndarray):
         self.languages, self.pieces, self.probability = languages, pieces, probability
@@ -206,9 +315,7 @@ class Identifier:
             self._rows.clear()
         new = [w for w in words if w not in self._rows]
         if new:
-            chunks, of = _chunks(new)
-            logs = np.zeros((len(new), len(self.languages)), dtype=np.float64)
-            np.add.at(logs, of, unigrams.log_probability(chunks))
+            logs = unigrams.log_probability(new)
             first = len(self._rows)
             if first + len(new) > len(self._logs):
                 grown = np.zeros((2 * (first + len(new)), len(self.languages)), dtype=np.float32)
@@ -246,11 +353,11 @@ def train(docs: DataFrame, vocabulary: str | None = None, rows: int = TRAIN_ROWS
     pieces = read_pieces(vocabulary or vocabulary_path())
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     known = known.filter("doc_id is not null and lang is not null").filter(checksum_part("doc_id", FOLDS) != HELD_OUT_FOLD).distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # the labels to learn
     if not languages:
         return Identifier([UNDETERMINED], pieces, _start(pieces, 1))
-    chosen = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows).select("doc_id", "lang")
+    # counted by digits of the hash first, so that no task ranks a whole language
+    chosen = first_n(known.withColumn("_h", F.md5(F.col("doc_id").cast("string"))), ["lang"], rows, ident="doc_id").select("doc_id", "lang")
     # at most ``rows`` ids of each language
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     texts = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
@@ -273,9 +380,8 @@ def train(docs: DataFrame, vocabulary: str | None = None, rows: int = TRAIN_ROWS
             pieces, probability = model.value
             unigrams, uses = Unigrams(PieceTable(pieces), probability), np.zeros_like(probability)
             for batch in batches:
-                chunks, of = _chunks(batch.column("word").to_pylist())
-                own, n = batch.column("language").to_numpy()[of], batch.column("n").to_numpy()[of]
-                uses += unigrams.expected_uses(chunks, own, n.astype(np.float64))
+                own, n = batch.column("language").to_numpy(), batch.column("n").to_numpy()
+                uses += unigrams.expected_uses(batch.column("word").to_pylist(), own, n.astype(np.float64))
             at, lang = np.nonzero(uses)
             yield pa.RecordBatch.from_pydict({"piece": at.astype(np.int32), "language": lang.astype(np.int32), "uses": uses[at, lang]})
 

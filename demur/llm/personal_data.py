@@ -187,7 +187,9 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
     return out
 
 
-_DIGIT_OR_AT = re.compile(r"[0-9@]|\[at\]|\(at\)| at [A-Za-z0-9-]{1,63} dot ")
+# what every base and wider pattern has in some form: a digit, a sign between a name and a host,
+# or two hexadecimal letters around a colon
+_POSSIBLE = re.compile(r"[0-9]|[A-F]:[A-F]|" + _AT.pattern, re.IGNORECASE)
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +197,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         rows = []
         for text in batch.column("text").to_numpy(zero_copy_only=False).tolist():
-            found = candidates(text, base_spans(text)) if _DIGIT_OR_AT.search(text) else []
+            found = candidates(text, base_spans(text)) if _POSSIBLE.search(text) else []
             rows.append([dict(zip(("kind", "start", "end", "votes", "features", "base"), c, strict=True)) for c in found])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "spans"])
 
