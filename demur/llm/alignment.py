@@ -114,7 +114,7 @@ class Encoders:
 
     def _align(self, units: list[str]) -> dict[str, Unit]:
         """Encode units, put the tokens of all of them in a row, and line these up. Units are groups' borders."""
-        of_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        of_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         of_b = self.b.encode([u[1:] for u in units], num_threads=1)  # which adds the first space by itself
         raw = [u.encode() for u in units]
         kept_a, kept_b = self._kept(of_a, self.bytes_a, raw), self._kept(of_b, self.bytes_b, raw)

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demur.llm.common import checksum_part, forget, id_and_text, small_batches, stored
-from demur.operators.sampling import first_n
 
 TRAIN_ROWS = 1500
 ROUNDS = 3
@@ -356,8 +355,10 @@ def train(docs: DataFrame, vocabulary: str | None = None, rows: int = TRAIN_ROWS
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # the labels to learn
     if not languages:
         return Identifier([UNDETERMINED], pieces, _start(pieces, 1))
-    # counted by digits of the hash first, so that no task ranks a whole language
-    chosen = first_n(known.withColumn("_h", F.md5(F.col("doc_id").cast("string"))), ["lang"], rows, ident="doc_id").select("doc_id", "lang")
+    chosen = None
+    for lang in languages:  # the best of each task, then of all: no task ranks a whole language
+        some = known.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        chosen = some if chosen is None else chosen.unionByName(some)
     # at most ``rows`` ids of each language
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     texts = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")

@@ -106,11 +106,18 @@ class Voters:
             return np.full(len(counts), self.prior)
         return self.drawn(*self.votes(self.project(counts) @ self.vectors.T), counts[:, :_TRIGRAMS].sum(axis=1))
 
+    def shares(self) -> np.ndarray:
+        """How many labelled rows each voter stands for, relative to the others: fewer of the commoner label were chosen."""
+        ones = self.labels.mean()
+        if not 0 < ones < 1:
+            return np.ones(len(self.labels))
+        return np.where(self.labels == 1, self.prior / ones, (1 - self.prior) / (1 - ones))
+
     def votes(self, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weight of the nearest voters for label 1, and of all of them."""
         k = min(VOTERS, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(cosine, near, axis=1), 0, 1).astype(np.float64) ** POWER
+        weight = np.clip(np.take_along_axis(cosine, near, axis=1), 0, 1).astype(np.float64) ** POWER * self.shares()[near]
         return (weight * self.labels[near]).sum(axis=1), weight.sum(axis=1)
 
     def drawn(self, voted: np.ndarray, total: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -119,15 +126,11 @@ class Voters:
         return np.clip(trust * voted / np.maximum(total, 1e-9) + (1 - trust) * self.prior, 0, 1)
 
     def fit_prior(self, counts: np.ndarray) -> None:
-        """How far short texts are drawn to the prior: least logarithmic loss of voters judged by all others.
-
-        Every voter counts by how many of its label there are in the labelled rows, so the
-        bounded choice of voters doesn't shift it.
-        """
+        """How far short texts are drawn to the prior: fewest wrong predictions of voters judged by
+        all others, then least logarithmic loss."""
         if len(self.labels) < 2:
             return
-        share = self.labels.mean()
-        own = np.where(self.labels == 1, self.prior / max(share, 1e-9), (1 - self.prior) / max(1 - share, 1e-9))
+        own = self.shares()
         size = counts[:, :_TRIGRAMS].sum(axis=1)
         voted, total = np.empty(len(counts)), np.empty(len(counts))
         for lo in range(0, len(counts), _ROWS):
@@ -136,9 +139,11 @@ class Voters:
             voted[lo: lo + _ROWS], total[lo: lo + _ROWS] = self.votes(cosine)
         losses = []
         for self.prior_bytes in PRIOR_BYTES:
-            score = np.clip(self.drawn(voted, total, size), 0.01, 0.99)
-            losses.append(-(own * np.where(self.labels == 1, np.log(score), np.log(1 - score))).sum())
-        self.prior_bytes = PRIOR_BYTES[int(np.argmin(losses))]
+            score = self.drawn(voted, total, size)
+            wrong = (own * ((score >= THRESHOLD) != (self.labels == 1))).sum()
+            score = np.clip(score, 0.01, 0.99)
+            losses.append((round(wrong, 6), -(own * np.where(self.labels == 1, np.log(score), np.log(1 - score))).sum()))
+        self.prior_bytes = PRIOR_BYTES[losses.index(min(losses))]
 
 
 def _weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
