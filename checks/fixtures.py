@@ -108,7 +108,7 @@ FROM @documents@
 """
 
 FIXTURES["judge_responses"] = """
-SELECT model_id, sample_id, is_answerable, ground_truth_label,
+SELECT k, model_id, sample_id, is_answerable, ground_truth_label,
   CASE WHEN k % 40 = 0 THEN concat('the model said ', lower(model_predicted_type))
        WHEN k % 41 = 0 THEN 'no verdict'
        ELSE concat('CLASSIFICATION: ', model_predicted_type, chr(10), 'QUALITY_SCORE: ',

@@ -13,6 +13,7 @@ from demur.functions.keys import content_key, multi_content_fields
 from demur.operators import metrics as M
 from demur.operators import voting as V
 from demur.plans import curation, datasets, evaluation, reports, rewriting
+from demur.sources import readers, sinks, tables
 
 
 @query("leaderboard_from_counts", board_sql())
@@ -78,14 +79,12 @@ def _(d: Data):
     return evaluation.next_answers(rows, done, ["model_0", "model_2", "model_9"]).select("request_id", "sample_id", "model_id")
 
 
-@query("results_from_replies", """WITH j AS (SELECT r.*, e.k FROM judge_responses r JOIN eval_results e USING (model_id, sample_id)),
-c AS (SELECT *, CASE WHEN k % 19 = 0 THEN 'ERROR' WHEN response LIKE 'CLASSIFICATION:%' THEN trim(regexp_extract(response, '(?m)^CLASSIFICATION:(.*)$', 1))
-  ELSE coalesce(nullif(upper(regexp_extract(response, 'refuse_[a-z_]+', 0)), ''), 'answer_attempt') END AS t, TRY_CAST(nullif(trim(regexp_extract(response, '(?m)^QUALITY_SCORE:(.*)$', 1)), 'N/A') AS DOUBLE) AS q FROM j)
+@query("results_from_replies", """WITH c AS (SELECT *, CASE WHEN k % 19 = 0 THEN 'ERROR' WHEN response LIKE 'CLASSIFICATION:%' THEN trim(regexp_extract(response, '(?m)^CLASSIFICATION:(.*)$', 1))
+  ELSE coalesce(nullif(upper(regexp_extract(response, 'refuse_[a-z_]+', 0)), ''), 'answer_attempt') END AS t, TRY_CAST(nullif(trim(regexp_extract(response, '(?m)^QUALITY_SCORE:(.*)$', 1)), 'N/A') AS DOUBLE) AS q FROM judge_responses)
 SELECT model_id, sample_id, t AS model_predicted_type, CASE WHEN t = 'answer_attempt' AND is_answerable THEN q END AS answer_quality_score,
   CASE WHEN k % 19 = 0 OR (is_answerable AND t = 'answer_attempt') THEN NULL ELSE t = ground_truth_label END AS refusal_match_correct FROM c""")
 def _(d: Data):
-    keys = d.results().select("model_id", "sample_id", "k")
-    rows = d.fixture("judge_responses").join(keys, ["model_id", "sample_id"]).withColumn("error", F.when(col("k") % 19 == 0, "timeout"))
+    rows = d.fixture("judge_responses").withColumn("error", F.when(col("k") % 19 == 0, "timeout"))
     return evaluation.results(rows).select("model_id", "sample_id", "model_predicted_type", "answer_quality_score", "refusal_match_correct")
 
 
@@ -100,7 +99,10 @@ def _(d: Data):
 
 @query("multidoc_report", "SELECT model_id, count(*) AS total_instances FROM eval_results GROUP BY model_id")
 def _(d: Data):
-    return reports.multidoc_tables(multi(d))["frontier"].select("model_id", "total_instances")
+    path = d.scratch()
+    reports.write_multidoc_report(multi(d), path)
+    table = d.spark.read.option("header", True).csv(f"{path}/frontier")
+    return table.select("model_id", col("total_instances").cast("bigint").alias("total_instances"))
 
 
 @query("write_dataset", sample_sql() + "SELECT generator_model, count(*) AS sample_count FROM samp GROUP BY generator_model")
@@ -172,14 +174,17 @@ MKEY = f"""concat_ws('_', 'RB', generator_model, source_qid, perturbation_class,
   substring(md5(concat_ws('|||', perturbed_query, {_SIGNAL}, '[]', generator_model)), 1, 8)) || '_0001'"""
 
 
-@query("stratified_dataset_multi", f"""WITH last AS (SELECT * FROM (SELECT *, md5({MULTI}) AS ck, row_number() OVER (PARTITION BY generator_model, verifier_model, md5({MULTI}) ORDER BY line_no DESC) AS rn
+MULTI_SAMPLE = f"""WITH last AS (SELECT * FROM (SELECT *, md5({MULTI}) AS ck, row_number() OVER (PARTITION BY generator_model, verifier_model, md5({MULTI}) ORDER BY line_no DESC) AS rn
   FROM verifications) WHERE rn = 1),
 kept AS (SELECT generator_model, ck, any_value(perturbation_class) || '_' || any_value(intensity) AS stratum FROM last GROUP BY ALL HAVING count(*) = 4 AND count(*) FILTER (WHERE verification_result = 'PASS') = 4),
 q AS (SELECT *, md5('42:' || ck) AS hh, row_number() OVER (PARTITION BY generator_model, stratum ORDER BY md5('42:' || ck), ck) AS a FROM kept),
 t AS (SELECT *, count(*) FILTER (WHERE a <= 22) OVER (PARTITION BY generator_model) AS taken, row_number() OVER (PARTITION BY generator_model, a <= 22 ORDER BY hh, ck) AS b FROM q),
 samp AS (SELECT * FROM t WHERE a <= 22 OR b <= 400 - taken)
 SELECT 's' || line_no AS sample_id, perturbed_query AS question, perturbed_context || '#other' AS texts, original_query AS original_question, {MKEY} AS unique_id, stratum AS stratum_key
-FROM (SELECT l.*, s.stratum FROM samp s JOIN last l ON l.generator_model = s.generator_model AND l.ck = s.ck AND l.verifier_model = 'claude')""")
+FROM (SELECT l.*, s.stratum FROM samp s JOIN last l ON l.generator_model = s.generator_model AND l.ck = s.ck AND l.verifier_model = 'claude')"""
+
+
+@query("stratified_dataset_multi", MULTI_SAMPLE)
 def _(d: Data):
     return datasets.multi_dataset(multi_votes(d)).select(
         "sample_id", "question", texts("grounding").alias("texts"), "original_question", col("stratified_metadata.unique_id").alias("unique_id"),
@@ -192,6 +197,83 @@ def _(d: Data):
     return multi_votes(d).select("generator_model", "verifier_model", "line_no", content_key(multi_content_fields()).alias("content_key"))
 
 
+def multi_log(d: Data):
+    """The votes as verifiers log them: the reversible nested record of ten passages with the verdict."""
+    v = multi_votes(d)
+    more = [F.create_map(F.lit(f"cite_{k}"), F.lit(f"other {k}")) for k in range(3, 11)]
+    flags = ("lever_correctly_implemented", "intensity_correctly_achieved", "uncertainty_successfully_induced")
+    return v.select(
+        "line_no", col("original_data").withField("grounding", F.concat("original_data.grounding", F.array(*more))).alias("original_data"),
+        F.struct(F.array(F.lit(0)).alias("signal_indices"), F.array(*map(F.lit, range(1, 10))).alias("noise_indices")).alias("passage_mapping"),
+        F.struct("perturbation_class", "intensity", F.lit(True).alias("generation_successful"), "source_qid").alias("perturbation_metadata"),
+        F.struct(
+            "perturbed_query", "perturbed_signal_passages", "perturbed_noise_passages", "lever_selected", F.lit("x").alias("expected_rag_behavior"),
+            F.lit(True).alias("parsing_successful"),
+        ).alias("perturbation_results"),
+        "verification_successful", F.when(col("verification_successful"), F.struct("verification_result", *flags)).alias("verification_response"),
+        "generator_model", "verifier_model",
+    )
+
+
+def logged(d: Data) -> str:
+    """Logs of every generator and verifier, each in two drops: the second one's records have fields that the first one's lack."""
+    root = d.scratch()
+    rows = multi_log(d)
+    for g in ("claude", "deepseek", "gpt", "nova"):
+        for v in ("claude", "nova", "gpt", "deepseek"):
+            own = rows.filter((col("generator_model") == g) & (col("verifier_model") == v)).drop("generator_model", "verifier_model")
+            path = f"{root}/dataset_{g}/multi_verifications_{v}.jsonl"
+            own.filter("line_no % 2 = 0").write.json(path)
+            own.filter("line_no % 2 = 1").withColumns({"note": F.lit("new"), "verification_model": F.lit(v)}).write.mode("append").json(path)
+    return root
+
+
+@query("read_verifications_multi", """SELECT generator_model, verifier_model, line_no, source_qid, original_query, perturbed_query, perturbation_class, intensity, lever_selected,
+  verification_successful, verification_result, perturbed_context AS patch, CAST(10 AS INT) AS passages, CASE WHEN line_no % 2 = 1 THEN verifier_model END AS verification_model FROM verifications""")
+def _(d: Data):
+    back = readers.read_multi_verifications(d.spark, logged(d), numbered=False)
+    return back.select(
+        "generator_model", "verifier_model", "line_no", "source_qid", "original_query", "perturbed_query", "perturbation_class", "intensity", "lever_selected",
+        "verification_successful", "verification_result", col("perturbed_signal_passages")[0]["perturbed_text"].alias("patch"),
+        F.size("original_data.grounding").alias("passages"), "verification_model",
+    )
+
+
+_OTHERS = "#other" + "".join(f"#other {k}" for k in range(3, 11))
+
+
+@query("unified_record_multi", MULTI_SAMPLE.replace("|| '#other' AS texts", f"|| '{_OTHERS}' AS texts"))
+def _(d: Data):
+    """From log files to the published record, ten passages each."""
+    votes = readers.read_multi_verifications(d.spark, logged(d), numbered=False)
+    return datasets.multi_dataset(votes).select(
+        "sample_id", "question", texts("grounding").alias("texts"), "original_question", col("stratified_metadata.unique_id").alias("unique_id"),
+        col("stratified_metadata.stratum_key").alias("stratum_key"),
+    )
+
+
+VERDICT = "verification_result string, lever_correctly_implemented boolean, intensity_correctly_achieved boolean"
+
+
+@query("verification_log", """SELECT generator_model, verifier_model, line_no, verification_successful, verification_result, lever_correctly_implemented,
+  CASE WHEN verification_successful THEN NULL ELSE 'timeout' END AS verification_error FROM verifications""")
+def _(d: Data):
+    """Requests, replies of which some failed first, votes appended in two batches by a job that runs twice, read again."""
+    votes = d.votes()
+    ident = F.concat_ws("|", "generator_model", "verifier_model", col("line_no").cast("string"))
+    requests = votes.select(ident.alias("request_id"), "generator_model", "verifier_model", "line_no")
+    text = F.concat(F.lit("```json\n"), F.to_json(F.struct(*[f.split()[0] for f in VERDICT.split(", ")])), F.lit("\n```"))
+    ok = col("verification_successful")
+    last = votes.select(ident.alias("request_id"), F.when(ok, text).alias("response"), F.when(~ok, "timeout").alias("error"), F.lit(2).alias("seq"))
+    first = last.filter("length(request_id) % 2 = 0").select("request_id", F.lit(None).cast("string").alias("response"), F.lit("busy").alias("error"), F.lit(1).alias("seq"))
+    log, path = rewriting.verification_log(requests, last.unionByName(first), VERDICT), d.scratch()
+    for name, part in 2 * (("even", log.filter("line_no % 2 = 0")), ("odd", log.filter("line_no % 2 = 1"))):
+        sinks.append_results(part, path, batch=name)
+    return readers.flatten_verdict(tables.read_batches(d.spark, path)).select(
+        "generator_model", "verifier_model", "line_no", "verification_successful", "verification_result", "lever_correctly_implemented", "verification_error"
+    )
+
+
 # --- generation and verification -----------------------------------------------------------
 
 
@@ -204,12 +286,12 @@ def _(d: Data):
 
 
 @query("next_verifications", """SELECT DISTINCT md5('verify|' || generator_model || '|' || line_no || '|' || v) AS request_id, generator_model, line_no, v AS verifier_model
-FROM (SELECT * FROM verifications WHERE verifier_model = 'claude' AND line_no < 1000000000) c, (VALUES ('claude'), ('nova'), ('gpt'), ('deepseek')) t(v)
-WHERE NOT EXISTS (SELECT 1 FROM verifications d WHERE d.generator_model = c.generator_model AND d.line_no = c.line_no AND d.verifier_model = v AND d.verification_successful)""")
+FROM verifications c, (VALUES ('claude'), ('nova'), ('gpt'), ('deepseek')) t(v)
+WHERE NOT EXISTS (SELECT 1 FROM verifications d WHERE d.generator_model = c.generator_model AND d.perturbed_query = c.perturbed_query AND d.verifier_model = v AND d.verification_successful)""")
 def _(d: Data):
-    votes = d.votes().filter("line_no < 1000000000")
-    rewrites = votes.filter("verifier_model = 'claude'")
-    return rewriting.next_verifications(rewrites, votes.filter("verification_successful")).select("request_id", "generator_model", "line_no", "verifier_model")
+    votes = d.votes()
+    left = rewriting.next_verifications(votes.drop("verifier_model"), votes.filter("verification_successful"))
+    return left.select("request_id", "generator_model", "line_no", "verifier_model").distinct()
 
 
 GENERATED = "perturbed_query string, lever_selected string, intensity_achieved string"

@@ -76,10 +76,10 @@ def _(d: Data):
 
 @query("verifier_requests", """SELECT md5('verify|' || generator_model || '|' || line_no || '|' || v) AS request_id, generator_model, line_no, v AS verifier_model,
   CASE WHEN intensity = 'LOW' THEN 'kept' ELSE 'prevented' END AS branch, TRUE AS complete
-FROM verifications, (VALUES ('claude'), ('nova'), ('gpt'), ('deepseek')) t(v) WHERE verifier_model = 'claude' AND line_no % 9 <> 0 AND line_no % 8 <> 0""")
+FROM verifications, (VALUES ('claude'), ('nova'), ('gpt'), ('deepseek')) t(v) WHERE line_no % 9 <> 0 AND line_no % 8 <> 0""")
 def _(d: Data):
     n = col("line_no")
-    log = d.votes().filter("verifier_model = 'claude'").drop("verifier_model").withColumns({
+    log = d.votes().drop("verifier_model").withColumns({
         "generation_successful": n % 9 != 0, "original_query": F.when(n % 8 != 0, col("original_query"))
     })
     out = T.verifier_requests(log, keep=("perturbed_query", "original_context"))

@@ -313,11 +313,11 @@ def _(d: Data):
     return A.verification_coverage(aligned(d))
 
 
-@query("generation_stats", f"""WITH p AS (SELECT *, line_no % 7 <> 0 AS ok FROM verifications WHERE verifier_model = 'claude'),
+@query("generation_stats", f"""WITH p AS (SELECT *, line_no % 7 <> 0 AS ok FROM verifications),
 t AS (SELECT perturbation_class, intensity, count(*) AS a, count(*) FILTER (WHERE ok) AS s FROM p GROUP BY GROUPING SETS ((), (perturbation_class, intensity)))
 SELECT coalesce(perturbation_class, 'all') AS perturbation_class, coalesce(intensity, 'all') AS intensity, a AS attempts, s AS successes, a - s AS failures, {pct('s', 'a')} AS success_rate FROM t""")
 def _(d: Data):
-    log = d.votes().filter("verifier_model = 'claude'").withColumn("generation_successful", F.col("line_no") % 7 != 0)
+    log = d.votes().withColumn("generation_successful", F.col("line_no") % 7 != 0)
     return A.generation_stats(log)
 
 

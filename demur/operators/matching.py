@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from demur import vocab
 from demur.functions.columns import col, literal_array, only_value
 from demur.functions.keys import perturbation_id
+from demur.plans.shared import materialise
 
 _ALL_CELLS = (1 << len(vocab.CELLS)) - 1
 
@@ -44,11 +45,50 @@ def remaining(samples: DataFrame, done: DataFrame, models: Sequence[str], ident:
     return samples.join(finished, ident, "left").withColumn("model_id", F.explode(todo)).drop("_done")
 
 
+#: keys that are broadcast, at about 100 bytes each
+MAX_KEYS = 500_000
+
+
+def _with_finished(rewrites: DataFrame, key: Column, finished: DataFrame, every: int) -> DataFrame:
+    """Rewrites that miss some of the bits of ``every``, with the bits they have as ``_mask``; no text is shuffled
+    while either the unfinished keys or those with anything finished can be broadcast.
+
+    What is unfinished is found on keys alone and written. Only where both kinds of key are
+    very many do the rewrites themselves meet them in a shuffle.
+    """
+    keys = rewrites.select(key.alias("_key")).distinct()
+    state = keys.join(finished, "_key", "left").withColumn("_mask", F.coalesce("_mask", F.lit(0)))
+    state = materialise(state, "resume")
+    unfinished, touched = state.filter(col("_mask") != every), state.filter(col("_mask") != 0)
+    n_unfinished, n_touched = state.agg(F.count_if(col("_mask") != every), F.count_if(col("_mask") != 0)).first()
+    keyed = rewrites.withColumn("_key", key)
+    if n_touched <= MAX_KEYS and n_touched < n_unfinished:
+        joined = keyed.join(F.broadcast(touched), "_key", "left").withColumn("_mask", F.coalesce("_mask", F.lit(0)))
+        return joined.filter(col("_mask") != every).drop("_key")
+    right = F.broadcast(unfinished) if n_unfinished <= MAX_KEYS else unfinished
+    return keyed.join(right, "_key").drop("_key")
+
+
 def remaining_verifications(rewrites: DataFrame, done: DataFrame, kind: str = "single", prefix: int | None = None) -> DataFrame:
     """Rewrites whose resume key is not in the verification log (``prefix``: the older, cut key)."""
     key = perturbation_id(kind) if prefix is None else F.md5(perturbation_id(kind, prefix))
-    seen = done.select(key.alias("_key")).distinct()
-    return rewrites.withColumn("_key", key).join(seen, "_key", "left_anti").drop("_key")
+    finished = done.select(key.alias("_key")).distinct().withColumn("_mask", F.lit(1))
+    return _with_finished(rewrites, key, finished, 1).drop("_mask")
+
+
+def remaining_by_verifier(rewrites: DataFrame, log: DataFrame, verifiers: Sequence[str], kind: str = "single") -> DataFrame:
+    """Rewrites that some verifier has not voted on, with these verifiers as the array ``pending``, in one pass over the log."""
+    if len(verifiers) > 30:
+        raise ValueError("at most 30 verifiers at a time")
+    key = perturbation_id(kind)
+    bit = F.lit(0)
+    for i, v in enumerate(verifiers):
+        bit = F.when(col("verifier_model") == v, 1 << i).otherwise(bit)
+    finished = log.filter(col("verifier_model").isin(*verifiers)).select(key.alias("_key"), bit.alias("_bit"))
+    finished = finished.groupBy("_key").agg(F.bit_or("_bit").alias("_mask"))
+    rows = _with_finished(rewrites, key, finished, (1 << len(verifiers)) - 1)
+    names = [F.when(col("_mask").bitwiseAND(F.lit(1 << i)) == 0, F.lit(v)) for i, v in enumerate(verifiers)]
+    return rows.withColumn("pending", F.array_compact(F.array(*names))).drop("_mask")
 
 
 def _cell_mask() -> Column:

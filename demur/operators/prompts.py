@@ -174,9 +174,13 @@ _REWRITE = ("perturbed_query", "perturbed_context", "lever_selected", "implement
 
 
 def verifier_requests(
-    rewrites: DataFrame, verifiers: Sequence[str] = vocab.VERIFIERS, family: str = "single", keep: Sequence[str] = ()
+    rewrites: DataFrame, verifiers: Sequence[str] = vocab.VERIFIERS, family: str = "single", keep: Sequence[str] = (), pending: str | None = None
 ) -> DataFrame:
-    """Prompt per rewrite and verifier, for the rewrites that pass the gate."""
+    """Prompt per rewrite and verifier, for the rewrites that pass the gate.
+
+    ``pending`` names an array column with the verifiers to ask about each rewrite; without it
+    all of ``verifiers`` are.
+    """
     single = family == "single"
     rows = verification_gate(rewrites, family).filter(col("verification_error").isNull())
     rows = rows.join(F.broadcast(cell_briefs(rows.sparkSession, family)), ["perturbation_class", "intensity"])
@@ -206,7 +210,7 @@ def verifier_requests(
     )
     keyed = rows.select(
         "generator_model", "line_no", "perturbation_class", "intensity", branch.alias("branch"), prompt.alias("prompt"),
-        F.explode(literal_array(verifiers)).alias("verifier_model"), *keep,
+        F.explode(literal_array(verifiers) if pending is None else col(pending)).alias("verifier_model"), *keep,
     )
     return keyed.select(request_id("verify", "generator_model", "line_no", "verifier_model").alias("request_id"), *keyed.columns)
 

@@ -33,12 +33,8 @@ def generation_log(requests: DataFrame, replies: DataFrame, schema: str) -> Data
 
 def next_verifications(rewrites: DataFrame, log: DataFrame, verifiers: Sequence[str] = vocab.VERIFIERS, family: str = "single") -> DataFrame:
     """Requests to every verifier for the rewrites it has not voted on yet (whole-text key)."""
-    out = None
-    for verifier in verifiers:  # a fixed list
-        left = matching.remaining_verifications(rewrites, log.filter(col("verifier_model") == verifier), family)
-        some = prompts.verifier_requests(left, [verifier], family)
-        out = some if out is None else out.unionByName(some)
-    return out
+    left = matching.remaining_by_verifier(rewrites, log, verifiers, family)
+    return prompts.verifier_requests(left, verifiers, family, pending="pending")
 
 
 def verification_log(requests: DataFrame, replies: DataFrame, schema: str) -> DataFrame:

@@ -90,16 +90,25 @@ def test_numbering_lines_shuffles_no_text(spark, tmp_path):
 
 def test_a_hot_question_can_be_split(spark):
     """Both sides of the join come straight from a shuffle, as splitting a skewed join needs."""
-    rows = spark.createDataFrame([("q1", "c"), ("q1", "d"), ("q2", "e")], "source_qid string, perturbed_context string")
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 != 0, "q1").otherwise(F.concat(F.lit("q"), F.col("id"))).alias("source_qid"), F.repeat(F.col("id").cast("string"), 20).alias("perturbed_context"))
     originals = spark.createDataFrame([("q1", ["x"], 1), ("q1", ["y"], 2)], "qid string, retrieved_docs array<string>, line_no bigint")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    old = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
     try:
-        out = UN.join_original(rows, originals)
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert sum("Exchange hashpartitioning" in line and "ENSURE_REQUIREMENTS" in line and "_right" in line or "_left" in line and "Exchange" in line for line in plan.splitlines()) >= 2
-        assert {(r.source_qid, r.has_original) for r in out.collect()} == {("q1", True), ("q2", False)}
+        out = UN.join_original(rows.repartition(8), originals)
+        assert out.filter("has_original").count() == 18_000
+        out.collect()
+        final = out._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in final and "skew=true" in final.replace("isSkew", "skew")
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_shared_folder(spark, tmp_path):
@@ -120,3 +129,26 @@ def test_progress_keeps_the_last_complete_version(spark, tmp_path):
         L.stream_progress(spark, source, schema, target, checkpoint).awaitTermination()
     (tmp_path / "out" / "version=99").mkdir()  # begun and never finished
     assert [(r.model_id, r.status, r.n) for r in L.progress(spark, target).collect()] == [("m", "finished", 5)]
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+@pytest.mark.parametrize("done", [range(0, 3), range(0, 37)])
+def test_resuming_exchanges_no_rewrite(spark, monkeypatch, limit, done):
+    """Few finished keys or few unfinished ones are broadcast; only many of both meet in a shuffle."""
+    both = rewrites(spark, [f"context {k}" for k in range(40)])
+    monkeypatch.setattr(J, "MAX_KEYS", limit)
+    log = rewrites(spark, [f"context {k}" for k in done]).withColumn("verifier_model", F.lit("nova"))
+    left = J.remaining_verifications(both, log)
+    if limit:
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert {r.original_context for r in left.collect()} == {f"context {k}" for k in range(40) if k not in done}
+    pending = {r.original_context: sorted(r.pending) for r in J.remaining_by_verifier(both, log, ["nova", "gpt"]).collect()}
+    assert pending == {f"context {k}": ["gpt"] if k in done else ["gpt", "nova"] for k in range(40)}
+
+
+def test_stamped_between_start_and_end(spark):
+    start, end = (spark.sql("SELECT date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")") for _ in range(2))
+    first = start.first()[0]
+    stamped = {r.formatted_timestamp for r in UN.stamp(spark.range(3)).collect()}
+    assert len(stamped) == 1 and first <= stamped.pop() <= end.first()[0]
