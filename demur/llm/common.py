@@ -161,6 +161,8 @@ def fitted(rows: DataFrame, fit: Callable[[list[dict]], object]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = fit([r for batch in batches for r in batch.to_pylist()])
         yield pa.RecordBatch.from_pydict({"made": pa.array([pickle.dumps(made)], pa.binary())})
+        del made
+        release_memory()
 
     found = rows.repartition(1).mapInArrow(run, "made binary").collect()
     return pickle.loads(bytes(found[0]["made"])) if found else fit([])
