@@ -45,11 +45,18 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
+#: rows that Spark hands to Python at a time, unless the session says so itself: documents can be
+#: long, and workers hold batches beside a full executor
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
 #: the first stage learns a classifier and the last is free in its choice, which SQL cannot express
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, default, smaller = ARROW_ROWS
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, smaller)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
