@@ -461,15 +461,36 @@ def log_of_cells(d: Data):
     return ins, done
 
 
-@query("missing_cells", f"WITH {DONE} SELECT qid, perturbation_class, intensity FROM mc")
+PAIRS = [f"{g}|{v}" for g in ("claude", "deepseek", "gpt", "nova") for v in ("claude", "nova", "gpt", "deepseek")]
+#: every generator's and verifier's log, the pair being part of the question's id
+DONE_ALL = f"""pairs AS (SELECT * FROM (VALUES {", ".join(f"('{p}', {i})" for i, p in enumerate(PAIRS))}) t(pair, i)),
+ins AS (SELECT DISTINCT 16 * CAST(floor(p_partkey / 18) AS BIGINT) + i AS line_no, pair || '|q' || CAST(floor(p_partkey / 18) AS BIGINT) AS qid FROM part, pairs), {CELLS},
+dn AS (SELECT generator_model || '|' || verifier_model || '|' || source_qid AS source_qid, perturbation_class, intensity FROM verifications WHERE line_no % 29 <> 0),
+mc AS (SELECT line_no, qid, perturbation_class, intensity FROM ins, cells WHERE (qid, perturbation_class, intensity) NOT IN (SELECT (source_qid, perturbation_class, intensity) FROM dn)),
+cp AS (SELECT count(*) AS n FROM (SELECT source_qid FROM dn GROUP BY source_qid HAVING count(*) = 18 AND count(DISTINCT perturbation_class || intensity) = 18))"""
+
+
+def log_of_all_cells(d: Data):
+    pairs = F.posexplode(F.array(*[F.lit(p) for p in PAIRS])).alias("i", "pair")
+    line = F.floor(F.col("p_partkey") / 18).cast("long")
+    ins = d.table("part").select(line.alias("line")).distinct().select("line", pairs).select(
+        (16 * F.col("line") + F.col("i")).alias("line_no"), F.concat("pair", F.lit("|q"), F.col("line").cast("string")).alias("qid")
+    )
+    done = d.votes().withColumns({
+        "source_qid": F.concat_ws("|", "generator_model", "verifier_model", "source_qid"), "generation_successful": F.col("line_no") % 29 != 0,
+    })
+    return ins, done
+
+
+@query("missing_cells", f"WITH {DONE_ALL} SELECT qid, perturbation_class, intensity FROM mc")
 def _(d: Data):
-    return J.missing_cells(*log_of_cells(d)).select("qid", "perturbation_class", "intensity")
+    return J.missing_cells(*log_of_all_cells(d)).select("qid", "perturbation_class", "intensity")
 
 
-@query("missing_cells_target", f"""WITH {DONE}, op AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS r FROM (SELECT DISTINCT line_no FROM mc))
-SELECT qid, perturbation_class, intensity FROM mc JOIN op USING (line_no) WHERE r <= 60 - (SELECT n FROM cp)""")
+@query("missing_cells_target", f"""WITH {DONE_ALL}, op AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS r FROM (SELECT DISTINCT line_no FROM mc))
+SELECT qid, perturbation_class, intensity FROM mc JOIN op USING (line_no) WHERE r <= 900 - (SELECT n FROM cp)""")
 def _(d: Data):
-    return J.missing_cells(*log_of_cells(d), target=60).select("qid", "perturbation_class", "intensity")
+    return J.missing_cells(*log_of_all_cells(d), target=900).select("qid", "perturbation_class", "intensity")
 
 
 # --- results kept across runs --------------------------------------------------------------------
