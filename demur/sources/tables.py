@@ -41,7 +41,7 @@ def _path(spark: SparkSession, path: str):
     return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
+def names(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder, none if there is no such folder."""
     hadoop_path, filesystem = _path(spark, folder)
     if not filesystem.exists(hadoop_path):
@@ -81,7 +81,7 @@ def publish(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     hadoop_path, filesystem = _path(spark, path)
     filesystem.delete(hadoop_path, True)
 
@@ -93,7 +93,7 @@ def append_batch(df: DataFrame, path: str, batch: str) -> bool:
     """Add a batch once. False, and nothing is written, if a batch of this name counts already."""
     spark = df.sparkSession
     record = f"{path}/{COMMITS}/{quote(batch, safe='')}"
-    if quote(batch, safe="") in _names(spark, f"{path}/{COMMITS}"):
+    if quote(batch, safe="") in names(spark, f"{path}/{COMMITS}"):
         return False
     folder = f"{DATA}/{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{folder}")
@@ -102,14 +102,14 @@ def append_batch(df: DataFrame, path: str, batch: str) -> bool:
 
 def batches(spark: SparkSession, path: str) -> list[str]:
     """Names of the batches that count."""
-    return sorted(unquote(n) for n in _names(spark, f"{path}/{COMMITS}") if not n.startswith("."))
+    return sorted(unquote(n) for n in names(spark, f"{path}/{COMMITS}") if not n.startswith("."))
 
 
 def _records(spark: SparkSession, path: str) -> list[dict]:
     """Commit records of an appended table, read by tasks where there are many."""
-    names = [n for n in _names(spark, f"{path}/{COMMITS}") if not n.startswith(".")]
-    if len(names) <= 32:
-        return [json.loads(_read(spark, f"{path}/{COMMITS}/{n}")) for n in sorted(names)]
+    records = [n for n in names(spark, f"{path}/{COMMITS}") if not n.startswith(".")]
+    if len(records) <= 32:
+        return [json.loads(_read(spark, f"{path}/{COMMITS}/{n}")) for n in sorted(records)]
     lines = spark.read.option("wholetext", True).text(f"{path}/{COMMITS}")
     return [json.loads(r["value"]) for r in lines.orderBy(F.col("_metadata.file_name")).collect()]  # a row per batch
 
@@ -149,7 +149,7 @@ class Version:
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    return sorted(int(n) for n in _names(spark, f"{path}/{VERSIONS}") if n.isdigit())
+    return sorted(int(n) for n in names(spark, f"{path}/{VERSIONS}") if n.isdigit())
 
 
 def version(spark: SparkSession, path: str, number: int | None = None) -> Version | None:
@@ -249,8 +249,8 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> None:
     kept = [version(spark, path, n) for n in known[-keep:]]
     used = {f for v in kept for f in v.folders.values()} | {v.summary["folder"] for v in kept if v.summary}
     for n in known[:-keep]:
-        _delete(spark, f"{path}/{VERSIONS}/{n:012d}")
+        delete(spark, f"{path}/{VERSIONS}/{n:012d}")
     for base in (DATA, SUMMARY):
-        for name in _names(spark, f"{path}/{base}"):
+        for name in names(spark, f"{path}/{base}"):
             if f"{base}/{name}" not in used:
-                _delete(spark, f"{path}/{base}/{name}")
+                delete(spark, f"{path}/{base}/{name}")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from demur.operators.sampling import dedupe_last
+from demur.sources import tables
 
 
 def _files(spark: SparkSession, source: str, schema: str | T.StructType) -> DataFrame:
@@ -69,13 +70,17 @@ def stream_progress(
     """Running counts per model and status; the state holds one row per group.
 
     Every batch writes a version of its own, so a reader (``progress``) finds the version
-    before until the new one is complete.
+    before until the new one is complete. Earlier ones are removed.
     """
     status = F.when(F.col("model_predicted_type") == "ERROR", "failed").otherwise("finished")
     counts = _files(spark, source, schema).groupBy("model_id", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
     def show(table: DataFrame, batch_id: int) -> None:
         table.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        for name in tables.names(spark, target):
+            number = name.removeprefix("version=")
+            if number.isdigit() and int(number) < batch_id - 1:  # readers may still be at the one before
+                tables.delete(spark, f"{target}/{name}")
 
     return (
         counts.writeStream.outputMode("complete").foreachBatch(show)

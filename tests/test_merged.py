@@ -46,7 +46,7 @@ def test_of_two_writers_of_a_record_one_wins(spark, tmp_path):
     path = str(tmp_path / "x" / "record")
     assert TB.publish(spark, path, "one") and not TB.publish(spark, path, "two")
     assert TB._read(spark, path) == "one"
-    assert [n for n in TB._names(spark, str(tmp_path / "x")) if not n.startswith(".")] == ["record"]
+    assert [n for n in TB.names(spark, str(tmp_path / "x")) if not n.startswith(".")] == ["record"]
 
 
 def test_many_commits_are_read_by_tasks(spark, tmp_path):
@@ -114,9 +114,9 @@ def test_a_crash_between_data_and_version(spark, tmp_path, monkeypatch):
     assert TB.read_merged(spark, path).filter("model_predicted_type = 'ERROR'").count() == 0
     assert R.merge_results(results(spark, range(5), "ERROR"), path, "job", 1)
     assert TB.read_merged(spark, path).filter("model_predicted_type = 'ERROR'").count() == 5
-    leftovers = {n for n in TB._names(spark, f"{path}/data")}
+    leftovers = {n for n in TB.names(spark, f"{path}/data")}
     TB.vacuum(spark, path, keep=1)
-    assert len(leftovers) == 3 and len(TB._names(spark, f"{path}/data")) <= 2
+    assert len(leftovers) == 3 and len(TB.names(spark, f"{path}/data")) <= 2
     assert TB.read_merged(spark, path).count() == 10 and M.leaderboard(R.counts(spark, path)).count() == 1
 
 

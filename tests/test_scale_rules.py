@@ -124,9 +124,10 @@ def test_progress_keeps_the_last_complete_version(spark, tmp_path):
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
     schema = "sample_id string, model_id string, model_predicted_type string"
     assert L.progress(spark, target).count() == 0
-    for k, n in enumerate((2, 3)):
+    for k, n in enumerate((1, 1, 3)):
         SK.write_jsonl(spark.range(n).select(F.col("id").cast("string").alias("sample_id"), F.lit("m").alias("model_id"), F.lit("x").alias("model_predicted_type")), f"{source}/{k}")
         L.stream_progress(spark, source, schema, target, checkpoint).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out").glob("version=*")) == ["version=1", "version=2"]
     (tmp_path / "out" / "version=99").mkdir()  # begun and never finished
     assert [(r.model_id, r.status, r.n) for r in L.progress(spark, target).collect()] == [("m", "finished", 5)]
 
