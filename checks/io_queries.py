@@ -15,6 +15,7 @@ from demur.sources import readers as RD
 from demur.sources import sinks as SK
 from demur.sources import tables as TB
 from demur.streaming import logs as L
+from demur.streaming import replies as RP
 from demur.streaming import results as R
 
 VOTE_SCHEMA = "line_no bigint, source_qid string, original_query string, verification_successful boolean, verification_result string"
@@ -263,3 +264,39 @@ def _(d: Data):
         d, r.filter("seq % 3 = 0"), r.filter("seq % 3 <> 0"), lambda s, t, c: L.stream_progress(d.spark, s, RESULT_SCHEMA, t, c)
     )
     return L.progress(d.spark, target)
+
+
+@query("stream_replies", """SELECT 'r' || id AS request_id, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN 'again' WHEN id % 13 = 0 OR id % 11 = 0 THEN NULL ELSE response END AS response,
+  CASE WHEN id % 7 <> 0 AND id % 5 <> 0 AND id % 13 <> 0 AND id % 11 = 0 THEN 'timeout' END AS error, id % 7 = 0 OR (id % 5 <> 0 AND id % 13 = 0) AS pending FROM json_responses""")
+def _(d: Data):
+    """Requests and replies as streams in three drops, later replies before earlier ones: some fail, come again, come after the deadline or not at all."""
+    r = d.fixture("json_responses").withColumns({
+        "request_id": F.concat(F.lit("r"), col("id").cast("string")),
+        "asked_at": F.timestamp_add("minute", (col("id") % 600).cast("int"), F.lit("2024-05-01").cast("timestamp")),
+    })
+    later = F.when(col("id") % 13 == 0, 20).otherwise(col("id") % 10).cast("int")
+    failed = F.when(col("id") % 11 == 0, F.lit("timeout"))
+    first = r.filter("id % 7 <> 0").select(
+        "request_id", F.timestamp_add("minute", later, col("asked_at")).alias("replied_at"), F.lit(1).cast("long").alias("seq"),
+        F.when(failed.isNull(), col("response")).alias("response"), failed.alias("error"), "id",
+    )
+    again = r.filter("id % 7 <> 0 AND id % 5 = 0").select(
+        "request_id", F.timestamp_add("minute", F.lit(12), col("asked_at")).alias("replied_at"), F.lit(2).cast("long").alias("seq"),
+        F.lit("again").alias("response"), F.lit(None).cast("string").alias("error"), "id",
+    )
+    base = d.scratch()
+    mark = d.table("region").limit(1)  # one row that only moves the time on
+    end = F.lit("2024-05-03").cast("timestamp")
+    drops = (
+        (r.select("request_id", "asked_at"), again), (None, first.filter("id % 3 = 0")), (None, first.filter("id % 3 <> 0")),
+        (mark.select(F.lit("").alias("request_id"), end.alias("asked_at")), mark.select(F.lit("").alias("request_id"), end.alias("replied_at"), F.lit(0).alias("id"))),
+    )
+    for k, (requests, replies) in enumerate(drops):
+        if requests is not None:
+            SK.write_jsonl(requests, f"{base}/asked/{k}")
+        SK.write_jsonl(replies.drop("id"), f"{base}/replied/{k}")
+        RP.stream_replies(
+            d.spark, f"{base}/asked", "request_id string, asked_at timestamp", f"{base}/replied",
+            "request_id string, replied_at timestamp, seq bigint, response string, error string", f"{base}/out", f"{base}/checkpoint", "15 minutes", "12 hours",
+        ).awaitTermination()
+    return TB.read_batches(d.spark, f"{base}/out").select("request_id", "response", "error", "pending")
