@@ -11,6 +11,7 @@ from demur.functions.columns import col
 from demur.operators import passages as P
 from demur.operators import prompts as T
 from demur.sources import catalogue as C
+from demur.sources import wording as WD
 
 N_LEVERS = """CASE WHEN intensity = 'LOW' THEN CASE perturbation_class WHEN 'P-Contradiction' THEN 8 WHEN 'P-MissingInfo' THEN 9 WHEN 'P-EpistemicMismatch' THEN 9 ELSE 10 END
   WHEN intensity = 'MEDIUM' THEN CASE perturbation_class WHEN 'P-Ambiguity' THEN 9 WHEN 'P-MissingInfo' THEN 11 ELSE 10 END ELSE 10 END"""
@@ -120,3 +121,45 @@ def _(d: Data):
         "sample_id", "model_id", "branch", F.regexp_count("prompt", F.lit(r"(?m)^\[\d+\] ")).cast("long").alias("blocks"),
         has(F.lit("No relevant passages identified")).alias("none_relevant"),
     )
+
+
+AT = "(line_no % 60)"  # days after the first version; the second is valid from day 20, the third from day 45
+N_OF = f"CASE WHEN {AT} < 20 THEN {N_LEVERS} WHEN {AT} < 45 THEN least({N_LEVERS}, 8) ELSE 1 END"
+
+
+def wordings(d: Data):
+    """Three versions: as in the code; eight levers a cell at most and other criteria; one lever a cell."""
+    path = d.scratch()
+    first = T.default_wording(d.spark)
+    second = first.filter("lever_no <= 8").withColumn("criteria", F.concat(F.lit("second criteria of "), "perturbation_class"))
+    third = first.filter("lever_no = 1").withColumns({"name": F.lit("Only Lever"), "strategy": F.lit("third strategy")})
+    for name, words, day in (("v3", third, "2024-02-15"), ("v1", first, "2024-01-01"), ("v2", second, "2024-01-21"), ("v2", third, "2023-01-01")):
+        WD.publish(words, path, name, f"{day} 00:00:00")
+    return WD.read(d.spark, path)
+
+
+def dated(df, line: str = "line_no"):
+    return df.withColumn("asked_at", F.timestamp_add("day", (col(line) % 60).cast("int"), F.lit("2024-01-01").cast("timestamp")))
+
+
+@query("wording_versions", f"""WITH {BASE}, {CELLS} SELECT qid AS source_qid, perturbation_class, intensity, CASE WHEN {AT} < 20 THEN 'v1' WHEN {AT} < 45 THEN 'v2' ELSE 'v3' END AS wording_version,
+  CAST({N_OF} AS BIGINT) AS entries, {AT} >= 20 AND {AT} < 45 AS second_criteria, {AT} >= 45 AS only_lever FROM bi, cells""")
+def _(d: Data):
+    """Rewriting requests of one run, each worded in the version valid on its day."""
+    words = wordings(d)
+    asked = WD.as_of(dated(instances(d)), words, "asked_at")
+    out = T.generator_requests(asked, wording=words)
+    return out.select(
+        "source_qid", "perturbation_class", "intensity", "wording_version", occurrences("prompt", ". **").alias("entries"),
+        has(F.concat(F.lit("CRITERIA: second criteria of "), "perturbation_class", F.lit("\n"))).alias("second_criteria"), has(F.lit("1. **Only Lever.**")).alias("only_lever"),
+    )
+
+
+@query("wording_versions_verifier", f"""SELECT generator_model, line_no, v AS verifier_model, perturbation_class, intensity, CASE WHEN {AT} < 20 THEN 'v1' WHEN {AT} < 45 THEN 'v2' ELSE 'v3' END AS wording_version,
+  CAST({N_OF} AS BIGINT) AS entries FROM verifications, (VALUES ('claude'), ('nova')) t(v)""")
+def _(d: Data):
+    """Verification requests worded in the version that the rewrite was asked for in."""
+    words = wordings(d)
+    asked = WD.as_of(dated(d.votes().drop("verifier_model")), words, "asked_at")
+    out = T.verifier_requests(asked, ("claude", "nova"), wording=words)
+    return out.select("generator_model", "line_no", "verifier_model", "perturbation_class", "intensity", "wording_version", occurrences("prompt", ". **").alias("entries"))

@@ -18,6 +18,7 @@ from demur.operators.matching import evaluation_grid, perturbation_grid
 from demur.operators.passages import format_passages, list_passages, relevant
 from demur.operators.records import verification_gate
 from demur.sources.catalogue import all_cells, catalogue, lever_menu
+from demur.sources.wording import VERSION
 
 CRITERIA = {
     ("P-Ambiguity", "LOW"): "Other readings are possible, but the passage makes one of them the natural choice.",
@@ -63,15 +64,43 @@ REFUSALS = {
 _FENCE = "```"
 
 
-def cell_briefs(spark: SparkSession, family: str = "single") -> DataFrame:
-    """18 rows: label, target, criteria, strategy and menu of each cell."""
+#: versions of the wording that are broadcast, at about 40 KB each
+MAX_VERSIONS = 500
+
+
+def default_wording(spark: SparkSession) -> DataFrame:
+    """The wording written out in the code, as a table for ``sources.wording``: a row per lever with its cell's criteria and strategy."""
     texts = literal_table(
         spark, ("perturbation_class", "intensity", "criteria", "strategy"), [(c, i, CRITERIA[c, i], STRATEGIES[c]) for c, i in vocab.CELLS]
     )
+    return catalogue(spark).join(texts, ["perturbation_class", "intensity"])
+
+
+def cell_briefs(spark: SparkSession, family: str = "single", wording: DataFrame | None = None) -> DataFrame:
+    """Label, target, criteria, strategy and menu of each cell: 18 rows, per version where the wording has versions."""
+    words = default_wording(spark) if wording is None else wording
     key = ["perturbation_class", "intensity"]
+    by = [*key, VERSION] if VERSION in words.columns else key
     target = "target_single" if family == "single" else "target_multi"
     cells = all_cells(spark).select(*key, "expected_label", F.col(target).alias("target"))
-    return cells.join(texts, key).join(lever_menu(catalogue(spark)), key)
+    texts = words.groupBy(*by).agg(F.max("criteria").alias("criteria"), F.max("strategy").alias("strategy"))  # all the same in a cell
+    return cells.join(texts, key).join(lever_menu(words, by), by)
+
+
+def _with_briefs(rows: DataFrame, family: str, wording: DataFrame | None) -> DataFrame:
+    """Rows with the texts of their cell, in the version they name; a row that names none is an error."""
+    briefs = cell_briefs(rows.sparkSession, family, wording)
+    if VERSION not in briefs.columns:
+        return rows.join(F.broadcast(briefs), ["perturbation_class", "intensity"])
+    known = rows.withColumn(VERSION, F.coalesce(col(VERSION), F.raise_error(F.lit("no wording is valid at the time of a row")).cast("string")))
+    few = wording.select(VERSION).distinct().count() <= MAX_VERSIONS
+    # very many versions meet the rows in a join that adaptive execution may split
+    return known.join(F.broadcast(briefs) if few else briefs, ["perturbation_class", "intensity", VERSION])
+
+
+def _kept(keep: Sequence[str], wording: DataFrame | None) -> tuple[str, ...]:
+    versioned = wording is not None and VERSION in wording.columns and VERSION not in keep
+    return (*keep, VERSION) if versioned else tuple(keep)
 
 
 def request_id(stage: str, *parts: str | Column) -> Column:
@@ -130,15 +159,18 @@ def _constraint(branch: Column, shown: Column) -> Column:
 
 def generator_requests(
     instances: DataFrame, family: str = "single", cells: DataFrame | None = None, keep: Sequence[str] = (),
-    generator: str | None = None,
+    generator: str | None = None, wording: DataFrame | None = None,
 ) -> DataFrame:
     """Prompt per (instance, cell). ``generator`` names the model to be asked and becomes part of
     the request_id, so that several generators' requests stay apart. ``cells`` is a work list that already has
     perturbation_class and intensity (``missing_cells``); without it the whole grid.
-    ``keep`` names further input columns for the request table."""
+    ``keep`` names further input columns for the request table. ``wording`` replaces the texts written
+    out in the code; if it has versions, every row is worded in its ``wording_version`` (``wording.as_of``), which
+    is kept."""
+    keep = _kept(keep, wording)
     single = family == "single"
     rows = cells if cells is not None else perturbation_grid(instances)
-    rows = rows.join(F.broadcast(cell_briefs(rows.sparkSession, family)), ["perturbation_class", "intensity"])
+    rows = _with_briefs(rows, family, wording)
     branch = constraint_branch("answers" if single else None)
     shown = answer_display("answers") if single else col("answer_generate")
     if single:
@@ -174,16 +206,18 @@ _REWRITE = ("perturbed_query", "perturbed_context", "lever_selected", "implement
 
 
 def verifier_requests(
-    rewrites: DataFrame, verifiers: Sequence[str] = vocab.VERIFIERS, family: str = "single", keep: Sequence[str] = (), pending: str | None = None
+    rewrites: DataFrame, verifiers: Sequence[str] = vocab.VERIFIERS, family: str = "single", keep: Sequence[str] = (), pending: str | None = None,
+    wording: DataFrame | None = None,
 ) -> DataFrame:
     """Prompt per rewrite and verifier, for the rewrites that pass the gate.
 
     ``pending`` names an array column with the verifiers to ask about each rewrite; without it
-    all of ``verifiers`` are.
+    all of ``verifiers`` are. ``wording`` as for ``generator_requests``.
     """
+    keep = _kept(keep, wording)
     single = family == "single"
     rows = verification_gate(rewrites, family).filter(col("verification_error").isNull())
-    rows = rows.join(F.broadcast(cell_briefs(rows.sparkSession, family)), ["perturbation_class", "intensity"])
+    rows = _with_briefs(rows, family, wording)
     branch = constraint_branch("original_answers" if single and "original_answers" in rewrites.columns else None)
     if single:
         fields = [c for c in _REWRITE if c in rewrites.columns]

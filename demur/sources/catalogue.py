@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +43,11 @@ def with_levers(df: DataFrame) -> DataFrame:
     )
 
 
-def lever_menu(levers: DataFrame) -> DataFrame:
-    """Per cell the numbered list of levers as shown to a model."""
+def lever_menu(levers: DataFrame, by: Sequence[str] = ("perturbation_class", "intensity")) -> DataFrame:
+    """Per cell (or cell and version) the numbered list of levers as shown to a model."""
     line = F.format_string("%d. **%s.** %s | %s", "lever_no", "name", "instruction", "illustration")
     lines = F.array_sort(F.collect_list(F.struct("lever_no", line.alias("line"))))  # at most 11 per cell
     return (
-        levers.groupBy("perturbation_class", "intensity").agg(lines.alias("lines"))
-        .select("perturbation_class", "intensity", F.array_join(F.col("lines.line"), "\n").alias("menu"), F.size("lines").alias("entries"))
+        levers.groupBy(*by).agg(lines.alias("lines"))
+        .select(*by, F.array_join(F.col("lines.line"), "\n").alias("menu"), F.size("lines").alias("entries"))
     )
