@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.metric_queries import board_sql, multi
+from checks.metric_queries import FRONTIER, MULTI, board_sql, multi
 from checks.record_queries import DONE, TYPE, VALID, log_of_cells, samples, texts
 from checks.registry import Data, query
 from checks.vote_queries import COMMON, KEPT, TASK, W, _counter, exact, originals, sample_sql
@@ -105,6 +105,28 @@ def _(d: Data):
     return table.select("model_id", col("total_instances").cast("bigint").alias("total_instances"))
 
 
+@query("cross_dataset_report", board_sql(f""", {MULTI}, {FRONTIER}, b AS (SELECT 'single' AS dataset, model_id, calibrated_refusal_score AS score FROM board UNION ALL SELECT 'multi', model_id, calibrated_refusal_score FROM mb),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, model_id) AS place FROM b)
+SELECT 'leaderboards' AS name, dataset, model_id, round(score, 9) AS score FROM b UNION ALL SELECT 'top', dataset, model_id, round(score, 9) FROM r WHERE place <= 2
+UNION ALL SELECT 'mean', dataset, NULL, round(avg(score), 9) FROM b GROUP BY dataset
+UNION ALL SELECT 'gap', NULL, NULL, round(avg(score) FILTER (WHERE dataset = 'single') - avg(score) FILTER (WHERE dataset = 'multi'), 9) FROM b"""))
+def _(d: Data):
+    """Every table of the report, read back."""
+    path = d.scratch()
+    reports.write_cross_dataset_report(d.results(), multi(d), path, k=2)
+
+    def table(name: str, kind: str, dataset, model, score: str):
+        rows = d.spark.read.option("header", True).csv(f"{path}/{name}")
+        return rows.select(F.lit(kind).alias("name"), dataset.alias("dataset"), model.alias("model_id"), F.round(col(score).cast("double"), 9).alias("score"))
+
+    none = F.lit(None).cast("string")
+    out = table("leaderboards", "leaderboards", col("dataset"), col("model_id"), "calibrated_refusal_score").unionByName(table("gap", "gap", none, none, "difference"))
+    for family in ("single", "multi"):
+        out = out.unionByName(table(f"top_{family}", "top", F.lit(family), col("model_id"), "calibrated_refusal_score"))
+        out = out.unionByName(table(f"summary_{family}", "mean", F.lit(family), none, "mean_crs"))
+    return out
+
+
 @query("write_dataset", sample_sql() + "SELECT generator_model, count(*) AS sample_count FROM samp GROUP BY generator_model")
 def _(d: Data):
     path = d.scratch()

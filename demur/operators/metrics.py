@@ -161,7 +161,7 @@ def ranked_leaderboard(results: DataFrame) -> DataFrame:
     return leaderboard(results).orderBy(F.desc("calibrated_refusal_score"), "model_id")
 
 
-def frontier_leaderboard(results: DataFrame, models: Sequence[str] = vocab.FRONTIER_MODELS) -> DataFrame:
+def frontier_leaderboard(results: DataFrame, models: Sequence[str]) -> DataFrame:
     """The leaderboard of a named list; the filter reaches the scan."""
     return leaderboard(results.filter(col("model_id").isin(*models)))
 
@@ -388,7 +388,8 @@ def coverage_matrix(results: DataFrame, by: str = "code") -> DataFrame:
 _COMPARED = ("answer_accuracy", "refusal_accuracy", "calibrated_refusal_score")
 
 
-def scaling_table(board: DataFrame, sizes: Mapping[str, int] = vocab.MODEL_SIZES) -> DataFrame:
+def scaling_table(board: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
+    """The compared metrics beside each model's size in billions of parameters; models without a size are left out."""
     size = literal_table(board.sparkSession, ("model_id", "size_b"), list(sizes.items()))
     return board.join(size, "model_id").select("model_id", "size_b", *_COMPARED)
 
@@ -417,7 +418,7 @@ def metric_pairs(board: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFram
     )
 
 
-def budget_deltas(board: DataFrame, a: str = vocab.BUDGET_PAIR[0], b: str = vocab.BUDGET_PAIR[1]) -> DataFrame:
+def budget_deltas(board: DataFrame, a: str, b: str) -> DataFrame:
     """Percentage points gained by model b over model a."""
     return metric_pairs(board, [(a, b)]).select(
         "base_model", "other_model",
@@ -425,7 +426,7 @@ def budget_deltas(board: DataFrame, a: str = vocab.BUDGET_PAIR[0], b: str = voca
     )
 
 
-def alignment_pairs(board: DataFrame, pairs: Sequence[tuple[str, str]] = vocab.TUNED_PAIRS) -> DataFrame:
+def alignment_pairs(board: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Gain of each tuned model over its base, and the mean gain on a last row."""
     gains = metric_pairs(board, pairs).select(
         "base_model", "other_model", *[(col(f"other_{m}") - col(f"base_{m}")).alias(f"{m}_gain") for m in _COMPARED]

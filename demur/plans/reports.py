@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 
 from demur.operators import analysis, metrics, multidoc, voting
@@ -9,7 +12,31 @@ from demur.plans.shared import discard, materialise
 from demur.sources import sinks
 
 
-def metric_tables(results: DataFrame) -> dict[str, DataFrame]:
+@dataclass(frozen=True)
+class Comparisons:
+    """Which models of a run are compared by name. The table of a field that is not given is left out."""
+
+    frontier: Sequence[str] = ()
+    #: billions of parameters
+    sizes: Mapping[str, int] = field(default_factory=dict)
+    #: without and with a reasoning budget
+    budget: tuple[str, str] | None = None
+    #: base and tuned models
+    tuned: Sequence[tuple[str, str]] = ()
+
+
+def _compared(board: DataFrame, compare: Comparisons) -> dict[str, DataFrame]:
+    tables = {}
+    if compare.sizes:
+        tables["scaling"] = metrics.scaling_table(board, compare.sizes)
+    if compare.budget:
+        tables["budget"] = metrics.budget_deltas(board, *compare.budget)
+    if compare.tuned:
+        tables["alignment"] = metrics.alignment_pairs(board, compare.tuned)
+    return tables
+
+
+def metric_tables(results: DataFrame, compare: Comparisons = Comparisons()) -> dict[str, DataFrame]:
     """Single-document tables. Pass ``condense(results)`` to read the results once."""
     board = metrics.leaderboard(results)
     tables = {
@@ -24,10 +51,9 @@ def metric_tables(results: DataFrame) -> dict[str, DataFrame]:
         "coverage_by_class": metrics.coverage_matrix(results, by="class"),
         "detailed": metrics.detailed_results(results),
         "summary": metrics.dataset_summary(board),
-        "scaling": metrics.scaling_table(board),
-        "budget": metrics.budget_deltas(board),
-        "alignment": metrics.alignment_pairs(board),
-    }
+    } | _compared(board, compare)
+    if compare.frontier:
+        tables["frontier"] = metrics.frontier_leaderboard(results, compare.frontier)
     if "confidence_level" in results.columns:
         tables |= {
             "calibration": metrics.calibration_error(results),
@@ -78,10 +104,22 @@ def agreement_tables(aligned: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_metric_report(results: DataFrame, path: str) -> None:
+def cross_dataset_tables(single: DataFrame, multi: DataFrame, k: int = 3) -> dict[str, DataFrame]:
+    """Both dataset families side by side, from the leaderboard of each (a row per model)."""
+    return {
+        "leaderboards": metrics.summary_table(single, multi),
+        "gap": metrics.cross_dataset_gap(single, multi),
+        "summary_single": metrics.dataset_summary(single),
+        "summary_multi": metrics.dataset_summary(multi, answer="answer_quality_score"),
+        "top_single": metrics.dataset_top(single, k),
+        "top_multi": metrics.dataset_top(multi, k),
+    }
+
+
+def write_metric_report(results: DataFrame, path: str, compare: Comparisons = Comparisons()) -> None:
     """Every single-document table as CSV, from counts taken in one pass over the results."""
     counts = materialise(metrics.condense(results), "counts")
-    for name, table in metric_tables(counts).items():
+    for name, table in metric_tables(counts, compare).items():
         sinks.write_csv(table, f"{path}/{name}")
     discard(counts)
 
@@ -103,3 +141,12 @@ def write_multidoc_report(results: DataFrame, path: str) -> None:
     }
     for name, table in tables.items():
         sinks.write_csv(table, f"{path}/{name}")
+
+
+def write_cross_dataset_report(single: DataFrame, multi: DataFrame, path: str, k: int = 3) -> None:
+    """The tables that compare single-document with multi-document results, as CSV; each result table is read once."""
+    boards = [materialise(metrics.leaderboard(single), "board-single"), materialise(multidoc.multidoc_frontier(multi), "board-multi")]
+    for name, table in cross_dataset_tables(*boards, k).items():
+        sinks.write_csv(table, f"{path}/{name}")
+    for board in boards:
+        discard(board)

@@ -78,31 +78,6 @@ GENERATOR_SHORT = {
     "amazon-nova-pro": "nova",
 }
 
-FRONTIER_MODELS = (
-    "bedrock/us.anthropic.claude-3-5-sonnet-20241022-v2:0",
-    "bedrock/us.anthropic.claude-sonnet-4-20250514-v1:0",
-    "bedrock/us.anthropic.claude-opus-4-20250514-v1:0",
-    "openai/gpt-4o-2024-08-06",
-    "openai/gpt-4.1-2025-04-14",
-    "openai/o4-mini-2025-04-16",
-    "bedrock/us.amazon.nova-pro-v1:0",
-    "bedrock/converse/us.amazon.nova-premier-v1:0",
-    "bedrock/converse/us.deepseek.r1-v1:0",
-)
-# model -> size in billions of parameters
-MODEL_SIZES = {
-    "Llama-3-8B": 8,
-    "Llama-3-70B": 70,
-    "Mistral-7B": 7,
-    "Mixtral-8x7B": 56,
-}
-# reasoning-budget pair (without, with) and (base, tuned) pairs
-BUDGET_PAIR = ("claude-3-5-sonnet-20241022-0", "claude-3-5-sonnet-20241022-4000")
-TUNED_PAIRS = (
-    ("OLMo-7B-SFT", "OLMo-7B-0424-DPO-preferred"),
-    ("OLMo-7B-0724-SFT", "OLMo-7B-0724-DPO-preferred"),
-)
-
 # --- fixed values: calibration ------------------------------------------------
 # stated confidence level -> probability range
 CONFIDENCE_RANGES = {

@@ -37,9 +37,23 @@ def plain(tables):
     return {n: t for n, t in tables.items() if not any(f.dataType.typeName() in ("array", "map", "struct") for f in t.schema)}
 
 
+COMPARE = reports.Comparisons(["model_1", "model_3"], {"model_0": 7, "model_4": 70}, ("model_1", "model_4"), [("model_0", "model_1"), ("model_2", "model_3")])
+
+
 def test_metric_report(spark, data, tmp_path):
-    reports.write_metric_report(data.results(), str(tmp_path))
-    assert_same(spark, plain(reports.metric_tables(M.condense(data.results()))), str(tmp_path))
+    reports.write_metric_report(data.results(), str(tmp_path), COMPARE)
+    tables = reports.metric_tables(M.condense(data.results()), COMPARE)
+    assert {"scaling", "budget", "alignment", "frontier"} <= set(tables) and tables["alignment"].count() == 3
+    assert_same(spark, plain(tables), str(tmp_path))
+    assert not {"scaling", "budget", "alignment", "frontier"} & set(reports.metric_tables(M.condense(data.results())))
+
+
+def test_cross_dataset_report(spark, data, tmp_path):
+    results = multi(data)
+    reports.write_cross_dataset_report(data.results(), results, str(tmp_path), k=2)
+    tables = reports.cross_dataset_tables(M.leaderboard(data.results()), MD.multidoc_frontier(results), k=2)
+    assert tables["leaderboards"].count() == 10 and tables["top_multi"].count() == 2
+    assert_same(spark, tables, str(tmp_path))
 
 
 def test_agreement_report(spark, data, tmp_path):
