@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from checks.metric_queries import MODELS
@@ -340,6 +342,17 @@ def _(d: Data):
     return asked(d).select("request_id", "response", "error", "pending")
 
 
+@query("stamped_time", "SELECT line_no, generator_model, verifier_model, TRUE AS within, 26::INT AS length FROM verifications")
+def _(d: Data):
+    """The provenance time lies between the start of the job and now; it is the same in all rows of a write."""
+    start = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    rows = UN.stamp(d.votes())
+    at = F.to_timestamp("formatted_timestamp", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    earliest = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.lit(start).cast("timestamp_ntz")).cast("timestamp")
+    within = (at >= earliest) & (at <= F.current_timestamp())
+    return rows.select("line_no", "generator_model", "verifier_model", within.alias("within"), F.length("formatted_timestamp").alias("length"))
+
+
 CODES = ("REFUSE_AMBIGUOUS_QUERY", "REFUSE_CONTRADICTORY_CONTEXT", "REFUSE_INFO_MISSING_IN_CONTEXT", "REFUSE_FALSE_PREMISE_IN_QUERY",
          "REFUSE_GRANULARITY_MISMATCH", "REFUSE_NONFACTUAL_QUERY", "REFUSE_OTHER")
 FIRST_CODE = "CASE " + " ".join(f"WHEN contains(upper(response), '{c}') THEN '{c}'" for c in CODES) + " ELSE 'answer_attempt' END"
