@@ -347,7 +347,7 @@ def _(d: Data):
     """The provenance time lies between the start of the job and now; it is the same in all rows of a write."""
     start = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     rows = UN.stamp(d.votes())
-    at = F.to_timestamp("formatted_timestamp", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    at = F.to_timestamp("formatted_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     earliest = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.lit(start).cast("timestamp_ntz")).cast("timestamp")
     within = (at >= earliest) & (at <= F.current_timestamp())
     return rows.select("line_no", "generator_model", "verifier_model", within.alias("within"), F.length("formatted_timestamp").alias("length"))
