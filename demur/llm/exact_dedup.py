@@ -1,14 +1,19 @@
 """Exact deduplication by two passes over a Bloom filter, with DataFrame functions only.
 
-Pass one sets two bits per text and notes which bits were set more than once. Pass two
-looks up the two bits of every text: unless both were set again, no equal text exists, and
-the row passes straight through. Only the others, whose hashes are possibly repeated, are
-shuffled by their digest.
+Pass one sets a bit per text and notes which bits were set more than once. Pass two looks
+up the bit of every text: unless it was set again, no equal text exists, and the row passes
+straight through. Only the others, whose hashes are possibly repeated, are shuffled by
+their digest.
 
-The filter has ``BITS_PER_ROW`` bits for every row, ``MAX_BITS`` at most, so what is
-broadcast has a fixed bound of MAX_BITS / 8 bytes (64 MB). Beyond MAX_BITS / BITS_PER_ROW
-(33 million) rows it fills up, more rows take the shuffle, and the result stays the same: a
-shuffled row has 40 bytes, never its text.
+Bits are counted per task first; (bit, count) crosses to the other tasks, never the row. The
+filter has one probe: a second one would send another bit of every row, to spare the shuffle
+about one row in twenty.
+
+The filter has ``BITS_PER_ROW`` bits for every row, so that about one unrepeated row in
+sixteen is shuffled. What is broadcast is bounded by MAX_BITS / 8 bytes (64 MB): beyond
+MAX_BITS / BITS_PER_ROW (33 million) rows the hashes are cut into ranges with a filter each,
+one after the other. Digests are written sorted by hash within each task, so a pass reads
+the pages of its range only, and all passes together read the digests once more.
 
 Groups of any size are pre-aggregated per task and per salt, then looked up by (digest,
 salt), so that a text holding a third of all rows is dealt to ``SALTS`` tasks.
@@ -16,6 +21,8 @@ salt), so that a text holding a third of all rows is dealt to ``SALTS`` tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,54 +33,64 @@ MAX_BITS = 1 << 29
 SALTS = 64
 
 
-def _probes(text: Column) -> dict[str, Column]:
-    return {"probe_0": F.xxhash64(text), "probe_1": F.xxhash64(F.lit(1), text)}
-
-
 def _digests(docs: DataFrame, text: str, ident: str) -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     narrow = docs.select(F.col(ident).alias("doc_id"), t.alias("t"))
-    return narrow.select("doc_id", F.unhex(F.sha2("t", 256)).alias("digest"), *[c.alias(n) for n, c in _probes(F.col("t")).items()])
+    return narrow.select("doc_id", F.unhex(F.sha2("t", 256)).alias("digest"), F.xxhash64("t").alias("probe"))
+
 
+def _ranges(rows: int, max_bits: int) -> tuple[int, list[tuple[int, int]]]:
+    """Bits of a filter, and the ranges of the hash (both ends within) that get one each."""
+    n = max(1, -(-rows * BITS_PER_ROW // max_bits))
+    bits = min(max_bits, max(1 << 15, -(-rows * BITS_PER_ROW // n)))
+    ends = [-(1 << 63) + (1 << 64) * k // n for k in range(n + 1)]
+    return bits, [(lo, hi - 1) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
 
-def _bit(probe: str, bits: int) -> Column:
-    return F.pmod(F.col(probe), F.lit(bits)) + 1
+
+def _bit(bits: int) -> Column:
+    # hashed again: within a range the leading digits agree
+    return F.pmod(F.xxhash64("probe"), F.lit(bits)) + 1
 
 
 def repeated_bits(hashed: DataFrame, bits: int) -> DataFrame:
     """Pass one: the bits that were set more than once, as bitmaps of 4 KB."""
-    both = hashed.select(F.explode(F.array(_bit("probe_0", bits), _bit("probe_1", bits))).alias("bit"))
-    again = both.groupBy("bit").agg(F.count("*").alias("n")).filter("n > 1")
+    again = hashed.groupBy(_bit(bits).alias("bit")).agg(F.count("*").alias("n")).filter("n > 1")
     return again.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
 
 
-def _looked_up(hashed: DataFrame, filters: DataFrame, probe: str, bits: int) -> DataFrame:
-    bit = _bit(probe, bits)
-    position = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(_position div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    is_set = F.coalesce(F.getbit(byte, (F.col("_position") % 8).cast("int")) == 1, F.lit(False))
+def _looked_up(hashed: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
+    """Pass two: adds ``maybe``, false where no equal text exists."""
+    position = F.bitmap_bit_position(_bit(bits))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(position div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (F.col("position") % 8).cast("int")) == 1, F.lit(False))
     # at most MAX_BITS / 8 bytes, whatever the input
-    joined = hashed.withColumns({"bucket": F.bitmap_bucket_number(bit), "_position": position}).join(F.broadcast(filters), "bucket", "left")
-    return joined.withColumn(f"hit_{probe}", is_set).drop("bucket", "bitmap", "_position")
+    joined = hashed.withColumns({"bucket": F.bitmap_bucket_number(_bit(bits)), "position": position}).join(F.broadcast(filters), "bucket", "left")
+    return joined.select("doc_id", "digest", "row", is_set.alias("maybe"))
+
 
+def _probed(hashed: DataFrame, max_bits: int) -> DataFrame:
+    bits, ranges = _ranges(hashed.count(), max_bits)
+    parts = []
+    for lo, hi in ranges:
+        part = hashed.filter(F.col("probe").between(lo, hi)) if len(ranges) > 1 else hashed
+        filters = stored(repeated_bits(part, bits), "repeated-bits")
+        parts.append(stored(_looked_up(part, filters, bits), "probed"))
+        forget(filters)
+    return reduce(DataFrame.unionByName, parts)
 
-def exact_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+
+def exact_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
     """Which rows hold the same text, and which of them stays.
 
     One row per input row: ``doc_id``, ``keep_id`` (largest id of the equal texts),
     ``group_size``, ``kept``, ``text_sha256``. A null text counts as empty. Rows that agree
     in id and text are copies as well, and one of them is kept. A null id is smaller than
-    any other. Other columns are not looked at.
+    any other. Other columns are not looked at. ``max_bits`` bounds the broadcast filter.
     """
-    hashed = stored(_digests(docs, text, ident).withColumn("row", F.monotonically_increasing_id()), "digests")
-    bits = min(MAX_BITS, max(1 << 15, BITS_PER_ROW * hashed.count()))
-    filters = stored(repeated_bits(hashed, bits), "repeated-bits")
-    probed = hashed
-    for probe in ("probe_0", "probe_1"):
-        probed = _looked_up(probed, filters, probe, bits)
-    probed = stored(
-        probed.select("doc_id", "digest", "row", (F.col("hit_probe_0") & F.col("hit_probe_1")).alias("maybe")), "probed"
-    )
+    hashed = _digests(docs, text, ident).withColumn("row", F.monotonically_increasing_id())
+    hashed = stored(hashed.sortWithinPartitions("probe"), "digests")
+    probed = _probed(hashed, max_bits)
+    forget(hashed)
     alone = probed.filter(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
@@ -86,7 +103,6 @@ def exact_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> D
     grouped = maybe.join(per_salt, ["digest", "salt"]).select(
         "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "digest"
     )
-    forget(hashed, filters)
     return alone.unionByName(grouped).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )

@@ -239,14 +239,40 @@ def test_items_found_in_long_documents(spark):
         assert len(found) == len(want)
 
 
+def _decided(rows, **options):
+    return {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(rows, **options).collect()}
+
+
 def test_exact_dedup_with_a_full_filter(spark, monkeypatch):
     """When all bits are set every row is shuffled, and nothing else changes."""
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 3000).cast("string").alias("text"))
-    want = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(rows).collect()}
-    monkeypatch.setattr(exact_dedup, "MAX_BITS", 64)
-    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(rows).collect()}
-    assert got == want
+    want = _decided(rows)
     assert sum(k for *_, k in want) == 3000
+    monkeypatch.setattr(exact_dedup, "_ranges", lambda rows, max_bits: (64, [(-(1 << 63), (1 << 63) - 1)]))
+    assert _decided(rows) == want
+
+
+def test_exact_dedup_in_ranges_of_the_hash(spark):
+    """A bounded filter for each range finds what one large filter finds."""
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 3000).cast("string").alias("text"))
+    bits, ranges = exact_dedup._ranges(5000, 1 << 14)
+    assert bits <= 1 << 14 and len(ranges) == 5
+    assert ranges[0][0] == -(1 << 63) and ranges[-1][1] == (1 << 63) - 1
+    assert all(hi + 1 == lo for (_, hi), (lo, _) in zip(ranges[:-1], ranges[1:], strict=True))
+    assert _decided(rows, max_bits=1 << 14) == _decided(rows)
+
+
+def test_exact_dedup_shuffles_possibly_repeated_rows_only(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.greatest(F.col("id"), F.lit(100)).cast("string").alias("text"))
+    hashed = exact_dedup._digests(rows, "text", "doc_id").withColumn("row", F.monotonically_increasing_id())
+    for max_bits in (exact_dedup.MAX_BITS, 1 << 18):  # one range, three ranges
+        probed = exact_dedup._probed(hashed, max_bits)
+        maybe = {r["doc_id"] for r in probed.filter("maybe").collect()}
+        assert set(range(101)) <= maybe and len(maybe) < 0.09 * 40_000
+        assert probed.count() == 40_000
+    # pass one sends a bit and its count
+    plan = exact_dedup.repeated_bits(hashed, 1 << 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "sha2" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
 def test_languages_of_held_out_documents(spark):
