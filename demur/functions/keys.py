@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from demur import vocab
 from demur.functions.columns import col, joined, unambiguous, value_of
+from demur.plans.shared import discard, materialise
 
 CONTENT_FIELDS = ("source_qid", "perturbed_query", "perturbed_context", "perturbation_class", "intensity", "lever_selected")
 BARS = "|||"
@@ -115,12 +116,19 @@ _HASHED = {
 }
 
 
+#: rows of about 60 bytes
+LATER_BROADCAST = 500_000
+
+
 def unique_key(df: DataFrame, variant: str = "stratified", ident: str | Column = "content_key", name: str = "unique_id") -> DataFrame:
     """Add a printable primary key ending in an ordinal.
 
     The ordinal tells apart rows that agree in everything before it, among them a digest of
-    the content, so nearly all rows have the first. It is counted on (prefix, ident) alone
-    and only ordinals from the second on are joined back: no text passes a window.
+    the content, so nearly all rows have the first. It is counted on (prefix, ident) alone;
+    the ordinals from the second on are written first, so their number is known: none need no
+    join, up to ``LATER_BROADCAST`` are broadcast. No text passes a window, and none is
+    shuffled unless there are more. The rows are computed once for the count and once for
+    the result; write them before where that is more than a scan.
     """
     if variant == "multi":
         df = df.withColumns({
@@ -134,7 +142,13 @@ def unique_key(df: DataFrame, variant: str = "stratified", ident: str | Column =
     prefix = F.concat_ws("_", F.lit("RB"), *parts, digest)
     out = df.withColumns({"_prefix": prefix, "_ident": col(ident).cast("string")})
     place = F.row_number().over(Window.partitionBy("_prefix").orderBy("_ident"))
-    later = out.select("_prefix", "_ident").distinct().withColumn("_n", place).filter("_n > 1")
-    out = out.join(later, ["_prefix", "_ident"], "left")
+    later = materialise(out.select("_prefix", "_ident").distinct().withColumn("_n", place).filter("_n > 1"), "ordinals")
+    n_later = later.limit(LATER_BROADCAST + 1).count()
+    if n_later:
+        later = F.broadcast(later) if n_later <= LATER_BROADCAST else later
+        out = out.join(later, ["_prefix", "_ident"], "left")
+    else:
+        discard(later)
+        out = out.withColumn("_n", F.lit(None).cast("int"))
     out = out.withColumn(name, F.concat_ws("_", "_prefix", F.format_string("%04d", F.coalesce("_n", F.lit(1)))))
     return out.drop("_prefix", "_ident", "_n", "signal_text", "noise_text")

@@ -11,6 +11,7 @@ from demur import vocab
 from demur.functions.columns import col, value_of
 from demur.functions.keys import CONTENT_FIELDS, content_key, generator_short_name, stratum_key, task_id, unique_key
 from demur.operators.sampling import dedupe_last
+from demur.plans.shared import materialise
 
 _OPTIONAL = {
     "original_answers": "array<string>", "expected_rag_behavior": "string", "parsing_successful": "boolean",
@@ -72,7 +73,9 @@ def unified_record(
     folder = {vocab.GENERATOR_SHORT[name]: f for f, name in vocab.GENERATOR_FOLDERS.items()}
     joined = records.drop("verifier_ord").join(wanted, ["generator_model", "content_key", "line_no"])
     short = generator_short_name("generator_model")
-    keyed = unique_key(joined.withColumn("task_id", task_id()), "stratified" if strategy == "stratified" else "task")
+    # the key reads its rows twice: written, so that the texts are fetched once
+    joined = materialise(joined.withColumn("task_id", task_id()), "records")
+    keyed = unique_key(joined, "stratified" if strategy == "stratified" else "task")
     return keyed.select(
         "unique_id", (F.lit("stratified_no_task_matching") if strategy == "stratified" else col("task_id")).alias("task_id"),
         "source_qid", short.alias("generator_model"), F.coalesce(value_of(full, "generator_model"), col("generator_model")).alias("generator_model_full"),

@@ -48,7 +48,7 @@ def multi_dataset(
     content = multi_content_fields()
     kept = materialise(voting.generation_success_filter(voting.agreed(voting.align(votes, content), mode)), "kept")
     sample = materialise(sampling.stratified_sample(kept, per_stratum=per_stratum, target=target, seed=seed), "sample")
-    rows = unique_key(voting.representatives(votes, sample, content), "multi")
+    rows = unique_key(materialise(voting.representatives(votes, sample, content), "records"), "multi")
     short = generator_short_name("generator_model")
     full = {name: long for long, name in vocab.GENERATOR_SHORT.items()}
     metadata = F.struct("perturbation_class", "intensity", "lever_selected", "generation_successful", "source_qid", "expected_rag_behavior")
@@ -87,7 +87,7 @@ def reference_dataset(votes: DataFrame, originals: DataFrame, mode: str = "all_a
     if "implementation_reasoning" not in found.columns:
         found = found.withColumn("implementation_reasoning", F.lit(None).cast("string"))
     label = col("final_ground_truth_label") if "final_ground_truth_label" in found.columns else F.lit(None).cast("string")
-    return unique_key(found, "reference").withColumns({
+    return unique_key(materialise(found, "records"), "reference").withColumns({
         "query": col("perturbed_query"), "ground_truth_label": F.coalesce(label, F.lit("")), "agreement_mode_used": F.lit(mode),
     })
 

@@ -212,6 +212,19 @@ def test_unique_keys_are_unique_beyond_four_digits(spark):
     assert out.filter("unique_id RLIKE '^RB_gpt_q_P-Ambiguity_LOW_[0-9a-f]{8}_[0-9]{4,}$'").count() == 15000
 
 
+def test_unique_keys_move_no_texts(spark):
+    """With and without repeated prefixes there is no exchange above the rows."""
+    rows = spark.range(3000).select(
+        F.lit("gpt-4o").alias("generator_model"), F.concat(F.lit("q"), F.col("id") % 2999).alias("source_qid"), F.lit("P-Ambiguity").alias("perturbation_class"),
+        F.lit("LOW").alias("intensity"), F.lit("pq").alias("perturbed_query"), F.lit("pc").alias("perturbed_context"), F.col("id").cast("string").alias("content_key"),
+    )
+    for part, later in ((rows, 1), (rows.filter("id < 2999"), 0)):
+        out = K.unique_key(part)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and ("BroadcastHashJoin" in plan) == bool(later)
+        assert out.filter("unique_id LIKE '%_0002'").count() == later
+
+
 # --- passages --------------------------------------------------------------------------------------
 
 
