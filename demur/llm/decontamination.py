@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demur.llm.common import id_and_text, small_batches, stored
+from demur.llm.common import id_and_text, small_batches, stored, with_maybe
 from demur.llm.shingling import counted, shingles
 
 THRESHOLD = 0.8
@@ -145,9 +145,14 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _joined(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The same search for any number of items: signatures meet in a join. Adds the text's ``digest``."""
+    """The same search for any number of items: signatures meet in a join. Adds the text's ``digest``.
+
+    Broadcast filters of the items' values, then of the rows with candidates, spare the
+    shuffles most other values and texts; the joins decide.
+    """
     texts = stored(id_and_text(docs).withColumn("row", F.monotonically_increasing_id()), "texts")
     sets = stored(sets.withColumn("item", F.monotonically_increasing_id()), "items")
+    has_tiny = bool(sets.filter(F.length("shingles") < 8 * TINY).limit(1).count())
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -157,7 +162,10 @@ def _joined(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             exponent = size_class(np.bincount(owner, minlength=batch.num_rows))[owner]
             minima = bin_minima(owner, hashes, exponent)
             row = batch.column("row").to_numpy()
-            for keep, e in ((minima, exponent[minima]), (np.ones(len(owner), bool), np.full(len(owner), -1))):
+            forms = [(minima, exponent[minima])]
+            if has_tiny:
+                forms.append((np.ones(len(owner), bool), np.full(len(owner), -1)))
+            for keep, e in forms:
                 yield pa.RecordBatch.from_pydict({"class": e.astype(np.int32), "value": hashes[keep].view(np.int64), "row": row[owner[keep]]})
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +178,12 @@ def _joined(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                         "class": np.full(len(own), e, np.int32), "value": own.view(np.int64), "item": np.full(len(own), item)
                     })
 
-    left = texts.mapInArrow(of_docs, "class int, value long, row long")
-    right = sets.mapInArrow(of_items, "class int, value long, item long")
-    pairs = left.join(right, ["class", "value"]).select("row", "item").distinct()
-    both = pairs.join(texts, "row").join(sets, "item").select(
+    right = stored(sets.mapInArrow(of_items, "class int, value long, item long"), "item-values")
+    value = F.xxhash64("class", "value")
+    left = with_maybe(texts.mapInArrow(of_docs, "class int, value long, row long"), value, right.select(value)).filter("_maybe")
+    pairs = stored(left.join(right, ["class", "value"]).select("row", "item").distinct(), "candidates")
+    near = with_maybe(texts, F.col("row"), pairs.select("row")).filter("_maybe")
+    both = pairs.join(near.select("row", "doc_id", "text"), "row").join(sets, "item").select(
         "doc_id", "text", "item_id", "shingles", F.sha2("text", 256).alias("digest")
     )
 

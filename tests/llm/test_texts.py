@@ -239,6 +239,19 @@ def test_items_found_in_long_documents(spark):
         assert len(found) == len(want)
 
 
+def test_items_are_found_by_joining_without_tiny_ones(spark):
+    """Without items below TINY shingles the second form is not made, and nothing is lost."""
+    words = [f"w{i}" for i in range(400)]
+    random.seed(11)
+    items = [(i, " ".join(random.choices(words, k=random.randint(40, 70)))) for i in range(30)]
+    docs = [(k, " ".join(random.choices(words, k=50) + (items[k][1].split() if k < 30 else []) + random.choices(words, k=50 * (k % 5)))) for k in range(60)]
+    docs.append((None, docs[3][1]))
+    want = _contained(docs, items)
+    assert len(want) > 30
+    found = decontamination.find_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), broadcast_shingles=0).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in found} == want
+
+
 def _decided(rows, **options):
     return {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(rows, **options).collect()}
 
