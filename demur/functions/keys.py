@@ -145,7 +145,7 @@ def unique_key(df: DataFrame, variant: str = "stratified", ident: str | Column =
     later = materialise(out.select("_prefix", "_ident").distinct().withColumn("_n", place).filter("_n > 1"), "ordinals")
     n_later = later.limit(LATER_BROADCAST + 1).count()
     if n_later:
-        later = F.broadcast(later) if n_later <= LATER_BROADCAST else later
+        later = F.broadcast(later) if n_later <= LATER_BROADCAST else later.hint("merge")
         out = out.join(later, ["_prefix", "_ident"], "left")
     else:
         discard(later)

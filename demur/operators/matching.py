@@ -42,7 +42,7 @@ def remaining(samples: DataFrame, done: DataFrame, models: Sequence[str], ident:
         .groupBy(ident).agg(F.collect_set("model_id").alias("_done"))  # at most len(models) values
     )
     todo = F.array_except(literal_array(models), F.coalesce("_done", F.array().cast("array<string>")))
-    return samples.join(finished, ident, "left").withColumn("model_id", F.explode(todo)).drop("_done")
+    return samples.join(finished.hint("merge"), ident, "left").withColumn("model_id", F.explode(todo)).drop("_done")
 
 
 #: keys that are broadcast, at about 100 bytes each
@@ -53,11 +53,12 @@ def _with_finished(rewrites: DataFrame, key: Column, finished: DataFrame, every:
     """Rewrites that miss some of the bits of ``every``, with the bits they have as ``_mask``; no text is shuffled
     while either the unfinished keys or those with anything finished can be broadcast.
 
-    What is unfinished is found on keys alone and written. Only where both kinds of key are
+    What is unfinished is found on keys alone, in a shuffle (the planner does not know how many
+    keys a log has), and written. Only where both kinds of key are
     very many do the rewrites themselves meet them in a shuffle.
     """
     keys = rewrites.select(key.alias("_key")).distinct()
-    state = keys.join(finished, "_key", "left").withColumn("_mask", F.coalesce("_mask", F.lit(0)))
+    state = keys.join(finished.hint("merge"), "_key", "left").withColumn("_mask", F.coalesce("_mask", F.lit(0)))
     state = materialise(state, "resume")
     unfinished, touched = state.filter(col("_mask") != every), state.filter(col("_mask") != 0)
     n_unfinished, n_touched = state.agg(F.count_if(col("_mask") != every), F.count_if(col("_mask") != 0)).first()
@@ -65,7 +66,7 @@ def _with_finished(rewrites: DataFrame, key: Column, finished: DataFrame, every:
     if n_touched <= MAX_KEYS and n_touched < n_unfinished:
         joined = keyed.join(F.broadcast(touched), "_key", "left").withColumn("_mask", F.coalesce("_mask", F.lit(0)))
         return joined.filter(col("_mask") != every).drop("_key")
-    right = F.broadcast(unfinished) if n_unfinished <= MAX_KEYS else unfinished
+    right = F.broadcast(unfinished) if n_unfinished <= MAX_KEYS else unfinished.hint("merge")
     return keyed.join(right, "_key").drop("_key")
 
 
@@ -115,7 +116,7 @@ def missing_cells(instances: DataFrame, done: DataFrame, target: int | None = No
     missing; it is passed over.
     """
     finished = finished_cells(done)
-    joined = instances.join(finished.withColumnRenamed("source_qid", ident), ident, "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    joined = instances.join(finished.withColumnRenamed("source_qid", ident).hint("merge"), ident, "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
     todo = F.filter(
         F.transform(_cells(), lambda c, i: F.struct(c["perturbation_class"], c["intensity"], i.alias("i"))),
         lambda c: F.call_function("shiftright", col("mask"), c["i"]).bitwiseAND(F.lit(1)) == 0,
@@ -137,13 +138,14 @@ def attach(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Requests with their replies by request_id; without a reply a request is pending.
 
     Of several replies to one request the last successful one counts, by ``seq`` where the
-    replies have it (without it by their text, which at least is repeatable).
+    replies have it (without it by their text, which at least is repeatable). Replies are as
+    many as requests, so both meet in a shuffle.
     """
     error = col("error") if "error" in responses.columns else F.lit(None).cast("string")
     seq = col("seq") if "seq" in responses.columns else F.lit(0)
     reply = F.struct(error.isNull().alias("ok"), seq.alias("seq"), "response", error.alias("error"))
     replies = responses.groupBy("request_id").agg(F.max(reply).alias("_reply"))
-    joined = requests.join(replies, "request_id", "left")
+    joined = requests.join(replies.hint("merge"), "request_id", "left")
     return joined.withColumns({
         "response": col("_reply.response"), "error": col("_reply.error"), "pending": col("_reply").isNull()
     }).drop("_reply")

@@ -11,7 +11,7 @@ from demur import vocab
 from demur.functions.columns import col, value_of
 from demur.functions.keys import CONTENT_FIELDS, content_key, generator_short_name, stratum_key, task_id, unique_key
 from demur.operators.sampling import dedupe_last
-from demur.plans.shared import materialise
+from demur.plans.shared import join_way, materialise
 
 _OPTIONAL = {
     "original_answers": "array<string>", "expected_rag_behavior": "string", "parsing_successful": "boolean",
@@ -71,7 +71,7 @@ def unified_record(
     records = _with_optional(votes.filter(col("verifier_model") == verifiers[0])).withColumn("content_key", content_key(content))
     full = {short: name for name, short in vocab.GENERATOR_SHORT.items()}
     folder = {vocab.GENERATOR_SHORT[name]: f for f, name in vocab.GENERATOR_FOLDERS.items()}
-    joined = records.drop("verifier_ord").join(wanted, ["generator_model", "content_key", "line_no"])
+    joined = records.drop("verifier_ord").join(wanted.hint(join_way(kept)), ["generator_model", "content_key", "line_no"])
     short = generator_short_name("generator_model")
     # the key reads its rows twice: written, so that the texts are fetched once
     joined = materialise(joined.withColumn("task_id", task_id()), "records")
@@ -106,11 +106,12 @@ def join_original(df: DataFrame, originals: DataFrame, seq: str = "line_no") ->
     On a repeated qid the last line wins, an empty qid is ignored. Both sides are dealt out
     for the join itself, by the qid and its hash: the partitions that the deduplication
     leaves are not reused, as adaptive execution splits a question with very many rewrites
-    only where both sides come straight from a shuffle.
+    only where both sides come straight from a shuffle. The base is never gathered on the
+    driver: its computed size is not known to the planner.
     """
     base = dedupe_last(originals.filter(F.length("qid") > 0), ["qid"], seq).drop(seq)
     fields = [col(c).alias(f"original_{c}" if c in df.columns else c) for c in base.columns]
-    right = base.select(*fields, F.xxhash64("qid").alias("_right"), F.lit(True).alias("has_original"))
+    right = base.select(*fields, F.xxhash64("qid").alias("_right"), F.lit(True).alias("has_original")).hint("merge")
     left = df.withColumn("_left", F.xxhash64("source_qid"))
     joined = left.join(right, (left["source_qid"] == right["qid"]) & (left["_left"] == right["_right"]), "left").drop("_left", "_right")
     return joined.withColumns({

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from demur import vocab
 from demur.functions.columns import col, only_value, percent, value_of
 from demur.functions.keys import CONTENT_FIELDS, content_key, generator_short_name, task_key
+from demur.plans.shared import join_way
 
 GROUP = ("generator_model", "content_key", "source_qid", "perturbation_class", "intensity", "lever_selected")
 
@@ -235,14 +236,16 @@ def base_verification(votes: DataFrame, aligned: DataFrame, content: Sequence[st
     """The full record of each content's first responding verifier.
 
     Joins on (content, verifier, line), which is unique per vote, so a content with very
-    many votes does not end up in one task.
+    many votes does not end up in one task. The contents are sent to the records only where
+    they were written and are few; otherwise both sides meet in a shuffle.
     """
+    way = join_way(aligned)
     first = F.filter("votes", lambda v: v["result"] != "MISSING")[0]
     wanted = aligned.select(
         "generator_model", "content_key", first["verifier_model"].alias("verifier_model"), first["line_no"].alias("line_no")
     )
     records = votes.withColumn("content_key", content_key(content))
-    return records.join(wanted, ["generator_model", "content_key", "verifier_model", "line_no"], "left_semi")
+    return records.join(wanted.hint(way), ["generator_model", "content_key", "verifier_model", "line_no"], "left_semi")
 
 
 def representatives(

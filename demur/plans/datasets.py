@@ -15,7 +15,7 @@ from demur import vocab
 from demur.functions.columns import col, value_of
 from demur.functions.keys import generator_short_name, multi_content_fields, stratum_key, unique_key
 from demur.operators import passages, sampling, unified, voting
-from demur.plans.shared import materialise
+from demur.plans.shared import join_way, materialise
 from demur.sources import sinks
 
 # the reference builder matches rewrites by what was asked, not by the rewritten text
@@ -98,7 +98,7 @@ def write_filtered_votes(votes: DataFrame, tasks: DataFrame, path: str) -> None:
     wanted = tasks.select("generator_model", "content_key", vote.alias("v"))
     # an aligned row knows which line of which verifier counts
     wanted = wanted.select("generator_model", "content_key", col("v.verifier_model").alias("verifier_model"), col("v.line_no").alias("line_no"))
-    sinks.write_by_pair(voting.annotate(votes).join(wanted, wanted.columns, "left_semi"), path)
+    sinks.write_by_pair(voting.annotate(votes).join(wanted.hint(join_way(tasks)), wanted.columns, "left_semi"), path)
 
 
 def write_dataset(dataset: DataFrame, path: str, mode: str = "unanimous", seed: int = vocab.SEED) -> None:
