@@ -169,20 +169,22 @@ def generator_requests(
     is kept."""
     keep = _kept(keep, wording)
     single = family == "single"
-    rows = cells if cells is not None else perturbation_grid(instances)
-    rows = _with_briefs(rows, family, wording)
     branch = constraint_branch("answers" if single else None)
     shown = answer_display("answers") if single else col("answer_generate")
     if single:
-        material = [_labelled("QUESTION", "query"), _labelled("CONTEXT", "context"), F.concat(F.lit("ANSWERS: "), shown)]
-        names = vocab.GENERATOR_KEYS
+        own = [_labelled("QUESTION", "query"), _labelled("CONTEXT", "context"), F.concat(F.lit("ANSWERS: "), shown)]
+        material, names = [col("_own")], vocab.GENERATOR_KEYS
     else:
-        material = [
+        own = [
             _labelled("QUESTION", "question"), F.concat(F.lit("REFERENCE ANSWER: "), shown), F.lit("SIGNAL PASSAGES:"), list_passages("signal_passages", "S"),
             F.lit("NOISE PASSAGES:"), list_passages("noise_passages", "N"),
-            F.concat(F.lit("STRATEGY: "), col("strategy")), F.when(col("perturbation_class") == "P-Ambiguity", AMBIGUITY_NOTE),
         ]
+        material = [col("_own"), F.concat(F.lit("STRATEGY: "), col("strategy")), F.when(col("perturbation_class") == "P-Ambiguity", AMBIGUITY_NOTE)]
         names = vocab.GENERATOR_KEYS_MULTI
+    # what an instance brings itself is put together once and not once per cell
+    worded = (instances if cells is None else cells).withColumns({"_own": _block(*own), "_shown": shown})
+    rows = _with_briefs(perturbation_grid(worded) if cells is None else worded, family, wording)
+    shown = col("_shown")
     prompt = _block(
         "Rewrite the material below with exactly one of the listed levers.",
         _labelled("PERTURBATION", "perturbation_class"), _labelled("INTENSITY", "intensity"), _labelled("CHANGE ONLY", "target"),
@@ -242,9 +244,13 @@ def verifier_requests(
         F.lit("LEVERS:"), col("menu"), F.lit("CHECK:\n" + "\n".join(f"{i}. {q}" for i, q in enumerate(checks, 1))),
         F.lit("Reply with one JSON object in a json fence:\n" + _keys(names)),
     )
-    keyed = rows.select(
+    # the prompt is put together below the explode, once and not once per verifier
+    asked = rows.select(
         "generator_model", "line_no", "perturbation_class", "intensity", branch.alias("branch"), prompt.alias("prompt"),
-        F.explode(literal_array(verifiers) if pending is None else col(pending)).alias("verifier_model"), *keep,
+        (literal_array(verifiers) if pending is None else col(pending)).alias("_asked"), *keep,
+    )
+    keyed = asked.select(
+        "generator_model", "line_no", "perturbation_class", "intensity", "branch", "prompt", F.explode("_asked").alias("verifier_model"), *keep
     )
     return keyed.select(request_id("verify", "generator_model", "line_no", "verifier_model").alias("request_id"), *keyed.columns)
 
