@@ -245,8 +245,8 @@ def logged(d: Data) -> str:
         for v in ("claude", "nova", "gpt", "deepseek"):
             own = rows.filter((col("generator_model") == g) & (col("verifier_model") == v)).drop("generator_model", "verifier_model")
             path = f"{root}/dataset_{g}/multi_verifications_{v}.jsonl"
-            own.filter("line_no % 2 = 0").write.json(path)
-            own.filter("line_no % 2 = 1").withColumns({"note": F.lit("new"), "verification_model": F.lit(v)}).write.mode("append").json(path)
+            own.filter("line_no % 2 = 0").write.json(path, compression="gzip")
+            own.filter("line_no % 2 = 1").withColumns({"note": F.lit("new"), "verification_model": F.lit(v)}).write.mode("append").json(path, compression="gzip")
     return root
 
 
