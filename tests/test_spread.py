@@ -129,3 +129,14 @@ def test_merging_shuffles_rows_once(spark, tmp_path, monkeypatch):
     got = {r.sample_id: r.model_predicted_type for r in TB.read_merged(spark, path).collect()}
     assert got == {**{f"s{k}": "A" for k in range(40)}, "s0": "B", "s1": "E", "s99": "F", None: "G"}
     assert sum(r.n for r in R.status(spark, path).collect()) == 42 and seen == [1, 1]
+
+
+def test_merged_rows_are_written_small(spark, tmp_path):
+    votes_path, results_path = str(tmp_path / "v"), str(tmp_path / "r")
+    assert R.merge_votes(votes(spark), votes_path, "a", 0, buckets=2)
+    rows = [(f"s{k}", "m", "REFUSE_OTHER", "P-Ambiguity", "LOW", "A", None, True, k) for k in range(20)]
+    assert R.merge_results(spark.createDataFrame(rows, MERGED_SCHEMA), results_path, "a", 0, buckets=2)
+    for path in (votes_path, results_path):
+        files = [f.name for f in (tmp_path / path).glob(f"{TB.DATA}/**/*.parquet")]
+        assert files and all(f.endswith(".zstd.parquet") for f in files)
+    assert R.aligned(spark, votes_path).count() == 6 and TB.read_merged(spark, results_path).count() == 20
