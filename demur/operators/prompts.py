@@ -7,7 +7,7 @@ fields a prompt contains and the cases it distinguishes follow the benchmark's d
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,9 +87,10 @@ def cell_briefs(spark: SparkSession, family: str = "single", wording: DataFrame
     return cells.join(texts, key).join(lever_menu(words, by), by)
 
 
-def _with_briefs(rows: DataFrame, family: str, wording: DataFrame | None) -> DataFrame:
-    """Rows with the texts of their cell, in the version they name; a row that names none is an error."""
-    briefs = cell_briefs(rows.sparkSession, family, wording)
+def _with_briefs(rows: DataFrame, family: str, wording: DataFrame | None, texts: Mapping[str, Column] | None = None) -> DataFrame:
+    """Rows with the texts of their cell, in the version they name; a row that names none is an error.
+    ``texts`` are further texts made of a cell's own, put together once per cell and not once per row."""
+    briefs = cell_briefs(rows.sparkSession, family, wording).withColumns(dict(texts or {}))
     if VERSION not in briefs.columns:
         return rows.join(F.broadcast(briefs), ["perturbation_class", "intensity"])
     known = rows.withColumn(VERSION, F.coalesce(col(VERSION), F.raise_error(F.lit("no wording is valid at the time of a row")).cast("string")))
@@ -173,25 +174,30 @@ def generator_requests(
     shown = answer_display("answers") if single else col("answer_generate")
     if single:
         own = [_labelled("QUESTION", "query"), _labelled("CONTEXT", "context"), F.concat(F.lit("ANSWERS: "), shown)]
-        material, names = [col("_own")], vocab.GENERATOR_KEYS
+        task, names = [], vocab.GENERATOR_KEYS
     else:
         own = [
             _labelled("QUESTION", "question"), F.concat(F.lit("REFERENCE ANSWER: "), shown), F.lit("SIGNAL PASSAGES:"), list_passages("signal_passages", "S"),
             F.lit("NOISE PASSAGES:"), list_passages("noise_passages", "N"),
         ]
-        material = [col("_own"), F.concat(F.lit("STRATEGY: "), col("strategy")), F.when(col("perturbation_class") == "P-Ambiguity", AMBIGUITY_NOTE)]
+        task = [F.concat(F.lit("STRATEGY: "), col("strategy")), F.when(col("perturbation_class") == "P-Ambiguity", AMBIGUITY_NOTE)]
         names = vocab.GENERATOR_KEYS_MULTI
-    # what an instance brings itself is put together once and not once per cell
+    # what an instance or a cell brings itself is put together once and not once per pair of them
+    of_cell = {
+        "_head": _block(
+            "Rewrite the material below with exactly one of the listed levers.",
+            _labelled("PERTURBATION", "perturbation_class"), _labelled("INTENSITY", "intensity"), _labelled("CHANGE ONLY", "target"),
+            _labelled("CRITERIA", "criteria"),
+        ),
+        "_task": F.nullif(_block(*task), F.lit("")) if task else F.lit(None).cast("string"),  # no line where a cell has none
+        "_tail": _block(
+            _labelled("EXPECTED BEHAVIOUR", "expected_label"), F.lit("LEVERS:"), col("menu"),
+            F.lit("Reply with one JSON object in a json fence:\n" + _keys(names)),
+        ),
+    }
     worded = (instances if cells is None else cells).withColumns({"_own": _block(*own), "_shown": shown})
-    rows = _with_briefs(perturbation_grid(worded) if cells is None else worded, family, wording)
-    shown = col("_shown")
-    prompt = _block(
-        "Rewrite the material below with exactly one of the listed levers.",
-        _labelled("PERTURBATION", "perturbation_class"), _labelled("INTENSITY", "intensity"), _labelled("CHANGE ONLY", "target"),
-        _labelled("CRITERIA", "criteria"), *material, F.concat(F.lit("CONSTRAINT: "), _constraint(branch, shown)),
-        _labelled("EXPECTED BEHAVIOUR", "expected_label"), F.lit("LEVERS:"), col("menu"),
-        F.lit("Reply with one JSON object in a json fence:\n" + _keys(names)),
-    )
+    rows = _with_briefs(perturbation_grid(worded) if cells is None else worded, family, wording, of_cell)
+    prompt = _block(col("_head"), col("_own"), col("_task"), F.concat(F.lit("CONSTRAINT: "), _constraint(branch, col("_shown"))), col("_tail"))
     return rows.select(
         request_id("generate", *([F.lit(generator)] if generator else []), "qid", "perturbation_class", "intensity").alias("request_id"), col("qid").alias("source_qid"),
         col("line_no").alias("source_line"), "perturbation_class", "intensity", branch.alias("branch"), prompt.alias("prompt"), *keep,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures
 from checks.io_queries import MERGED_SCHEMA
+from checks.prompt_queries import occurrences
 from demur.operators import matching as J
 from demur.operators import prompts as T
 from demur.operators import unified as UN
@@ -140,3 +141,26 @@ def test_merged_rows_are_written_small(spark, tmp_path):
         files = [f.name for f in (tmp_path / path).glob(f"{TB.DATA}/**/*.parquet")]
         assert files and all(f.endswith(".zstd.parquet") for f in files)
     assert R.aligned(spark, votes_path).count() == 6 and TB.read_merged(spark, results_path).count() == 20
+
+
+ASKED = "qid string, line_no bigint, question string, answer_generate string, signal_passages array<string>, noise_passages array<string>"
+
+
+def test_cell_texts_are_put_together_once_per_cell(spark):
+    rows = spark.createDataFrame([("q", 1, "what?", "a", ["s1"], [])], ASKED)
+    logical = T.generator_requests(rows, "multi")._jdf.queryExecution().optimizedPlan().toString()
+    per_row = logical[: logical.index("Join Inner")]
+    assert "concat_ws" in per_row and not any(text in per_row for text in ("Rewrite the material", "STRATEGY", "Reply with one JSON object"))
+    bare = T.default_wording(spark).withColumn("strategy", F.lit(None).cast("string"))
+    prompts = {r.perturbation_class: r.prompt for r in T.generator_requests(rows, "multi", wording=bare).collect()}
+    before = "NOISE PASSAGES:\n  [None provided]\n"
+    assert f"{before}CONSTRAINT: " in prompts["P-MissingInfo"] and f"{before}{T.AMBIGUITY_NOTE}\nCONSTRAINT: " in prompts["P-Ambiguity"]
+
+
+def test_occurrences_are_counted_in_one_search(spark):
+    rows = spark.createDataFrame([("  Passage S1: ä.\n  Passage N1: b.\n  Passage N2: Passage S", ". ** x. **"), ("none", "..**"), (None, None)], "prompt string, menu string")
+    out = rows.select(occurrences("prompt", "  Passage S", "  Passage N").alias("passages"), occurrences("menu", ". **").alias("entries"))
+    assert out.dtypes == [("passages", "bigint"), ("entries", "bigint")]
+    assert [tuple(r) for r in out.collect()] == [(3, 2), (0, 0), (None, None)]
+    logical = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(" not in logical and logical.count("regexp_extract_all(prompt") + logical.count("regexp_count(prompt") == 1
